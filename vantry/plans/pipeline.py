@@ -23,9 +23,9 @@ class Pipeline:
     DataFrames from any source.
     """
 
-    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], store: TableStore):
+    def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], store: TableStore, folder: str = ""):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.raw, self.store = spark, raw, store
+        self.spark, self.raw, self.store, self.folder = spark, raw, store, folder
 
     # clean tables
     @cached_property
@@ -214,5 +214,5 @@ def open_pipeline(spark: SparkSession, folder: str, fresh: bool = False) -> Pipe
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
     if fresh or key not in _OPEN:
         name = f"{folder.strip('/').replace('/', '_')}_{len(_OPEN) if fresh else 0}"
-        _OPEN[key] = Pipeline(spark, fixtures.raw_tables(spark, folder), TableStore(spark, name))
+        _OPEN[key] = Pipeline(spark, fixtures.raw_tables(spark, folder), TableStore(spark, name), folder)
     return _OPEN[key]
