@@ -500,11 +500,17 @@ _QUESTIONS = """(SELECT 'c' || conv_id || '-' || turn AS id, text FROM conversat
 UNION ALL SELECT alert_id, concat_ws(' ', 'why is', user_id, 'on host', hostname, description) FROM endpoint_raw)"""
 
 
+# written from the id shapes: user, machine, custom token, named host, sequence, address
+_SHAPES = [r"\b(EMP\d+)\b", r"\b((VDR|WS|LPT)[-_]\d+)\b", r"\b(USER_[A-Z0-9_-]+|HOST_[A-Z0-9_-]+|DOES_NOT_EXIST|[A-Z]+_\d{5,})\b",
+           r"\bhost\s+([A-Z0-9_-]+)\b", r"\b(SEQ-[A-Z]+-\d+|SEQ_\d+)\b", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"]
+
+
 def _found(i: int) -> str:
-    return f"nullif(regexp_extract(text, {q(fv.ENTITY_PATTERNS[i].replace('(?i)', ''))}, 1, {q('i' if '(?i)' in fv.ENTITY_PATTERNS[i] else 'c')}), '')"
+    hit = f"upper(nullif(regexp_extract(text, {q(_SHAPES[i])}, 1, 'i'), ''))"
+    return f"replace({hit}, '_', '-')" if i == 1 else hit
 
 
-_ENTITY = "coalesce(" + ", ".join(f"upper({'replace(' + _found(i) + ', ' + q('_') + ', ' + q('-') + ')' if i == 1 else _found(i)})" for i in range(6)) + ")"
+_ENTITY = "coalesce(" + ", ".join(_found(i) for i in range(6)) + ")"
 A["L16_entity_in_text"] = f"SELECT id, {_ENTITY} AS entity FROM {_QUESTIONS}"
 _has = lambda n: "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in fv.INTENT_WORDS[n].split("|")) + ")"
 A["L17_intent"] = f"""SELECT id, CASE WHEN {_has('peer_comparison')} THEN 'peer_comparison' WHEN {_has('graph')} AND contains(lower(text), 'ip') THEN 'analyze_shared_ip'

@@ -109,7 +109,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Bound a value; NULL stays NULL (the built-in bounds skip NULLs)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def floor0(c: Column) -> Column:

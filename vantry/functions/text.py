@@ -219,17 +219,24 @@ def scrub_phrases(c: Column) -> Column:
     return t
 
 
-def entity_in_text(c: Column) -> Column:
-    """First entity id named in a text; pattern order decides, not position."""
-    found = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in fv.ENTITY_PATTERNS]
+def entity_in_text(low: Column) -> Column:
+    """First entity id named in a lower-case text, in upper case.
+
+    Pattern order decides, not position. Ids do not depend on case, and
+    searching lower-case text spares the case-insensitive matcher.
+    """
+    found = [F.regexp_substr(low, F.lit(p)) for p in fv.ENTITY_PATTERNS]
     found[1] = F.translate(found[1], "_", "-")
-    return F.coalesce(*[F.upper(x) for x in found])
+    found[3] = F.regexp_replace(found[3], r"^host\s+", "")
+    return F.upper(F.coalesce(*found))
 
 
-def intent(c: Column) -> Column:
-    """Ordered keyword class of a question."""
-    low, entity = F.lower(c), entity_in_text(c)
+def intent(low: Column, entity: Column) -> Column:
+    """Ordered keyword class of a question.
 
+    ``low`` is the lower-case text and ``entity`` the id found in it, both as
+    columns of their own.
+    """
     def has(name: str) -> Column:
         hit = F.lit(False)
         for word in fv.INTENT_WORDS[name].split("|"):

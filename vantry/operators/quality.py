@@ -96,16 +96,19 @@ def conflicting_keys(df: DataFrame, dataset: str, key: str) -> DataFrame:
         "distinct_row_count")
 
 
-def _parsed(df: DataFrame, column: str, **options) -> DataFrame:
-    raw = df.select(text.trimmed(F.col(column)).alias("raw_value"))
-    return raw.withColumn("parsed", times.parse_timestamp(F.col("raw_value"), **options))
+def _parsed_counts(df: DataFrame, column: str, **options) -> DataFrame:
+    """Distinct texts of a column with their count and parsed time.
+
+    Equal texts are counted first, so each is parsed once.
+    """
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    trimmed = counts.select(text.trimmed(F.col(column)).alias("raw_value"), "n")
+    return trimmed.withColumn("parsed", times.parse_timestamp(F.col("raw_value"), **options))
 
 
 def timestamp_profile(df: DataFrame, dataset: str, column: str, **options) -> DataFrame:
-    """How well a text column parses as time; equal texts are parsed once."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    p = counts.select(text.trimmed(F.col(column)).alias("raw_value"), "n").withColumn(
-        "parsed", times.parse_timestamp(F.col("raw_value"), **options))
+    """How well a text column parses as time."""
+    p = _parsed_counts(df, column, **options)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     has, ok = F.col("raw_value").isNotNull(), F.col("parsed").isNotNull()
     return p.agg(
@@ -119,8 +122,9 @@ def timestamp_profile(df: DataFrame, dataset: str, column: str, **options) -> Da
 
 def parse_failures(df: DataFrame, column: str, n: int = 100, **options) -> DataFrame:
     """The first ``n`` distinct texts that do not parse."""
-    bad = _parsed(df, column, **options).where(F.col("raw_value").isNotNull() & F.col("parsed").isNull())
-    return bad.select("raw_value").distinct().orderBy("raw_value").limit(n)
+    tried = _parsed_counts(df, column, **options).groupBy("raw_value").agg(F.max("parsed").alias("parsed"))
+    return tried.where(F.col("raw_value").isNotNull() & F.col("parsed").isNull()).select("raw_value").orderBy(
+        "raw_value").limit(n)
 
 
 def chronology_issues(endpoint: DataFrame) -> DataFrame:

@@ -49,16 +49,29 @@ def _bracketed_medians(long: DataFrame, keys: list[str]) -> DataFrame:
     return picked.select(*keys, "n", F.coalesce(median, guard.cast("double")).alias("median"))
 
 
-def medians(df: DataFrame, metrics: list[str], groups: list[str] | None = None, rows: int | None = None) -> DataFrame:
-    """Exact median per metric, long form: groups, metric, n, median."""
-    groups = groups or []
+def _named(metrics: list[str], suffix: str, of=lambda m: F.col(m)) -> list:
+    return [F.median(of(m)).alias(m + suffix) for m in metrics]
+
+
+def wide_medians(
+    df: DataFrame, metrics: list[str], groups: list[str], suffix: str = "_median", rows: int | None = None
+) -> DataFrame:
+    """Exact medians, one row per group, columns ``<metric><suffix>``."""
     data = df.select(*groups, *[F.col(m).cast("double").alias(m) for m in metrics])
     if (data.count() if rows is None else rows) <= DIRECT_ROWS:
-        aggs = [F.struct(F.count(m).alias("n"), F.median(m).alias("median")).alias(m) for m in metrics]
-        wide = data.groupBy(*groups).agg(*aggs) if groups else data.agg(*aggs)
-        return wide.unpivot(groups, metrics, "metric", "s").select(*groups, "metric", "s.n", "s.median")
+        return data.groupBy(*groups).agg(*_named(metrics, suffix))
     long = data.unpivot(groups, metrics, "metric", "value").where(F.col("value").isNotNull())
-    return _bracketed_medians(long, [*groups, "metric"])
+    picked = _bracketed_medians(long, [*groups, "metric"])
+    return picked.groupBy(*groups).agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m + suffix) for m in metrics])
+
+
+def medians(df: DataFrame, metrics: list[str], groups: list[str] | None = None) -> DataFrame:
+    """Exact median per metric in long form: groups, metric, n, median."""
+    groups = groups or []
+    counts = df.groupBy(*groups).agg(*[F.count(m).alias(m) for m in metrics]).unpivot(groups, metrics, "metric", "n")
+    middle = wide_medians(df, metrics, groups, "").unpivot(groups, metrics, "metric", "median")
+    return counts.join(middle, [*groups, "metric"]).select(*groups, "metric", "n", "median")
 
 
 def robust_stats(df: DataFrame, metrics: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -68,30 +81,22 @@ def robust_stats(df: DataFrame, metrics: list[str], groups: list[str] | None = N
     """
     groups = groups or []
     rows = df.count()
-    centre = medians(df, metrics, groups, rows)
-    wide_centre = _wide(centre, groups, "median", "_median")
+    centre = wide_medians(df, metrics, groups, "_median", rows)
     if groups:
-        joined = df.select(*groups, *metrics).join(broadcast_if_small(wide_centre), groups)
+        joined = df.select(*groups, *metrics).join(broadcast_if_small(centre), groups)
     else:
-        joined = df.select(*metrics)
-        first = wide_centre.first()
-        joined = joined.withColumns({f"{m}_median": F.lit(first[f"{m}_median"]) for m in metrics})
+        first = centre.first()
+        joined = df.select(*metrics).withColumns({f"{m}_median": F.lit(first[f"{m}_median"]) for m in metrics})
     spread = joined.select(*groups, *[F.abs(F.col(m) - F.col(f"{m}_median")).alias(m) for m in metrics])
-    wide_mad = _wide(medians(spread, metrics, groups, rows), groups, "median", "_mad")
+    mad = wide_medians(spread, metrics, groups, "_mad", rows)
     if groups:
-        return wide_centre.join(wide_mad, groups)
-    return wide_centre.withColumns({f"{m}_mad": F.lit(wide_mad.first()[f"{m}_mad"]) for m in metrics})
-
-
-def _wide(long: DataFrame, groups: list[str], value: str, suffix: str) -> DataFrame:
-    names = [r.metric for r in long.select("metric").distinct().collect()]
-    aggs = [F.max(F.when(F.col("metric") == m, F.col(value))).alias(m + suffix) for m in sorted(names)]
-    return long.groupBy(*groups).agg(*aggs) if groups else long.agg(*aggs)
+        return centre.join(mad, groups)
+    return mad.select(*[F.lit(first[f"{m}_median"]).alias(f"{m}_median") for m in metrics], *[f"{m}_mad" for m in metrics])
 
 
 def global_medians(df: DataFrame, metrics: list[str]) -> dict[str, float | None]:
     """Median of each column over the whole table as plain numbers."""
-    return {r.metric: r.median for r in medians(df, metrics).collect()}
+    return wide_medians(df, metrics, [], "").first().asDict()
 
 
 def global_stats(df: DataFrame, metrics: list[str]) -> dict[str, tuple[float, float]]:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, times
+from ..session import TableStore
 
 HOUR = 3_600_000_000
 RUN_LIMIT = 1_000_000
@@ -165,16 +166,38 @@ def _chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["entity_id", "run", "block", "entry"])
 
 
-def anchors(t: DataFrame, width: int = HOUR, block: int | None = None, limit: int = RUN_LIMIT) -> DataFrame:
-    """Window anchors (entity_id, anchor) of ticks; exact at any run length."""
+def anchors(
+    t: DataFrame, width: int = HOUR, block: int | None = None, limit: int = RUN_LIMIT, store: TableStore | None = None
+) -> DataFrame:
+    """Window anchors (entity_id, anchor) of ticks; exact at any run length.
+
+    With a store the ticks are written first, so the events behind them are
+    read once, and the work for long runs is left out when there are none.
+    """
     block = block or 24 * width
+    t = t.select("entity_id", "us")
+    if store is not None:
+        t = store.put(store.fresh("ticks"), t)
     blocks = _runs(t, width, block, limit)
-    placed = t.select(
-        "entity_id", "us", F.floor(F.col("us") / F.lit(block)).cast("bigint").alias("block")
-    ).join(blocks, ["entity_id", "block"])
-    short = placed.where(~F.col("long")).select(
+    any_long = True
+    if store is not None:
+        blocks = store.put(store.fresh("blocks"), blocks)
+        any_long = not blocks.where("long").isEmpty()
+    placed = t.withColumn("block", F.floor(F.col("us") / F.lit(block)).cast("bigint")).join(
+        blocks, ["entity_id", "block"])
+    parts = placed.where(~F.col("long")).select(
         "entity_id", (-F.col("run")).alias("part"), "us", F.lit(_START).alias("entry"))
-    long = placed.where("long")
+    if any_long:
+        parts = parts.unionByName(_long_parts(placed.where("long"), width, block))
+    return (
+        parts.repartition("entity_id", "part")
+        .sortWithinPartitions("entity_id", "part", "us")
+        .mapInPandas(_anchor_scan(width), "entity_id string, anchor long")
+    )
+
+
+def _long_parts(long: DataFrame, width: int, block: int) -> DataFrame:
+    """Blocks of long runs with the time up to which an earlier window reaches."""
     order = ["entity_id", "run", "block"]
     functions = (
         long.select(*order, "us").repartition(*order).sortWithinPartitions(*order, "us")
@@ -184,13 +207,7 @@ def anchors(t: DataFrame, width: int = HOUR, block: int | None = None, limit: in
         functions.repartition("entity_id", "run").sortWithinPartitions(*order, "low")
         .mapInPandas(_chain_blocks, "entity_id string, run long, block long, entry long")
     )
-    whole = long.join(entries, order).select("entity_id", F.col("block").alias("part"), "us", "entry")
-    return (
-        short.unionByName(whole)
-        .repartition("entity_id", "part")
-        .sortWithinPartitions("entity_id", "part", "us")
-        .mapInPandas(_anchor_scan(width), "entity_id string, anchor long")
-    )
+    return long.join(entries, order).select("entity_id", F.col("block").alias("part"), "us", "entry")
 
 
 def in_windows(events: DataFrame, entity: str, marks: DataFrame, width: int = HOUR) -> DataFrame:

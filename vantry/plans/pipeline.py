@@ -135,11 +135,13 @@ class Pipeline:
     # temporal
     @cached_property
     def user_sequence_evidence(self) -> DataFrame:
-        return self.store.put("user_sequence_evidence", temporal.sequence_evidence(self.events, "USER"))
+        return self.store.put("user_sequence_evidence", temporal.sequence_evidence(
+            self.events, "USER", store=self.store))
 
     @cached_property
     def host_sequence_evidence(self) -> DataFrame:
-        return self.store.put("host_sequence_evidence", temporal.sequence_evidence(self.events, "HOST"))
+        return self.store.put("host_sequence_evidence", temporal.sequence_evidence(
+            self.events, "HOST", store=self.store))
 
     @cached_property
     def sequence_evidence(self) -> DataFrame:
@@ -153,7 +155,8 @@ class Pipeline:
 
     @cached_property
     def bursts(self) -> DataFrame:
-        both = temporal.bursts(self.events, "USER").unionByName(temporal.bursts(self.events, "HOST"))
+        both = temporal.bursts(self.events, "USER", store=self.store).unionByName(
+            temporal.bursts(self.events, "HOST", store=self.store))
         return self.store.put("bursts", both)
 
     # graph

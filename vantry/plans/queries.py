@@ -561,8 +561,11 @@ def _questions(p: Pipeline) -> DataFrame:
     return a.union(b).union(e)
 
 
-Q["L16_entity_in_text"] = lambda p: _questions(p).select("id", text.entity_in_text(c("text")).alias("entity"))
-Q["L17_intent"] = lambda p: _questions(p).select("id", text.intent(c("text")).alias("intent"))
+Q["L16_entity_in_text"] = lambda p: _questions(p).select("id", F.lower("text").alias("low")).select(
+    "id", text.entity_in_text(c("low")).alias("entity"))
+Q["L17_intent"] = lambda p: _questions(p).select(
+    "id", F.lower("text").alias("low")).select("id", "low", text.entity_in_text(c("low")).alias("entity")).select(
+    "id", text.intent(c("low"), c("entity")).alias("intent"))
 Q["L18_strongest_signal"] = lambda p: lookups.strongest_signal(risk.contributors(p.user_risk).unionByName(risk.contributors(p.host_risk)))
 Q["L19_timelines"] = lambda p: _ints(lookups.timelines(p.events, "user_id"))
 Q["L20_failed_logins_by_department"] = lambda p: lookups.failed_logins_by_department_day(p.iam)
