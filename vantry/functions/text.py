@@ -219,13 +219,25 @@ def scrub_phrases(c: Column) -> Column:
     return t
 
 
+def has_word(low: Column, words: str) -> Column:
+    """Whether a lower-case text contains any of the ``|``-separated words."""
+    hit = F.lit(False)
+    for word in words.split("|"):
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
 def entity_in_text(low: Column) -> Column:
     """First entity id named in a lower-case text, in upper case.
 
     Pattern order decides, not position. Ids do not depend on case, and
-    searching lower-case text spares the case-insensitive matcher.
+    searching lower-case text spares the case-insensitive matcher. A cheap
+    substring test skips patterns that cannot match.
     """
-    found = [F.regexp_substr(low, F.lit(p)) for p in fv.ENTITY_PATTERNS]
+    found = [
+        F.when(has_word(low, pieces), F.regexp_substr(low, F.lit(pattern)))
+        for pieces, pattern in zip(fv.ENTITY_PIECES, fv.ENTITY_PATTERNS)
+    ]
     found[1] = F.translate(found[1], "_", "-")
     found[3] = F.regexp_replace(found[3], r"^host\s+", "")
     return F.upper(F.coalesce(*found))
@@ -238,10 +250,7 @@ def intent(low: Column, entity: Column) -> Column:
     columns of their own.
     """
     def has(name: str) -> Column:
-        hit = F.lit(False)
-        for word in fv.INTENT_WORDS[name].split("|"):
-            hit = hit | F.contains(low, F.lit(word))
-        return hit
+        return has_word(low, fv.INTENT_WORDS[name])
 
     return (
         F.when(has("peer_comparison"), "peer_comparison")

@@ -197,7 +197,7 @@ def risk_evidence_of(edges: DataFrame, risk: DataFrame, entity_id: str) -> DataF
     """Risk row of an entity next to each supporting event (one row if none)."""
     support = edges.where(
         (F.col("relationship_type") == "SUPPORTED_BY_EVIDENCE") & (F.col("source_id") == f"RISK-{entity_id}")
-    ).select(F.lit(entity_id).alias("entity_id"), F.col("target_id").alias("event_id"))
+    ).select(text.drop_prefix(F.col("source_id"), "RISK-").alias("entity_id"), F.col("target_id").alias("event_id"))
     own = risk.where(F.col("entity_id") == entity_id).select("entity_id", "risk_score", "risk_level")
     return own.join(support, "entity_id", "left")
 

@@ -73,11 +73,11 @@ def coverage(df: DataFrame, key: Column, members: DataFrame, member_key: Column,
 
 
 def one_row(parts: list[DataFrame]) -> DataFrame:
-    """Put one-row frames side by side through a constant equi-join key."""
-    out = parts[0].withColumn("_one", F.lit(1))
+    """Put one-row frames side by side (a union folded to one row, no join)."""
+    stacked = parts[0]
     for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:

@@ -29,6 +29,14 @@ def percent(num: Column, den: Column) -> Column:
     return numbers.round_half_up(numbers.ratio(num, den) * 100.0, 2)
 
 
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """Count and percent of all rows per value; the total is one number."""
+    total = df.count()
+    n = F.col("n")
+    return df.groupBy(column).agg(F.count("*").alias("n")).select(
+        column, "n", numbers.round_half_up(n * 100.0 / F.lit(float(total)), 2).alias("pct"))
+
+
 def column_profile(df: DataFrame, dataset: str) -> DataFrame:
     """Rows, type, missing and distinct values per column."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -60,7 +60,8 @@ class Pipeline:
     @cached_property
     def events(self) -> DataFrame:
         return self.store.put(
-            "events", canonical.canonical_events(self.identity, self.iam, self.endpoint, self.firewall))
+            "events", canonical.canonical_events(self.identity, self.iam, self.endpoint, self.firewall),
+            partition_by=["source_dataset"])
 
     @cached_property
     def users(self) -> DataFrame:

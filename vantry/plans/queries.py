@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, numbers, text, times
@@ -319,8 +319,7 @@ Q["A10_row_duplicates"] = lambda p: quality.duplicate_rows(p.raw["iam_raw"], "ia
 Q["A11_key_duplicates"] = lambda p: quality.duplicate_keys(p.raw["endpoint_raw"], "endpoint", "alert_id")
 Q["A12_conflicting_duplicates"] = lambda p: quality.conflicting_keys(p.raw["firewall_raw"].drop("log_id"), "firewall", "session_id")
 Q["A13_span_days"] = lambda p: baselines.observations(p.events, "hostname").select("hostname", "historical_span_days")
-Q["A14_share_of_total"] = lambda p: p.endpoint.groupBy("alert_name").agg(F.count("*").alias("n")).select(
-    "alert_name", "n", numbers.round_half_up(c("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 2).alias("pct"))
+Q["A14_share_of_total"] = lambda p: quality.shares(p.endpoint, "alert_name")
 Q["A15_group_byte_sum"] = lambda p: p.firewall.groupBy("hostname").agg(F.sum("bytes_sent").alias("sent"), F.sum("bytes_received").alias("received"))
 
 # --- W, O, U: windows, order, sets ------------------------------------------------------------
