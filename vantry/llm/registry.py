@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, quality_rules, url_rules
+from . import hilbert, mixing, quality_rules, simhash, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.toxicity(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(read(spark, folder, "pages"))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(read(spark, folder, "documents"))
 
@@ -31,7 +41,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op5_url_filters, op8_quality_rules, op9_sharding, op10_mixing]
+    found = [op1_toxicity, op5_url_filters, op6_simhash, op8_quality_rules, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
 
 
