@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, quality_rules, simhash, toxicity, url_rules
+from . import hilbert, mixing, quality_rules, simhash, suffix_dedup, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = suffix_dedup.dedup(read(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(read(spark, folder, "documents"))
 
@@ -41,7 +46,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op5_url_filters, op6_simhash, op8_quality_rules, op9_sharding, op10_mixing]
+    found = [op1_toxicity, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
 
 
