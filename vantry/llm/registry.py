@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, pieces, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from . import hilbert, itq, mixing, pieces, quality_rules, simhash, suffix_dedup, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_pieces", "n_bytes", "round_trip")
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(read(spark, folder, "pages"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_sentencepiece, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
+    found = [op1_toxicity, op2_sentencepiece, op3_embedding_dedup, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
 
 
