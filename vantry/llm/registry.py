@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, itq, mixing, pieces, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+import corpus_pipeline
+
+from . import hilbert, itq, mixing, pieces, quality_rules, simhash, site_templates, suffix_dedup, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,11 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return itq.near_duplicates(read(spark, folder, "embeddings"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = site_templates.extract(read(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(read(spark, folder, "pages"))
 
@@ -54,9 +61,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_sentencepiece, op3_embedding_dedup, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
-    return {f.__name__: f for f in found}
+    found = [op1_toxicity, op2_sentencepiece, op3_embedding_dedup, op4_html_extraction, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_rules.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_mixing": mixing.ORACLE}
+    found = {"op5_url_filters": url_rules.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_mixing": mixing.ORACLE}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
