@@ -35,8 +35,8 @@ def targets(sizes: DataFrame, weights: list[float] | None = None, share: float =
     total = F.sum("source_size").over(every) * F.lit(float(share))
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     ranked = rows.withColumn("level", level)
-    # the level of the first source that stays under its cap holds for all after it
-    open_level = F.min(F.when(F.col("level") < F.col("cap") / F.col("w"), F.col("level"))).over(every)
+    # the first source under its cap has the highest level of those under theirs; it holds for all after it
+    open_level = F.max(F.when(F.col("level") < F.col("cap") / F.col("w"), F.col("level"))).over(every)
     free = F.coalesce(F.col("cap") / F.col("w") > open_level, F.lit(False))
     return ranked.select("source", "source_size", F.when(free, open_level * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
@@ -113,7 +113,7 @@ l AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (
       ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-o AS (SELECT *, min(CASE WHEN level < cap / w THEN level END) OVER () AS open FROM l),
+o AS (SELECT *, max(CASE WHEN level < cap / w THEN level END) OVER () AS open FROM l),
 g AS (
   SELECT source, source_size, CASE WHEN coalesce(cap / w > open, false) THEN open * w ELSE cap END AS target FROM o),
 t AS (
