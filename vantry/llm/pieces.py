@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -272,8 +273,6 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
     """All columns with the text of the ids; null ids give the empty text."""
-    import pandas as pd
-
     machine = rows.sparkSession.sparkContext.broadcast(Transducer.load(model))
 
     @F.pandas_udf(T.StringType())
