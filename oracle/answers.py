@@ -66,7 +66,7 @@ _ws = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _mk = f"trim(text, {_ws})"
 for _t in fv.MARKUP_TOKENS:
     _mk = f"replace({_mk}, {q(_t)}, '')"
-A["C21_scrubbed_markup"] = f"SELECT conv_id, turn, coalesce(substr({_mk}, 1, 200), 'Unknown') AS shown FROM conversations"
+A["C21_scrubbed_markup"] = f"SELECT conv_id, turn, coalesce({_mk}, 'Unknown') AS shown FROM conversations"
 _sc = f"coalesce(trim(text, {_ws}), '')"
 for _t in fv.FORBIDDEN_PHRASES:
     _sc = f"regexp_replace({_sc}, {q(_t)}, {q(fv.SCRUB_MARKER)}, 'gi')"
@@ -380,13 +380,14 @@ A["G11_neighborhood"] = f"FROM (WITH {_HOOD} SELECT node_id, depth FROM hood)"
 A["G11_neighborhood_summary"] = f"""FROM (WITH {_HOOD}, ends AS (SELECT edge_id, source_id AS node_id FROM edges UNION ALL SELECT edge_id, target_id FROM edges)
 SELECT '{USER}' AS root_entity, CAST(2 AS BIGINT) AS max_hops, (SELECT count(*) FROM hood) AS node_count, count(*) AS edge_count, count(DISTINCT edge_id) AS distinct_edge_count
 FROM ends WHERE node_id IN (SELECT node_id FROM hood WHERE depth < 2))"""
-_BACK = "b0 AS (SELECT '" + TARGET + "' AS node_id)" + "".join(
-    f", b{i} AS (SELECT DISTINCT b AS node_id FROM links JOIN b{i - 1} ON a = node_id WHERE " + " AND ".join(f"b NOT IN (FROM b{j})" for j in range(i)) + ")"
-    for i in range(1, 7))
 _WALK = f"""w AS (SELECT CAST(0 AS BIGINT) AS step, '{USER}' AS node_id, d FROM dist WHERE node_id = '{USER}'
 UNION ALL SELECT any_value(w.step) + 1, min(l.b), any_value(w.d) - 1 FROM w JOIN links l ON l.a = w.node_id JOIN dist t ON t.node_id = l.b AND t.d = w.d - 1 HAVING count(*) > 0)"""
-A["G12_shortest_path"] = f"""FROM (WITH RECURSIVE {_BACK}, dist AS MATERIALIZED ({" UNION ALL ".join(f"SELECT node_id, CAST({i} AS BIGINT) AS d FROM b{i}" for i in range(7))}),
-{_WALK} SELECT step, node_id FROM w)"""
+# breadth-first from the target, each node once at its first level
+A["G12_shortest_path"] = f"""FROM (WITH RECURSIVE level(node_id, d) USING KEY (node_id) AS (
+  SELECT '{TARGET}' AS node_id, CAST(0 AS BIGINT) AS d
+  UNION SELECT l.b, level.d + 1 FROM level JOIN links l ON l.a = level.node_id
+  WHERE l.b NOT IN (SELECT node_id FROM recurring.level)),
+dist AS MATERIALIZED (SELECT node_id, d FROM level), {_WALK} SELECT step, node_id FROM w)"""
 A["G13_investigation_context"] = """SELECT r.entity_id, n.node_type AS entity_type, n.label, n.department, n.status, h.hypothesis, h.risk_score, coalesce(o.c, 0) AS outbound_count,
   coalesce(i.c, 0) AS inbound_count, 'READY' AS investigation_readiness FROM risk_all r JOIN nodes n ON n.node_id = r.entity_id JOIN hyps h ON h.entity_id = r.entity_id
 LEFT JOIN (SELECT source_id, count(*) AS c FROM edges GROUP BY 1) o ON o.source_id = r.entity_id LEFT JOIN (SELECT target_id, count(*) AS c FROM edges GROUP BY 1) i ON i.target_id = r.entity_id"""
@@ -405,7 +406,10 @@ UNION ALL SELECT 'SCENARIO-04', 'Temporal Sequence Event Chain Investigation', t
 A["G15_distinct_neighbors"] = _SHARED
 
 # --- I
-A["I01_kmeans_fixed_loops"] = "SELECT entity_id, label FROM assigned"
+A["I01_kmeans_converged"] = "SELECT entity_id, CAST(label AS BIGINT) AS label FROM assigned"
+A["I04_k_sweep"] = " UNION ALL ".join(
+    f"SELECT CAST({k} AS BIGINT) AS k, any_value(loops) AS iterations, {rnd('sum(min_sq)', 2)} AS inertia, {rnd('avg(silhouette_raw)', 4)} AS silhouette FROM {'assigned' if k == 4 else f'assigned{k}'}"
+    for k in range(2, 7))
 A["I02_inertia"] = f"SELECT {rnd('sum(min_sq)', 2)} AS inertia FROM assigned"
 A["I03_silhouette"] = f"SELECT {rnd('avg(silhouette_raw)', 4)} AS silhouette FROM assigned"
 A["I05_cluster_assignment"] = "SELECT * FROM clusters"
@@ -512,7 +516,7 @@ def _found(i: int) -> str:
 
 _ENTITY = "coalesce(" + ", ".join(_found(i) for i in range(6)) + ")"
 A["L16_entity_in_text"] = f"SELECT id, {_ENTITY} AS entity FROM {_QUESTIONS}"
-_has = lambda n: "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in fv.INTENT_WORDS[n].split("|")) + ")"
+_has = lambda n: "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in fv.INTENT_WORDS[n]) + ")"
 A["L17_intent"] = f"""SELECT id, CASE WHEN {_has('peer_comparison')} THEN 'peer_comparison' WHEN {_has('graph')} AND contains(lower(text), 'ip') THEN 'analyze_shared_ip'
   WHEN {_has('graph')} THEN 'graph_relationship' WHEN {_has('analyze_temporal_sequence')} THEN 'analyze_temporal_sequence' WHEN {_has('data_quality_question')} THEN 'data_quality_question'
   WHEN {_has('find_high_risk_entities')} AND {_ENTITY} IS NULL THEN 'find_high_risk_entities' WHEN {_ENTITY} IS NOT NULL THEN 'investigate_entity' ELSE 'general_security_summary' END AS intent

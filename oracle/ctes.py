@@ -19,7 +19,7 @@ def words(items) -> str:
 
 
 def mapped(key: str, table: dict, default: str = "NULL") -> str:
-    arms = " ".join(f"WHEN {key} IN {words(a.split('|'))} THEN {q(label)}" for label, a in table.items())
+    arms = " ".join(f"WHEN {key} IN {words(a)} THEN {q(label)}" for label, a in table.items())
     return f"CASE {arms} ELSE {default} END"
 
 
@@ -631,27 +631,43 @@ C["points"] = f"""SELECT user_id AS entity_id, behavior_deviation_score, {', '.j
 K = 4
 
 
-def _dist(alias: str) -> str:
-    return " + ".join(f"(p.{f} - {alias}.{f}) * (p.{f} - {alias}.{f})" for f in FEATURES)
+TOL = 1e-5
+_UNIT = 10_000
 
 
-KMEANS_LOOPS = 4
-C["km0"] = f"SELECT rn // (total // {K}) AS j, {', '.join(FEATURES)} FROM points WHERE rn % (total // {K}) = 0 AND rn // (total // {K}) < {K}"
-for _i in range(KMEANS_LOOPS):
-    C[f"kl{_i}"] = f"""SELECT p.entity_id, arg_min(c.j, ({_dist('c')}, c.j)) AS label FROM points p, km{_i} c GROUP BY 1"""
-    C[f"km{_i + 1}"] = f"""SELECT c.j, {', '.join(f"coalesce(m.{f}, c.{f}) AS {f}" for f in FEATURES)} FROM km{_i} c LEFT JOIN (
-  SELECT label, {', '.join(f"CAST(sum(CAST(round({f} * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 1e4 AS {f}" for f in FEATURES)}
-  FROM points JOIN kl{_i} USING (entity_id) GROUP BY 1) m ON m.label = c.j"""
-C["kd"] = f"""SELECT p.entity_id, c.j, {_dist('c')} AS d FROM points p, km{KMEANS_LOOPS} c"""
-C["assigned"] = f"""
-SELECT p.*, l.label, x.min_sq, x.nearest_label, x.own_sq, sqrt(x.own_sq) AS own_distance,
+def _to(alias: str) -> str:
+    """Squared distance of point ``p`` to the centroid ``alias`` (a list)."""
+    return " + ".join(f"(p.{f} - {alias}[{i}]) * (p.{f} - {alias}[{i}])" for i, f in enumerate(FEATURES, 1))
+
+
+def _fit(k: int) -> tuple[str, str, str]:
+    """Lloyd loops to the tolerance, the chosen centroids, and all points with their label and distances."""
+    loop, labels, out = f"kloop{k}", f"klabels{k}", "assigned" if k == K else f"assigned{k}"
+    means = ", ".join(f"CAST(sum(CAST(round({f} * {_UNIT}) AS BIGINT)) AS DOUBLE) / count(*) / {_UNIT}e0" for f in FEATURES)
+    label = f"list_position(list_transform(s.c, lambda x: {_to('x')}), list_min(list_transform(s.c, lambda x: {_to('x')})))"
+    C[loop] = f"""
+SELECT CAST(0 AS BIGINT) AS i, (SELECT list([{', '.join(FEATURES)}] ORDER BY rn) FROM points WHERE rn % (total // {k}) = 0 AND rn // (total // {k}) < {k}) AS c, false AS done
+UNION ALL
+SELECT i + 1, CASE WHEN near THEN c ELSE moved END, near FROM (
+  SELECT i, c, moved, list_bool_and(list_transform(flatten(list_transform(range(1, {k + 1}),
+    lambda j: list_transform(range(1, {len(FEATURES) + 1}), lambda f: abs(c[j][f] - moved[j][f]) <= {TOL} + {TOL} * abs(moved[j][f])))), lambda t: t)) AS near
+  FROM (
+    SELECT any_value(i) AS i, any_value(c) AS c,
+      list_transform(range(1, {k + 1}), lambda j: coalesce(map_extract_value(map(list(l), list(m)), j), any_value(c)[j])) AS moved
+    FROM (SELECT s.i, s.c, {label} AS l, [{means}] AS m FROM {loop} s, points p WHERE NOT s.done GROUP BY s.i, s.c, l)
+    HAVING count(*) > 0))"""
+    C[labels] = f"SELECT p.entity_id, {label} - 1 AS label, s.c, s.i AS loops, list_transform(s.c, lambda x: {_to('x')}) AS d FROM points p, {loop} s WHERE s.done"
+    C[out] = f"""
+SELECT p.*, x.label, x.loops, x.min_sq, x.label AS nearest_label, x.own_sq, sqrt(x.own_sq) AS own_distance,
   CASE WHEN greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END AS silhouette_raw
-FROM points p JOIN kl{KMEANS_LOOPS - 1} l USING (entity_id) JOIN (
-  SELECT d.entity_id, min(d.d) AS min_sq, arg_min(d.j, (d.d, d.j)) AS nearest_label, min(d.d) FILTER (d.j = l.label) AS own_sq,
-    CASE WHEN any_value(s.n) <= 1 THEN 0e0 ELSE sqrt(min(d.d) FILTER (d.j = l.label)) END AS a,
-    sqrt(min(d.d) FILTER (d.j <> l.label)) AS b
-  FROM kd d JOIN kl{KMEANS_LOOPS - 1} l USING (entity_id)
-  JOIN (SELECT label, count(*) AS n FROM kl{KMEANS_LOOPS - 1} GROUP BY 1) s ON s.label = l.label GROUP BY 1) x USING (entity_id)"""
+FROM points p JOIN (
+  SELECT entity_id, label, loops, list_min(d) AS min_sq, d[label + 1] AS own_sq,
+    CASE WHEN count(*) OVER (PARTITION BY label) <= 1 THEN 0e0 ELSE sqrt(d[label + 1]) END AS a,
+    sqrt(list_min(list_concat(d[:label], d[label + 2:]))) AS b FROM {labels}) x USING (entity_id)"""
+    return loop, labels, out
+
+
+_FITS = {k: _fit(k) for k in range(2, 7)}
 C["profile_m"] = f"""
 SELECT label, count(*) AS n, any_value(total) AS total,
   {', '.join(f"CAST(sum(CAST(round({f} * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 1e4 AS m{i}" for i, f in enumerate(FEATURES))},
@@ -710,7 +726,7 @@ FROM (SELECT user_id, username, u.department, behavior_deviation_score AS global
   FROM udev u JOIN peer_stat p ON p.department = u.department)"""
 
 # steps evaluated once: the inputs of the recursive steps and what follows them
-_KEPT = {"events_c", "seqs", "seq_ev", "nodes", "edges", "links", "nodes_all", "edges_all", "revid"} | {
+_KEPT = {"events_c", "seqs", "seq_ev", "nodes", "edges", "links", "nodes_all", "edges_all", "revid", "points", "path_levels"} | {n for fit in _FITS.values() for n in fit} | {
     f"{n}_{part}" for n in ("useq", "hseq", "ubur", "hbur") for part in ("t", "next", "m", "ev", "s")}
 _TOKEN = re.compile(r"\b[a-z_][a-z0-9_]*\b", re.I)
 _DEPS = {name: {t for t in _TOKEN.findall(re.sub(r"'[^']*'", "", sql))} & set(C) - {name} for name, sql in C.items()}

@@ -79,11 +79,18 @@ def test_shortest_path(edges, store):
     rows, df = edges
     depth, near = levels(rows, "H3")
     far = max(depth, key=lambda n: (depth[n], n))
-    path = graph.shortest_path(df, "H3", far, store)
+    walk = lambda a, b: [r.node_id for r in graph.shortest_path(df, a, b, store).orderBy("step").collect()]
+    path = walk("H3", far)
     assert path[0] == "H3" and path[-1] == far and len(path) == depth[far] + 1
     assert all(b in near[a] for a, b in zip(path, path[1:]))
-    assert graph.shortest_path(df, "H3", "H3", store) == ["H3"]
-    assert graph.shortest_path(df, "H3", "absent", store) == []
+    assert walk("H3", "H3") == ["H3"]
+    assert walk("H3", "absent") == []
+
+
+def test_path_of_any_length(spark, store):
+    chain = spark.createDataFrame([(f"E{i}", f"N{i:03d}", f"N{i + 1:03d}") for i in range(40)], "edge_id string, source_id string, target_id string")
+    path = graph.shortest_path(chain, "N000", "N040", store).orderBy("step").collect()
+    assert [(r.step, r.node_id) for r in path] == [(i, f"N{i:03d}") for i in range(41)]
 
 
 def test_missing_node_gets_defaults(spark):
@@ -101,7 +108,7 @@ def test_kmeans_equals_numpy(spark, store):
     names = [f"U{i:03d}" for i in range(len(data))]
     points = spark.createDataFrame([(n, *map(float, r)) for n, r in zip(names, data)],
                                    "entity_id string, " + ", ".join(f"{f} double" for f in insights.FEATURES))
-    start = insights.initial_centroids(points, 3, store)
+    start = insights.initial_centroids(*insights.numbered_points(points, store), 3)
     assert start == [data[i * 30].tolist() for i in range(3)]
     fit = insights.kmeans(points, start)
     centroids = data[[0, 30, 60]]

@@ -122,12 +122,13 @@ def test_sequence_types_and_strength(spark):
     assert same.counter_evidence == "SINGLE_SOURCE_ONLY; IDENTICAL_TIMESTAMP_WINDOW"
 
 
-def test_long_sequences_keep_members_as_rows(spark):
+def test_long_sequences_list_all_members(spark):
     ok = ("AUTHENTICATION", "IAM", "OTHER")
-    rows = [(i, *ok) for i in range(6)]
+    rows = [(i % 3000, *ok) for i in range(12_000)]
     evidence = temporal.sequence_evidence(events(spark, rows), "USER")
-    seq = temporal.sequences(evidence, "USER", inline_ids=5).first()
-    assert seq.event_ids is None and seq.event_count == 6 and evidence.count() == 6
+    seq = temporal.sequences(evidence, "USER").first()
+    assert seq.event_count == 12_000 == evidence.count()
+    assert sorted(seq.event_ids.split("; ")) == sorted(f"E{i}" for i in range(12_000))
 
 
 def test_events_without_a_user(spark):

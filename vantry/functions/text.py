@@ -99,11 +99,11 @@ def sha256_status(c: Column) -> Column:
     )
 
 
-def lookup(key: Column, table: dict[str, str], default: Column | None = None) -> Column:
+def lookup(key: Column, table: dict[str, list[str]], default: Column | None = None) -> Column:
     """Label whose alias list holds ``key``; small fixed tables become a CASE."""
     out = None
     for label, aliases in table.items():
-        hit = key.isin(aliases.split("|"))
+        hit = key.isin(aliases)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out if default is None else out.otherwise(default)
 
@@ -203,12 +203,12 @@ def join_flags(flags: list[tuple[Column, str]], sep: str = "; ", default: str =
     return F.coalesce(F.nullif(F.array_join(F.array_compact(names), sep), F.lit("")), F.lit(default))
 
 
-def scrub_markup(c: Column, limit: int = 200) -> Column:
-    """Untrusted field value for display: markup tokens removed, bounded length."""
+def scrub_markup(c: Column, limit: int | None = None) -> Column:
+    """Untrusted field value for display: markup tokens removed, cut to ``limit`` characters where given."""
     t = F.btrim(c, F.lit(BLANKS))
     for token in fv.MARKUP_TOKENS:
         t = F.replace(t, F.lit(token), F.lit(""))
-    return F.coalesce(F.substring(t, 1, limit), F.lit("Unknown"))
+    return F.coalesce(t if limit is None else F.substring(t, 1, limit), F.lit("Unknown"))
 
 
 def scrub_phrases(c: Column) -> Column:
@@ -219,10 +219,10 @@ def scrub_phrases(c: Column) -> Column:
     return t
 
 
-def has_word(low: Column, words: str) -> Column:
-    """Whether a lower-case text contains any of the ``|``-separated words."""
+def has_word(low: Column, words: list[str]) -> Column:
+    """Whether a lower-case text contains any of the words."""
     hit = F.lit(False)
-    for word in words.split("|"):
+    for word in words:
         hit = hit | F.contains(low, F.lit(word))
     return hit
 

@@ -261,29 +261,26 @@ def neighborhood_summary(edges: DataFrame, hood: DataFrame, root: str, max_hops:
         "distinct_edge_count")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, store: TableStore, max_hops: int = 32) -> list[str]:
-    """Fewest-hop path between two nodes, smallest by node ids; [] if none.
+def shortest_path(edges: DataFrame, source: str, target: str, store: TableStore) -> DataFrame:
+    """Rows (step, node_id) of the path of fewest hops, smallest by node ids; none if there is no path.
 
-    Levels grow from the target; the path is then walked from the source by the
-    smallest neighbour one level closer. Only the path itself reaches the driver.
+    Levels grow from the target until they meet the source or end. The path then
+    goes on from the source, one written row per hop, to the smallest neighbour one level
+    closer; nothing but the number of levels is known to the driver.
     """
-    if source == target:
-        return [source]
     levels = _Levels(edges, target, store, store.fresh("path"))
-    while levels.tables[-1].where(F.col("node_id") == source).isEmpty():
-        if len(levels.tables) > max_hops or not levels.grow():
-            return []
-    path = [source]
-    for level in reversed(levels.tables[:-1]):
-        near = levels.links.where(F.col("a") == path[-1]).select(F.col("b").alias("node_id"))
-        path.append(near.join(level, "node_id", "left_semi").agg(F.min("node_id")).first()[0])
-    return path
-
-
-def path_table(edges: DataFrame, source: str, target: str, store: TableStore) -> DataFrame:
-    path = shortest_path(edges, source, target, store)
-    rows = [(i, node) for i, node in enumerate(path)]
-    return edges.sparkSession.createDataFrame(rows, "step long, node_id string")
+    at_source = F.col("node_id") == source
+    while levels.tables[-1].where(at_source).isEmpty():
+        if not levels.grow():
+            return edges.sparkSession.createDataFrame([], "step long, node_id string")
+    here = levels.tables[-1].where(at_source).select(F.lit(0).cast("bigint").alias("step"), "node_id")
+    path = [here]
+    for step, level in enumerate(reversed(levels.tables[:-1]), 1):
+        near = levels.links.join(F.broadcast(here.select(F.col("node_id").alias("a"))), "a").select(F.col("b").alias("node_id"))
+        nearest = near.join(level, "node_id", "left_semi").agg(F.min("node_id").alias("node_id"))
+        here = store.put(store.fresh("path_step"), nearest.select(F.lit(step).cast("bigint").alias("step"), "node_id"))
+        path.append(here)
+    return reduce(DataFrame.unionByName, path)
 
 
 # --- investigation context --------------------------------------------------------------

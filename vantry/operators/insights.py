@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +59,16 @@ def grid_mean(feature: str) -> Column:
     return units.cast("double") / F.count("*") / float(GRID)
 
 
-def initial_centroids(points: DataFrame, k: int, store: TableStore, features: list[str] = FEATURES) -> Centroids:
-    """Rows 0, s, 2s, ... with s = n // k in entity order; only k rows are fetched."""
-    step = points.count() // k
+def numbered_points(points: DataFrame, store: TableStore) -> tuple[DataFrame, int]:
+    """Points with their place in entity order, written once, and how many there are."""
     numbered = running_number(points, ["entity_id"], store, store.fresh("points"), "_row")
-    rows = numbered.where(F.col("_row").isin([i * step for i in range(k)])).orderBy("_row").collect()
+    numbered = store.put(store.fresh("numbered"), numbered)
+    return numbered, numbered.count()
+
+
+def initial_centroids(numbered: DataFrame, count: int, k: int, features: list[str] = FEATURES) -> Centroids:
+    """Rows 0, s, 2s, ... with s = n // k in entity order; only k rows are fetched."""
+    rows = numbered.where(F.col("_row").isin([i * (count // k) for i in range(k)])).orderBy("_row").collect()
     return [[float(r[f]) for f in features] for r in rows]
 
 
@@ -130,13 +136,14 @@ def fit_quality(assigned_points: DataFrame) -> DataFrame:
 
 
 def k_sweep(points: DataFrame, store: TableStore, ks: range = range(2, 7), max_iter: int = 300) -> DataFrame:
-    """Inertia and silhouette for several k."""
-    rows = []
+    """Inertia and silhouette for several k; one row of fit figures each."""
+    numbered, count = numbered_points(points, store)
+    parts = []
     for k in ks:
-        fit = kmeans(points, initial_centroids(points, k, store), max_iter)
-        q = fit_quality(assigned(points, fit)).first()
-        rows.append((k, fit.iterations, q.inertia, q.silhouette))
-    return points.sparkSession.createDataFrame(rows, "k long, iterations long, inertia double, silhouette double")
+        fit = kmeans(numbered, initial_centroids(numbered, count, k), max_iter)
+        parts.append(fit_quality(assigned(numbered, fit)).select(
+            F.lit(k).cast("bigint").alias("k"), F.lit(fit.iterations).cast("bigint").alias("iterations"), "inertia", "silhouette"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cluster_name(c: Column) -> Column:

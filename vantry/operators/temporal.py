@@ -30,7 +30,6 @@ from ..session import TableStore
 
 HOUR = 3_600_000_000
 RUN_LIMIT = 1_000_000
-INLINE_IDS = 10_000
 _START = np.iinfo(np.int64).min // 4
 
 
@@ -301,13 +300,12 @@ def sequence_evidence(
 
 
 def sequences(
-    evidence: DataFrame, kind: str, width: int = HOUR, inline_ids: int = INLINE_IDS,
+    evidence: DataFrame, kind: str, width: int = HOUR,
     fail_action: str = "LOGIN_FAILED", success_action: str = "LOGIN_SUCCESS",
 ) -> DataFrame:
     """One row per sequence, aggregated from its evidence rows.
 
-    ``event_ids`` lists the members of sequences of up to ``inline_ids`` events
-    and is NULL for longer ones, whose members are the evidence rows.
+    ``event_ids`` lists all members in step order; they are also the evidence rows.
     """
     is_cat = lambda c: F.count_if(F.col("event_category") == c)
     is_action = lambda a: F.count_if(F.col("action") == a)
@@ -322,7 +320,7 @@ def sequences(
         is_action(fail_action).alias("n_fail"),
         is_action(success_action).alias("n_success"),
         is_action("DENY").alias("n_deny"),
-        F.array_sort(F.collect_list(F.when(F.col("step") <= inline_ids, F.struct("step", "event_id")))).alias("ids"),
+        F.array_sort(F.collect_list(F.struct("step", "event_id"))).alias("ids"),
     ).withColumn("n_sources", F.size("sources"))
     n, src = F.col("event_count"), F.col("n_sources")
     seconds = F.floor((F.col("last_us") - F.col("anchor")) / F.lit(1e6)).cast("bigint")
@@ -334,7 +332,7 @@ def sequences(
         times.as_text(times.from_micros(F.col("last_us"))).alias("end_time"),
         seconds.alias("duration_seconds"),
         n,
-        F.when(n <= inline_ids, F.array_join(F.transform("ids", lambda x: x["event_id"]), "; ")).alias("event_ids"),
+        F.array_join(F.transform("ids", lambda x: x["event_id"]), "; ").alias("event_ids"),
         F.array_join("sources", "; ").alias("source_datasets"),
         F.lit(width // 60_000_000).cast("bigint").alias("temporal_window_minutes"),
         sequence_confidence(F.lit(1.0), src, n).alias("sequence_confidence"),

@@ -180,8 +180,9 @@ class Pipeline:
             F.col("user_id").alias("entity_id"), "behavior_deviation_score", *insights.FEATURES)
 
     def cluster(self, k: int = 4, max_iter: int = 300, tol: float = 1e-5) -> DataFrame:
-        start = insights.initial_centroids(self.points, k, self.store)
-        return insights.assigned(self.points, insights.kmeans(self.points, start, max_iter, tol))
+        numbered, count = insights.numbered_points(self.points, self.store)
+        fit = insights.kmeans(numbered, insights.initial_centroids(numbered, count, k), max_iter, tol)
+        return insights.assigned(numbered.drop("_row"), fit)
 
     @cached_property
     def clustered(self) -> DataFrame:

@@ -19,7 +19,6 @@ from .pipeline import Pipeline, open_pipeline
 Q: dict[str, Callable[[Pipeline], DataFrame]] = {}
 c = F.col
 USER, TARGET = "EMP7", "EMP12"
-LOOPS = 4
 
 
 def query(name: str):
@@ -468,7 +467,7 @@ Q["G10_risk_evidence"] = lambda p: graph.risk_evidence_of(p.edges, p.risk_scores
 Q["G11_neighborhood"] = lambda p: graph.neighborhood(p.edges, USER, 2, p.store)
 Q["G11_neighborhood_summary"] = lambda p: graph.neighborhood_summary(
     p.edges, graph.neighborhood(p.edges, USER, 2, p.store), USER, 2)
-Q["G12_shortest_path"] = lambda p: graph.path_table(p.edges, USER, TARGET, p.store)
+Q["G12_shortest_path"] = lambda p: graph.shortest_path(p.edges, USER, TARGET, p.store)
 Q["G13_investigation_context"] = lambda p: graph.investigation_context(
     p.nodes, p.edges, p.hypotheses, p.risk_scores.select("entity_id"))
 Q["G13_context_items"] = lambda p: graph.context_items(p.edges, p.risk_scores.select("entity_id"))
@@ -478,52 +477,33 @@ Q["G15_distinct_neighbors"] = lambda p: graph.degrees(p.edges, "CONNECTED_FROM_I
 # --- I: insights -------------------------------------------------------------------------------------
 
 
-def _fixed_clusters(p: Pipeline) -> DataFrame:
-    """Clusters after a fixed number of loops, which SQL can repeat exactly."""
-    if "fixed_clusters" not in p.__dict__:
-        p.__dict__["fixed_clusters"] = p.store.put("fixed_clusters", p.cluster(4, LOOPS, 0.0))
-        p.__dict__["fixed_profiles"] = p.store.put(
-            "fixed_profiles", insights.cluster_profiles(p.__dict__["fixed_clusters"], p.user_risk))
-    return p.__dict__["fixed_clusters"]
-
-
-def _fixed_profiles(p: Pipeline) -> DataFrame:
-    _fixed_clusters(p)
-    return p.__dict__["fixed_profiles"]
-
-
-def _fixed_users(p: Pipeline) -> DataFrame:
-    return insights.user_clusters(_fixed_clusters(p), _fixed_profiles(p), p.identity, p.user_risk)
-
-
-Q["I01_kmeans_fixed_loops"] = lambda p: _fixed_clusters(p).select("entity_id", big(c("label")).alias("label"))
 Q["I01_kmeans_converged"] = lambda p: p.clustered.select("entity_id", big(c("label")).alias("label"))
-Q["I02_inertia"] = lambda p: insights.fit_quality(_fixed_clusters(p)).select("inertia")
-Q["I03_silhouette"] = lambda p: insights.fit_quality(_fixed_clusters(p)).select("silhouette")
-Q["I04_k_sweep"] = lambda p: insights.k_sweep(p.points, p.store, max_iter=20)
-Q["I05_cluster_assignment"] = lambda p: _fixed_users(p)
-Q["I06_cluster_profiles"] = lambda p: _fixed_profiles(p)
-Q["I07_drift"] = lambda p: insights.drift(_fixed_clusters(p), _fixed_profiles(p))
+Q["I02_inertia"] = lambda p: insights.fit_quality(p.clustered).select("inertia")
+Q["I03_silhouette"] = lambda p: insights.fit_quality(p.clustered).select("silhouette")
+Q["I04_k_sweep"] = lambda p: insights.k_sweep(p.points, p.store)
+Q["I05_cluster_assignment"] = lambda p: p.user_clusters
+Q["I06_cluster_profiles"] = lambda p: p.cluster_profiles
+Q["I07_drift"] = lambda p: insights.drift(p.clustered, p.cluster_profiles)
 Q["I08_user_outliers"] = lambda p: insights.user_outliers(p.user_risk)
 Q["I09_host_outliers"] = lambda p: insights.host_outliers(p.host_risk)
 Q["I10_peer_outliers"] = lambda p: p.peer_outliers
 Q["I11_insight_summary"] = lambda p: insights.insight_summary(
-    _fixed_users(p), insights.fit_quality(_fixed_clusters(p)), p.outliers, p.peer_outliers, p.bursts, p.edges)
-Q["I12_risk_concentration"] = lambda p: insights.risk_concentration(_fixed_users(p))
+    p.user_clusters, insights.fit_quality(p.clustered), p.outliers, p.peer_outliers, p.bursts, p.edges)
+Q["I12_risk_concentration"] = lambda p: insights.risk_concentration(p.user_clusters)
 
 # --- L: lookups ----------------------------------------------------------------------------------------
 
 Q["L01_posture"] = lambda p: lookups.posture(p.user_risk, p.host_risk, p.sequences, p.outliers, p.peer_outliers)
 Q["L02_quadrants"] = lambda p: lookups.quadrants(p.risk_scores)
-Q["L03_triage_by_risk"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), _fixed_users(p))
+Q["L03_triage_by_risk"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), p.user_clusters)
 Q["L03_triage_filtered"] = lambda p: lookups.triage_queue(
-    risk.risk_scores(p.user_risk), _fixed_users(p), "confidence", "emp1", risk_level=["MODERATE", "HIGH", "CRITICAL"])
-Q["L03_triage_by_cluster"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), _fixed_users(p), "cluster")
-Q["L03_triage_by_entity"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), _fixed_users(p), "entity")
-Q["L04_cluster_population"] = lambda p: lookups.distribution(_fixed_users(p), "cluster_label")
+    risk.risk_scores(p.user_risk), p.user_clusters, "confidence", "emp1", risk_level=["MODERATE", "HIGH", "CRITICAL"])
+Q["L03_triage_by_cluster"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), p.user_clusters, "cluster")
+Q["L03_triage_by_entity"] = lambda p: lookups.triage_queue(risk.risk_scores(p.user_risk), p.user_clusters, "entity")
+Q["L04_cluster_population"] = lambda p: lookups.distribution(p.user_clusters, "cluster_label")
 Q["L05_risk_rows"] = lambda p: lookups.risk_rows(
     p.iam.where(c("user_id").isNotNull()).select(c("user_id").alias("entity_id")), p.risk_scores)
-Q["L06_behavior_profile"] = lambda p: _flat(lookups.behavior_profile(p.user_risk, _fixed_users(p))).withColumn(
+Q["L06_behavior_profile"] = lambda p: _flat(lookups.behavior_profile(p.user_risk, p.user_clusters)).withColumn(
     "observed_values_authentication_failure_rate", numbers.round_half_up(c("observed_values_authentication_failure_rate"), 6))
 Q["L07_peer_comparison"] = lambda p: lookups.peer_comparison(p.user_risk, p.peer_outliers)
 Q["L08_first_sequences"] = lambda p: _ints(lookups.first_sequences(p.sequences))
@@ -532,7 +512,7 @@ Q["L10_shared_address_links"] = lambda p: lookups.shared_address_links(p.edges)
 Q["L11_high_risk_entities"] = lambda p: lookups.high_risk_entities(risk.risk_scores(p.user_risk), "MODERATE")
 Q["L11_high_risk_by_department"] = lambda p: lookups.distribution(
     lookups.choose(risk.risk_scores(p.user_risk), risk_level=["MODERATE", "HIGH", "CRITICAL"]), "department")
-Q["L12_cluster_profile"] = lambda p: _fixed_profiles(p).where(c("cluster_id") == "CLUSTER_1")
+Q["L12_cluster_profile"] = lambda p: p.cluster_profiles.where(c("cluster_id") == "CLUSTER_1")
 Q["L13_provenance"] = lambda p: lookups.provenance(
     p.events.select(c("event_id").alias("entity_id")).union(p.iam.where(c("user_id").isNotNull()).select("user_id")).union(
         p.endpoint.where(c("hostname").isNotNull()).select("hostname")).union(p.sequences.select("sequence_id")).union(
