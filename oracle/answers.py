@@ -28,10 +28,11 @@ A["S02_json_scan"] = "SELECT event_type, count(*) AS n FROM iam_raw GROUP BY 1"
 A["S03_scan_by_suffix"] = "SELECT severity, count(*) AS n FROM endpoint_raw GROUP BY 1"
 A["S04_source_set"] = " UNION ALL ".join(f"SELECT '{n}_raw' AS source, count(*) AS n FROM {n}_raw" for n in ("identity", "iam", "endpoint", "firewall"))
 A["S05_csv_sink"] = "SELECT event_type, data_quality_status, count(*) AS n FROM iam GROUP BY 1, 2"
-A["S06_parquet_sink"] = "SELECT event_type, count(*) AS n FROM events_c WHERE source_dataset = 'IAM' GROUP BY 1"
-A["S07_nested_json_sink"] = "SELECT entity_id, risk_score AS overall_risk, auth_contribution AS auth FROM urisk WHERE risk_score >= 50"
+A["S06_parquet_sink"] = "SELECT source_dataset, event_type, count(*) AS n FROM events_c GROUP BY 1, 2"
+A["S07_nested_json_sink"] = """SELECT entity_id, 'USER' AS entity_type, risk_score AS overall_risk, auth_contribution AS auth, network_contribution AS network FROM urisk WHERE risk_score >= 50
+UNION ALL SELECT entity_id, 'HOST', risk_score, NULL, network_contribution FROM hrisk WHERE risk_score >= 50"""
 A["S08_table_or_empty"] = "SELECT count(*) AS found_rows, CAST(0 AS BIGINT) AS absent_rows FROM uf"
-A["S09_keyed_records"] = "SELECT entity_id, risk_score AS overall_risk, risk_level FROM urisk WHERE risk_score >= 50"
+A["S09_keyed_records"] = "SELECT entity_id, risk_score AS overall_risk, risk_level FROM urisk WHERE risk_score >= 50 UNION ALL SELECT entity_id, risk_score, risk_level FROM hrisk WHERE risk_score >= 50"
 A["S10_standard_headers"] = "SELECT risk_score, count(*) AS n FROM iam_raw GROUP BY 1"
 
 # --- C, M
@@ -200,7 +201,7 @@ A["J13_referential_subset"] = "SELECT DISTINCT user_id FROM iam WHERE user_id IS
 A["A01_group_aggregates"] = f"""SELECT severity, count(*) AS n, CAST(sum(severity_rank) AS BIGINT) AS rank_sum, CAST(min(severity_rank) AS BIGINT) AS rank_min,
   CAST(max(severity_rank) AS BIGINT) AS rank_max, {rnd('avg(resolution_duration_hours)', 4)} AS mean_hours FROM endpoint GROUP BY 1"""
 A["A02_conditional_counts"] = "SELECT hostname, count(*) FILTER (action = 'DENY') AS denies, count(*) FILTER (threat_flag) AS threats FROM firewall GROUP BY 1"
-A["A03_distinct_counts"] = "SELECT user_id, count(DISTINCT source_ip) AS ips, count(DISTINCT session_id) AS sessions FROM iam GROUP BY 1"
+A["A03_distinct_counts"] = "SELECT user_id, count(*) AS events, count(DISTINCT source_ip) AS ips, count(DISTINCT session_id) AS sessions FROM iam WHERE user_id IS NOT NULL GROUP BY 1"
 A["A04_any"] = "SELECT session_id, bool_or(event_type = 'login_failed') AS any_failed FROM iam WHERE session_id IS NOT NULL GROUP BY 1"
 A["A05_distinct_days_hours"] = "SELECT user_id, distinct_active_days, distinct_active_hours FROM uobs"
 A["A06_median"] = " UNION ALL ".join(
@@ -222,12 +223,23 @@ def _dups(table: str, cols: list[str], name: str) -> str:
 
 IAM_RAW_COLS = ["event_id", "timestamp", "user_id", "username", "department", "event_type", "auth_method", "source_ip", "hostname",
                 "device_id", "session_id", "mfa_passed", "failure_reason", "risk_score", "geo_location"]
-A["A10_row_duplicates"] = _dups("iam_raw", IAM_RAW_COLS, "iam")
-A["A11_key_duplicates"] = """SELECT 'endpoint' AS dataset, 'alert_id' AS id_column, count(alert_id) AS unique_ids, count(*) FILTER (n > 1) AS duplicate_id_values,
-  CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_with_duplicate_ids FROM (SELECT alert_id, count(*) AS n FROM endpoint_raw GROUP BY 1)"""
-_fc = ", ".join(x for x in clean.FIREWALL_COLUMNS if x != "log_id")
-A["A12_conflicting_duplicates"] = f"""SELECT 'firewall' AS dataset, 'session_id' AS id_column, session_id AS id_value, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_row_count
-FROM (SELECT {_fc}, count(*) AS n FROM firewall_raw WHERE session_id IS NOT NULL GROUP BY ALL) GROUP BY session_id HAVING count(*) > 1"""
+ENDPOINT_RAW_COLS = [x for x in clean.ENDPOINT_COLUMNS if x not in ("severity_rank", "resolution_duration_hours")]
+RAW_COLS = {"identity": clean.IDENTITY_COLUMNS, "iam": IAM_RAW_COLS, "endpoint": ENDPOINT_RAW_COLS, "firewall": clean.FIREWALL_COLUMNS}
+RAW_KEYS = {"identity": "user_id", "iam": "event_id", "endpoint": "alert_id", "firewall": "log_id"}
+RAW_TIMES = [("iam", "timestamp", False), ("endpoint", "detected_timestamp", True), ("endpoint", "resolved_timestamp", True), ("firewall", "timestamp", False)]
+
+
+def over_raw(one) -> str:
+    """A report for each raw table: ``one(table, columns, name)``."""
+    return " UNION ALL ".join(f"FROM ({one(f'{n}_raw', cols, n)})" for n, cols in RAW_COLS.items())
+
+
+A["A10_row_duplicates"] = over_raw(_dups)
+A["A11_key_duplicates"] = over_raw(lambda t, cols, n: f"""SELECT '{n}' AS dataset, '{RAW_KEYS[n]}' AS id_column, count({RAW_KEYS[n]}) AS unique_ids, count(*) FILTER (n > 1) AS duplicate_id_values,
+  CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_with_duplicate_ids FROM (SELECT {RAW_KEYS[n]}, count(*) AS n FROM {t} GROUP BY 1)""")
+A["A12_conflicting_duplicates"] = over_raw(lambda t, cols, n: f"""SELECT '{n}' AS dataset, '{RAW_KEYS[n]}' AS id_column, {RAW_KEYS[n]} AS id_value, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_row_count
+FROM (SELECT {', '.join(cols)}, count(*) AS n FROM {t} WHERE {RAW_KEYS[n]} IS NOT NULL GROUP BY ALL) GROUP BY {RAW_KEYS[n]} HAVING count(*) > 1""") + f""" UNION ALL SELECT 'firewall', 'session_id', session_id, CAST(sum(n) AS BIGINT), count(*)
+FROM (SELECT {', '.join(x for x in clean.FIREWALL_COLUMNS if x != 'log_id')}, count(*) AS n FROM firewall_raw WHERE session_id IS NOT NULL GROUP BY ALL) GROUP BY session_id HAVING count(*) > 1"""
 A["A13_span_days"] = "SELECT hostname, historical_span_days FROM hobs"
 A["A14_share_of_total"] = f"SELECT alert_name, count(*) AS n, {rnd('count(*) * 100e0 / sum(count(*)) OVER ()', 2)} AS pct FROM endpoint GROUP BY 1"
 A["A15_group_byte_sum"] = "SELECT hostname, sum(bytes_sent) AS sent, sum(bytes_received) AS received FROM firewall GROUP BY 1"
@@ -235,7 +247,7 @@ A["A15_group_byte_sum"] = "SELECT hostname, sum(bytes_sent) AS sent, sum(bytes_r
 # --- W, O, U
 A["W01_percentile_rank"] = f"SELECT user_id, {rnd('department_failed_login_percentile', 6)} AS pct FROM uf"
 A["W02_step_number"] = "SELECT sequence_id, event_id, step FROM useq_ev"
-A["W03_running_number"] = "SELECT sequence_id, 999 + row_number() OVER (ORDER BY entity_id, start_time, sequence_id) AS number FROM useq_s"
+A["W03_running_number"] = "SELECT sequence_id, 999 + row_number() OVER (ORDER BY entity_id, start_time, sequence_id) AS number FROM seqs"
 A["W04_group_statistic_on_rows"] = "SELECT user_id, peer_endpoint_alert_median, failed_login_count FROM ub"
 _var = lambda t, ds, cols: " UNION ALL ".join(
     f"SELECT '{ds}' AS dataset, '{x}' AS column_name, trim({x}) AS raw_value, count(*) AS frequency FROM {t} WHERE {x} IS NOT NULL GROUP BY 3" for x in cols)
@@ -544,17 +556,18 @@ A["L20_critical_alerts_by_day"] = f"SELECT {_day('detected_timestamp')}, count(*
 _prof = lambda t, ds, cols: " UNION ALL ".join(
     f"SELECT '{ds}' AS dataset, '{x}' AS column_name, count(*) AS row_count, 'string' AS dtype, count(*) - count({x}) AS missing_count, "
     f"{pct(f'(count(*) - count({x}))', 'count(*)')} AS missing_percentage, count(DISTINCT {x}) AS unique_count FROM {t}" for x in cols)
-A["Q01_column_profile"] = _prof("iam_raw", "iam", IAM_RAW_COLS)
-A["Q02_missing_report"] = f"SELECT dataset, column_name, missing_count, missing_percentage FROM ({_prof('firewall_raw', 'firewall', clean.FIREWALL_COLUMNS)})"
-ENDPOINT_RAW_COLS = [x for x in clean.ENDPOINT_COLUMNS if x not in ("severity_rank", "resolution_duration_hours")]
-A["Q03_top_values"] = "SELECT 'endpoint' AS dataset, column_name, coalesce(value, 'nan') AS value, n FROM (" + " UNION ALL ".join(
-    f"(SELECT '{x}' AS column_name, {x} AS value, count(*) AS n FROM endpoint_raw GROUP BY 2 ORDER BY n DESC, value ASC NULLS FIRST LIMIT 50)" for x in ENDPOINT_RAW_COLS) + ")"
-A["Q04_variations"] = _var("iam_raw", "iam", ["department", "event_type", "auth_method"])
-_tp = when(trim("timestamp"), day_first=False)
-A["Q05_timestamp_profile"] = f"""SELECT 'iam' AS dataset, 'timestamp' AS column_name, count(*) AS total_rows, count(*) - count(t) AS raw_missing, count(t) AS non_missing, count(v) AS parseable_values,
+A["Q01_column_profile"] = over_raw(lambda t, cols, n: _prof(t, n, cols))
+A["Q02_missing_report"] = f"SELECT dataset, column_name, missing_count, missing_percentage FROM ({A['Q01_column_profile']})"
+A["Q03_top_values"] = over_raw(lambda t, cols, n: f"SELECT '{n}' AS dataset, column_name, coalesce(value, 'nan') AS value, n FROM (" + " UNION ALL ".join(
+    f"(SELECT '{x}' AS column_name, {x} AS value, count(*) AS n FROM {t} GROUP BY 2 ORDER BY n DESC, value ASC NULLS FIRST LIMIT 50)" for x in cols) + ")")
+_SPELLED = {"identity": ["department", "status"], "iam": ["department", "event_type", "auth_method"], "endpoint": ["severity", "status"], "firewall": ["protocol", "action"]}
+A["Q04_variations"] = over_raw(lambda t, cols, n: _var(t, n, _SPELLED[n]))
+A["Q05_timestamp_profile"] = " UNION ALL ".join(f"""SELECT '{n}' AS dataset, '{x}' AS column_name, count(*) AS total_rows, count(*) - count(t) AS raw_missing, count(t) AS non_missing, count(v) AS parseable_values,
   count(t) - count(v) AS parse_failures, count(DISTINCT t) AS unique_raw_values, {pct('count(v)', 'count(t)')} AS parse_success_rate_pct
-FROM (SELECT {trim('timestamp')} AS t, {_tp} AS v FROM iam_raw)"""
-A["Q06_parse_failures"] = f"SELECT DISTINCT {trim('detected_timestamp')} AS raw_value FROM endpoint_raw WHERE {trim('detected_timestamp')} IS NOT NULL AND {when(trim('detected_timestamp'))} IS NULL ORDER BY 1 LIMIT 100"
+FROM (SELECT {trim(x)} AS t, {when(trim(x), day_first=first)} AS v FROM {n}_raw)""" for n, x, first in RAW_TIMES)
+A["Q06_parse_failures"] = " UNION ALL ".join(
+    f"(SELECT DISTINCT {trim(x)} AS raw_value, '{n}' AS dataset, '{x}' AS column_name FROM {n}_raw WHERE {trim(x)} IS NOT NULL AND {when(trim(x), day_first=first)} IS NULL ORDER BY 1 LIMIT 100)"
+    for n, x, first in RAW_TIMES)
 A["Q07_chronology_issues"] = f"SELECT alert_id, {text('detected_timestamp')} AS detected, {text('resolved_timestamp')} AS resolved, user_id, hostname, severity, status, {_CHRON} FROM endpoint WHERE chronology_issue"
 A["Q08_invalid_values"] = f"SELECT sha256 AS raw_value, {_status} AS status, count(*) AS n FROM endpoint_raw GROUP BY 1, 2 HAVING status NOT IN ('valid_sha256', 'missing')"
 

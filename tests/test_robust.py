@@ -32,14 +32,23 @@ def skewed(spark):
     )
 
 
-def test_bracketed_medians_equal_direct_ones(spark, skewed, monkeypatch):
-    direct = {r.g: r.asDict() for r in robust.robust_stats(skewed, ["v", "w"], ["g"]).collect()}
-    monkeypatch.setattr(robust, "DIRECT_ROWS", 0)
-    bracketed = {r.g: r.asDict() for r in robust.robust_stats(skewed, ["v", "w"], ["g"]).collect()}
-    assert direct == bracketed
-    assert robust.global_stats(skewed, ["v", "w"])["w"] == pytest.approx(
-        (statistics.median([i * 7919 % 20_011 for i in range(20_000)]),
-         robust.global_stats(skewed, ["w"])["w"][1]))
+def test_medians_equal_built_in_ones(spark, skewed):
+    got = {r.g: r.asDict() for r in robust.robust_stats(skewed, ["v", "w"], ["g"]).collect()}
+    rows = skewed.collect()
+    for g in {r.g for r in rows}:
+        for m in ("v", "w"):
+            values = [r[m] for r in rows if r.g == g]
+            middle = statistics.median(values)
+            assert got[g][f"{m}_median"] == pytest.approx(middle)
+            assert got[g][f"{m}_mad"] == pytest.approx(statistics.median(abs(x - middle) for x in values))
+    every = [r.w for r in rows]
+    assert robust.global_stats(skewed, ["v", "w"])["w"][0] == pytest.approx(statistics.median(every))
+
+
+def test_groups_without_values_keep_their_row(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("b", 4.0), (None, 7.0)], "g string, v double")
+    assert {r.g: r.v_median for r in robust.wide_medians(df, ["v"], ["g"]).collect()} == {"a": None, "b": 3.0, None: 7.0}
+    assert robust.global_medians(df.where("g = 'a'"), ["v"]) == {"v": None}
 
 
 def test_missing_median_fails(spark):

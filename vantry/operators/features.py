@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, times
 from .canonical import host_names
+from .joins import with_distinct_counts
 from .robust import percentile_rank
 
 USER_COUNTS = [
@@ -23,17 +24,17 @@ HOST_COUNTS = [
 
 def user_features(identity: DataFrame, iam: DataFrame, endpoint: DataFrame) -> DataFrame:
     """One row per identity user: 14 counts, two rates, evidence, percentile."""
-    auth = iam.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+    known = iam.where(F.col("user_id").isNotNull())
+    auth = known.groupBy("user_id").agg(
         F.count("*").alias("authentication_event_count"),
         F.count_if(F.col("event_type") == "login_failed").alias("failed_login_count"),
         F.count_if(F.col("event_type") == "login_success").alias("successful_login_count"),
         F.count_if(~F.col("mfa_passed")).alias("mfa_failure_count"),
-        F.count_distinct("source_ip").alias("unique_source_ip_count"),
-        F.count_distinct("session_id").alias("session_count"),
         F.count_if(F.col("data_quality_status") == "UNKNOWN").alias("unknown_evidence_count"),
         F.count_if(times.off_hours(F.col("timestamp"))).alias("off_hours_activity_count"),
         F.max("risk_numeric").alias("source_risk_max"),
     )
+    auth = with_distinct_counts(auth, known, "user_id", {"unique_source_ip_count": "source_ip", "session_count": "session_id"})
     alerts = endpoint.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count("*").alias("endpoint_alert_count"),
         *[
@@ -60,16 +61,16 @@ def user_features(identity: DataFrame, iam: DataFrame, endpoint: DataFrame) -> D
 
 
 def host_features(identity: DataFrame, endpoint: DataFrame, firewall: DataFrame) -> DataFrame:
-    fw = firewall.where(F.col("hostname").isNotNull()).groupBy("hostname").agg(
+    flows = firewall.where(F.col("hostname").isNotNull())
+    fw = flows.groupBy("hostname").agg(
         F.count("*").alias("firewall_event_count"),
         F.count_if(F.col("action") == "DENY").alias("firewall_deny_count"),
         F.count_if(F.col("threat_flag")).alias("threat_flag_count"),
-        F.count_distinct("src_ip").alias("unique_source_ip_count"),
-        F.count_distinct("dst_ip").alias("unique_destination_ip_count"),
         F.sum("bytes_sent").alias("bytes_sent"),
         F.sum("bytes_received").alias("bytes_received"),
-        F.count_distinct("session_id").alias("session_count"),
     )
+    fw = with_distinct_counts(fw, flows, "hostname", {
+        "unique_source_ip_count": "src_ip", "unique_destination_ip_count": "dst_ip", "session_count": "session_id"})
     ep = endpoint.where(F.col("hostname").isNotNull()).groupBy("hostname").agg(
         F.count("*").alias("endpoint_alert_count"),
         F.count_if(F.col("severity") == "Critical").alias("critical_endpoint_alert_count"),

@@ -219,7 +219,7 @@ class _Levels:
         self.tables = [store.put(f"{name}_0", start)]
 
     def grow(self) -> bool:
-        frontier = broadcast_if_small(self.tables[-1].select(F.col("node_id").alias("a")))
+        frontier = broadcast_if_small(self.tables[-1].select(F.col("node_id").alias("a")), written=True)
         reached = self.links.join(frontier, "a").select(F.col("b").alias("node_id")).distinct()
         # an undirected search can only meet the last two levels again
         for seen in self.tables[-2:]:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BROADCAST_ROWS = 20_000
 NULL_SALTS = 512
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side only after seeing that it has at most ``rows`` rows.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, written: bool = False) -> DataFrame:
+    """The side written once, and broadcast if it then counts at most ``rows`` rows.
 
-    At most ``rows + 1`` rows are fetched for the check. A larger side is
-    returned unhinted, so the optimizer picks a shuffled join for it.
+    A larger side is returned unhinted, so the optimizer picks a shuffled join for
+    it. ``written`` says that the side is a stored table already.
     """
-    head = df.limit(rows + 1).collect()
-    if len(head) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    side = df if written else cut(df)
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
 def spread_null_key(key: Column, *spread_by: str) -> Column:
@@ -72,6 +72,18 @@ def coverage(df: DataFrame, key: Column, members: DataFrame, member_key: Column,
     )
 
 
+def with_distinct_counts(counts: DataFrame, rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Add the number of distinct values of each column per key.
+
+    Every column is counted over its own distinct pairs. Several exact distinct
+    counts in one aggregation would copy each row once per column first.
+    """
+    for name, column in columns.items():
+        pairs = rows.where(F.col(column).isNotNull()).select(key, column).distinct()
+        counts = counts.join(pairs.groupBy(key).agg(F.count("*").alias(name)), key, "left").fillna(0, [name])
+    return counts
+
+
 def one_row(parts: list[DataFrame]) -> DataFrame:
     """Put one-row frames side by side (a union folded to one row, no join)."""
     stacked = parts[0]

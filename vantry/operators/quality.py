@@ -37,21 +37,28 @@ def shares(df: DataFrame, column: str) -> DataFrame:
         column, "n", numbers.round_half_up(n * 100.0 / F.lit(float(total)), 2).alias("pct"))
 
 
+def missing_counts(df: DataFrame) -> DataFrame:
+    """Rows and missing values per column, all in one aggregate that explodes nothing."""
+    names = df.columns
+    one = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in names])
+    return one.unpivot(["_rows"], [f"m_{c}" for c in names], "column_name", "missing_count").select(
+        F.substring(F.col("column_name"), 3, 1 << 30).alias("column_name"), F.col("_rows").alias("row_count"), "missing_count")
+
+
 def column_profile(df: DataFrame, dataset: str) -> DataFrame:
     """Rows, type, missing and distinct values per column."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
-    out = value_counts(df, list(types)).groupBy("column_name").agg(
-        F.sum("n").alias("row_count"), missing.alias("missing_count"), F.count("value").alias("unique_count"))
+    unique = value_counts(df, list(types)).groupBy("column_name").agg(F.count("value").alias("unique_count"))
     dtype = reduce(lambda acc, kv: F.when(F.col("column_name") == kv[0], kv[1]).otherwise(acc), types.items(), F.lit(None))
-    return out.select(
+    return missing_counts(df).join(unique, "column_name", "left").select(
         F.lit(dataset).alias("dataset"), "column_name", "row_count", dtype.alias("dtype"), "missing_count",
-        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"), "unique_count")
+        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 
 
 def missing_report(df: DataFrame, dataset: str) -> DataFrame:
-    return column_profile(df, dataset).select("dataset", "column_name", "missing_count", "missing_percentage").orderBy(
-        F.desc("missing_percentage"), "column_name")
+    return missing_counts(df).select(
+        F.lit(dataset).alias("dataset"), "column_name", "missing_count",
+        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage")).orderBy(F.desc("missing_percentage"), "column_name")
 
 
 def top_values(df: DataFrame, dataset: str, n: int = 50) -> DataFrame:

@@ -1,69 +1,53 @@
 """Exact medians and median absolute deviations, per group or over all rows.
 
-Up to ``DIRECT_ROWS`` rows (counted first) the built-in ``median`` is used. It
-keeps every distinct value of a group in one task, so beyond that the median is
-bracketed with a mergeable quantile sketch and picked exactly from the few rows
-inside the bracket.
+Values are counted per group (combined map-side) and range-partitioned; the
+totals of the partitions tell which one holds the middle ranks of each group, and
+only that one is ranked. The same path serves every size, and no group or metric
+is ever ordered in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .joins import broadcast_if_small
 
-DIRECT_ROWS = 2_000_000
-SKETCH_ACCURACY = 10_000
-
 
-def _bracketed_medians(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of ``value`` per ``keys`` from a bracket that must contain it."""
-    eps = 2.0 / SKETCH_ACCURACY
-    brackets = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", [0.5 - eps, 0.5 + eps], SKETCH_ACCURACY).alias("q"),
-    )
-    brackets = broadcast_if_small(brackets)
-    inside = (
-        long.join(brackets, keys)
-        .where(F.col("value") <= F.col("q")[1])
-        .groupBy(*keys, F.when(F.col("value") >= F.col("q")[0], F.col("value")).alias("v"))
-        .agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
-    upto = F.sum("c").over(order)
+def value_medians(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Median of ``value`` (not NULL) per ``keys``; keys may be NULL."""
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    placed = cut(counts.repartitionByRange(*keys, "value").withColumn("_p", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_p").agg(F.sum("c").alias("t"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("t").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "_p", "t", F.coalesce(before, F.lit(0)).alias("b"), F.sum("t").over(whole).alias("n"))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = totals.where((F.col("b") < high) & (F.col("b") + F.col("t") >= low))
+    middle = middle.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_p").alias("_q"), "b", "n")
+    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_p") == F.col("_q"))
+    upto = F.col("b") + F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy("value"))
+    inside = placed.join(middle, match).select(*keys, "value", "c", "n", upto.alias("upto"))
 
     def pick(rank):
-        return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v")))
-
-    picked = (
-        inside.withColumn("upto", upto)
-        .withColumns({"lo": low, "hi": high})
-        .groupBy(*keys)
-        .agg(F.first("n").alias("n"), pick(F.col("lo")).alias("a"), pick(F.col("hi")).alias("b"))
-    )
-    median = F.col("a") * 0.5 + F.col("b") * 0.5
-    guard = F.raise_error(F.lit("median outside its sketch bracket"))
-    return picked.select(*keys, "n", F.coalesce(median, guard.cast("double")).alias("median"))
-
+        return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("value")))
 
-def _named(metrics: list[str], suffix: str, of=lambda m: F.col(m)) -> list:
-    return [F.median(of(m)).alias(m + suffix) for m in metrics]
+    picked = inside.groupBy(*keys).agg(F.first("n").alias("n"), pick(low).alias("a"), pick(high).alias("z"))
+    return picked.select(*keys, "n", (F.col("a") * 0.5 + F.col("z") * 0.5).alias("median"))
 
 
-def wide_medians(
-    df: DataFrame, metrics: list[str], groups: list[str], suffix: str = "_median", rows: int | None = None
-) -> DataFrame:
-    """Exact medians, one row per group, columns ``<metric><suffix>``."""
+def wide_medians(df: DataFrame, metrics: list[str], groups: list[str], suffix: str = "_median") -> DataFrame:
+    """Exact medians, one row per group, columns ``<metric><suffix>``; NULL where a group has no value."""
     data = df.select(*groups, *[F.col(m).cast("double").alias(m) for m in metrics])
-    if (data.count() if rows is None else rows) <= DIRECT_ROWS:
-        return data.groupBy(*groups).agg(*_named(metrics, suffix))
     long = data.unpivot(groups, metrics, "metric", "value").where(F.col("value").isNotNull())
-    picked = _bracketed_medians(long, [*groups, "metric"])
-    return picked.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m + suffix) for m in metrics])
+    picked = value_medians(long, [*groups, "metric"]).select(*groups, "metric", "median")
+    if groups:  # groups without any value keep their row
+        every = data.select(*groups).distinct()
+        picked = picked.unionByName(every.withColumns({"metric": F.lit(None).cast("string"), "median": F.lit(None).cast("double")}))
+    return picked.groupBy(*groups).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m + suffix) for m in metrics])
 
 
 def medians(df: DataFrame, metrics: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -80,15 +64,14 @@ def robust_stats(df: DataFrame, metrics: list[str], groups: list[str] | None = N
     Groups must not be NULL; fill them with a label first.
     """
     groups = groups or []
-    rows = df.count()
-    centre = wide_medians(df, metrics, groups, "_median", rows)
+    centre = wide_medians(df, metrics, groups, "_median")
     if groups:
         joined = df.select(*groups, *metrics).join(broadcast_if_small(centre), groups)
     else:
         first = centre.first()
         joined = df.select(*metrics).withColumns({f"{m}_median": F.lit(first[f"{m}_median"]) for m in metrics})
     spread = joined.select(*groups, *[F.abs(F.col(m) - F.col(f"{m}_median")).alias(m) for m in metrics])
-    mad = wide_medians(spread, metrics, groups, "_mad", rows)
+    mad = wide_medians(spread, metrics, groups, "_mad")
     if groups:
         return centre.join(mad, groups)
     return mad.select(*[F.lit(first[f"{m}_median"]).alias(f"{m}_median") for m in metrics], *[f"{m}_mad" for m in metrics])

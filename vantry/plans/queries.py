@@ -7,6 +7,7 @@ Names start with the operator's row in the inventory. Each entry takes a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ from .pipeline import Pipeline, open_pipeline
 Q: dict[str, Callable[[Pipeline], DataFrame]] = {}
 c = F.col
 USER, TARGET = "EMP7", "EMP12"
+KEYS = {"identity": "user_id", "iam": "event_id", "endpoint": "alert_id", "firewall": "log_id"}
+SPELLED = {
+    "identity": ["department", "status"], "iam": ["department", "event_type", "auth_method"],
+    "endpoint": ["severity", "status"], "firewall": ["protocol", "action"],
+}
+TIMES = [  # table, column, whether an ambiguous date has its day first
+    ("iam", "timestamp", False), ("endpoint", "detected_timestamp", True), ("endpoint", "resolved_timestamp", True), ("firewall", "timestamp", False),
+]
 
 
 def query(name: str):
@@ -67,10 +76,26 @@ def _(p):
     return io.read_table(p.spark, path).groupBy("severity").agg(F.count("*").alias("n"))
 
 
+SOURCES = ["identity", "iam", "endpoint", "firewall"]
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def each_raw(report) -> Callable[[Pipeline], DataFrame]:
+    """A report over each of the four raw tables, one below the other."""
+    return lambda p: stacked([report(p.raw[f"{n}_raw"], n) for n in SOURCES])
+
+
 @query("S04_source_set")
 def _(p):
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("source"), "n") for n, df in p.raw.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    paths = {n: _path(p, n) for n in ("identity_raw.csv", "iam_raw.json", "endpoint_raw.parquet", "firewall_raw.csv")}
+    for name, path in paths.items():
+        table, kind = name.split(".")
+        {"csv": io.write_csv, "json": io.write_json, "parquet": io.write_parquet}[kind](p.raw[table], path)
+    read = io.read_sources(p.spark, {n.split(".")[0]: path for n, path in paths.items()})
+    return stacked([df.agg(F.count("*").alias("n")).select(F.lit(n).alias("source"), "n") for n, df in read.items()])
 
 
 @query("S05_csv_sink")
@@ -85,14 +110,17 @@ def _(p):
 def _(p):
     path = _path(p, "events")
     io.write_parquet(p.events, path, ["source_dataset"])
-    return p.spark.read.parquet(path).where("source_dataset = 'IAM'").groupBy("event_type").agg(F.count("*").alias("n"))
+    return p.spark.read.parquet(path).groupBy("source_dataset", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("S07_nested_json_sink")
 def _(p):
     path = _path(p, "why.json")
-    io.write_json(risk.explanations(p.user_risk, "USER"), path)
-    return p.spark.read.json(path).select("entity_id", "overall_risk", c("top_contributors.authentication").alias("auth"))
+    both = risk.explanations(p.user_risk, "USER").unionByName(risk.explanations(p.host_risk, "HOST"), allowMissingColumns=True)
+    io.write_json(both, path)
+    schema = both.schema
+    return p.spark.read.schema(schema).json(path).select(
+        "entity_id", "entity_type", "overall_risk", c("top_contributors.authentication").alias("auth"), c("top_contributors.network").alias("network"))
 
 
 @query("S08_table_or_empty")
@@ -107,7 +135,7 @@ def _(p):
 
 @query("S09_keyed_records")
 def _(p):
-    keyed = io.as_map(risk.explanations(p.user_risk, "USER"), "entity_id")
+    keyed = stacked([io.as_map(risk.explanations(df, kind), "entity_id") for df, kind in ((p.user_risk, "USER"), (p.host_risk, "HOST"))])
     return keyed.select(
         c("key").alias("entity_id"), F.get_json_object("value", "$.overall_risk").cast("double").alias("overall_risk"),
         F.get_json_object("value", "$.risk_level").alias("risk_level"))
@@ -304,8 +332,9 @@ Q["A01_group_aggregates"] = lambda p: p.endpoint.groupBy("severity").agg(
     big(F.max("severity_rank")).alias("rank_max"), numbers.round_half_up(F.avg("resolution_duration_hours"), 4).alias("mean_hours"))
 Q["A02_conditional_counts"] = lambda p: p.firewall.groupBy("hostname").agg(
     F.count_if(c("action") == "DENY").alias("denies"), F.count_if("threat_flag").alias("threats"))
-Q["A03_distinct_counts"] = lambda p: p.iam.groupBy("user_id").agg(
-    F.count_distinct("source_ip").alias("ips"), F.count_distinct("session_id").alias("sessions"))
+Q["A03_distinct_counts"] = lambda p: joins.with_distinct_counts(
+    p.iam.where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("events")), p.iam.where("user_id is not null"), "user_id",
+    {"ips": "source_ip", "sessions": "session_id"})
 Q["A04_any"] = lambda p: p.iam.where(c("session_id").isNotNull()).groupBy("session_id").agg(
     F.bool_or(c("event_type") == "login_failed").alias("any_failed"))
 Q["A05_distinct_days_hours"] = lambda p: baselines.observations(p.events, "user_id").select("user_id", "distinct_active_days", "distinct_active_hours")
@@ -314,9 +343,11 @@ Q["A07_median_absolute_deviation"] = lambda p: robust.robust_stats(p.host_featur
     "feature_confidence", *[numbers.round_half_up(c(f"{m}_{s}"), 6).alias(f"{m}_{s}") for m in ("bytes_sent", "firewall_deny_ratio") for s in ("median", "mad")])
 Q["A08_value_counts"] = lambda p: p.raw["endpoint_raw"].groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
 Q["A09_distinct_values"] = lambda p: p.events.select(c("source_ip").alias("ip")).union(p.events.select("destination_ip")).where("ip is not null").distinct()
-Q["A10_row_duplicates"] = lambda p: quality.duplicate_rows(p.raw["iam_raw"], "iam")
-Q["A11_key_duplicates"] = lambda p: quality.duplicate_keys(p.raw["endpoint_raw"], "endpoint", "alert_id")
-Q["A12_conflicting_duplicates"] = lambda p: quality.conflicting_keys(p.raw["firewall_raw"].drop("log_id"), "firewall", "session_id")
+Q["A10_row_duplicates"] = each_raw(quality.duplicate_rows)
+Q["A11_key_duplicates"] = each_raw(lambda df, n: quality.duplicate_keys(df, n, KEYS[n]))
+Q["A12_conflicting_duplicates"] = lambda p: stacked([
+    *[quality.conflicting_keys(p.raw[f"{n}_raw"], n, KEYS[n]) for n in SOURCES],
+    quality.conflicting_keys(p.raw["firewall_raw"].drop("log_id"), "firewall", "session_id")])
 Q["A13_span_days"] = lambda p: baselines.observations(p.events, "hostname").select("hostname", "historical_span_days")
 Q["A14_share_of_total"] = lambda p: quality.shares(p.endpoint, "alert_name")
 Q["A15_group_byte_sum"] = lambda p: p.firewall.groupBy("hostname").agg(F.sum("bytes_sent").alias("sent"), F.sum("bytes_received").alias("received"))
@@ -326,7 +357,7 @@ Q["A15_group_byte_sum"] = lambda p: p.firewall.groupBy("hostname").agg(F.sum("by
 Q["W01_percentile_rank"] = lambda p: p.user_features.select("user_id", numbers.round_half_up(c("department_failed_login_percentile"), 6).alias("pct"))
 Q["W02_step_number"] = lambda p: p.user_sequence_evidence.select("sequence_id", "event_id", big(c("step")).alias("step"))
 Q["W03_running_number"] = lambda p: ids.running_number(
-    p.sequences.where("entity_type = 'USER'").select("entity_id", "start_time", "sequence_id"), ["entity_id", "start_time", "sequence_id"],
+    p.sequences.select("entity_id", "start_time", "sequence_id"), ["entity_id", "start_time", "sequence_id"],
     p.store, p.store.fresh("numbered"), "number", 1000).select("sequence_id", big(c("number")).alias("number"))
 Q["W04_group_statistic_on_rows"] = lambda p: p.user_baselines.select("user_id", "peer_endpoint_alert_median", "failed_login_count")
 Q["O01_multi_key_sort"] = lambda p: quality.variations(p.raw["endpoint_raw"], "endpoint", ["severity", "status"]).orderBy("column_name", F.desc("frequency"), "raw_value")
@@ -560,12 +591,15 @@ Q["L20_critical_alerts_by_day"] = lambda p: lookups.critical_alerts_by_day(p.end
 
 # --- Q: profiling and checks ---------------------------------------------------------------------------
 
-Q["Q01_column_profile"] = lambda p: quality.column_profile(p.raw["iam_raw"], "iam")
-Q["Q02_missing_report"] = lambda p: quality.missing_report(p.raw["firewall_raw"], "firewall")
-Q["Q03_top_values"] = lambda p: _ints(quality.top_values(p.raw["endpoint_raw"], "endpoint"))
-Q["Q04_variations"] = lambda p: quality.variations(p.raw["iam_raw"], "iam", ["department", "event_type", "auth_method"])
-Q["Q05_timestamp_profile"] = lambda p: quality.timestamp_profile(p.raw["iam_raw"], "iam", "timestamp", day_first=False)
-Q["Q06_parse_failures"] = lambda p: quality.parse_failures(p.raw["endpoint_raw"], "detected_timestamp")
+Q["Q01_column_profile"] = each_raw(quality.column_profile)
+Q["Q02_missing_report"] = each_raw(quality.missing_report)
+Q["Q03_top_values"] = lambda p: _ints(each_raw(quality.top_values)(p))
+Q["Q04_variations"] = each_raw(lambda df, n: quality.variations(df, n, SPELLED[n]))
+Q["Q05_timestamp_profile"] = lambda p: stacked([
+    quality.timestamp_profile(p.raw[f"{n}_raw"], n, column, day_first=first) for n, column, first in TIMES])
+Q["Q06_parse_failures"] = lambda p: stacked([
+    quality.parse_failures(p.raw[f"{n}_raw"], column, day_first=first).withColumns({"dataset": F.lit(n), "column_name": F.lit(column)})
+    for n, column, first in TIMES])
 Q["Q07_chronology_issues"] = lambda p: quality.chronology_issues(p.endpoint)
 Q["Q08_invalid_values"] = lambda p: quality.invalid_values(
     p.raw["endpoint_raw"], "sha256", text.sha256_status(c("raw_value")), ["valid_sha256", "missing"])

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,20 +29,26 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors share one machine, may fall
-    back to a temporary folder.
+    Where it is unset, a folder beside the warehouse is taken: a local master's is
+    on its one machine, and a cluster's warehouse is shared.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(folder)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        folder = f"{warehouse}-checkpoints"
+        context.setCheckpointDir(folder)
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder, without their lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 class TableStore:
     """Stage tables written once as parquet and read back many times.
 

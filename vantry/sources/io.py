@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +24,12 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, an array, an object that wraps an array, or one object.
 
-    The first line of text tells the layout. Lines stay splittable, which is
-    the form to use for large inputs.
+    A line that ends with an opening bracket is no whole record, so the text spans
+    lines; else every line is read on its own, which stays splittable. A wrapping
+    object shows in the schema. No text reaches the driver.
     """
-    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
-    try:
-        first = json.loads(head.value) if head else {}
-    except json.JSONDecodeError:
-        first = None
-    wrapped = isinstance(first, dict) and any(isinstance(first.get(k), list) for k in RECORD_KEYS)
-    if isinstance(first, (dict, list)) and not wrapped:
-        return spark.read.json(path)
-    df = spark.read.option("multiLine", True).json(path)
+    open_ended = spark.read.text(path).where(F.rtrim("value").rlike(r"[\[{]$"))
+    df = spark.read.option("multiLine", not open_ended.isEmpty()).json(path)
     for key in RECORD_KEYS:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType):
             return df.select(F.inline(key))
