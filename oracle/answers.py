@@ -113,7 +113,7 @@ SELECT CASE WHEN {_rs} IS NULL THEN 'missing' WHEN regexp_full_match({_rs}, {q(N
 A["N06_iam_time"] = f"SELECT {trim('timestamp')} AS raw, {text(when(trim('timestamp'), day_first=False))} AS value FROM iam_raw"
 A["N07_alert_time"] = f"SELECT {trim('detected_timestamp')} AS raw, {text(when(trim('detected_timestamp')))} AS value FROM endpoint_raw"
 A["N08_identity_date"] = f"SELECT {trim('hire_date')} AS raw, {text(id_date('hire_date'))} AS value FROM identity_raw"
-A["N09_utc_time"] = f"SELECT {trim('timestamp')} AS raw, {text(when(trim('timestamp'), day_first=False, epoch=False))} AS value FROM firewall_raw"
+A["N09_utc_time"] = f"SELECT {trim('timestamp')} AS raw, {text(when(trim('timestamp'), day_first=False, epoch=False, to_utc=True))} AS value FROM firewall_raw"
 A["N10_time_text"] = f"SELECT event_id, {text('timestamp')} AS value FROM iam"
 A["N11_date_parts"] = "SELECT hour(ts) AS hour, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events_c WHERE ts IS NOT NULL GROUP BY 1, 2"
 A["N12_off_hours"] = f"SELECT {off('timestamp')} AS off_hours, count(*) AS n FROM iam WHERE timestamp IS NOT NULL GROUP BY 1"

@@ -85,15 +85,22 @@ def ip(c: str) -> str:
 
 
 _ISO = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y/%m/%d %H:%M:%S",
-        "%Y/%m/%d %H:%M", "%Y-%m-%d", "%Y/%m/%d"]
+        "%Y/%m/%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y%m%d", "%b %d %Y %H:%M", "%d %B %Y %H:%M"]
 _DMY = ["%d-%m-%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d-%m-%Y", "%d/%m/%Y"]
 _MDY = ["%m-%d-%Y %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m-%d-%Y", "%m/%d/%Y"]
 _MON = ["%d-%b-%Y", "%d-%b-%Y %H:%M:%S"]
 
 
-def when(t: str, day_first: bool = True, epoch: bool = True) -> str:
+_ZONED = r"^([0-9]{4}-[0-9]+-[0-9]+[T ][0-9]+:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?) ?([+-])([0-9]{2}):?([0-9]{2})$"
+
+
+def when(t: str, day_first: bool = True, epoch: bool = True, to_utc: bool = False) -> str:
     formats = _ISO + (_DMY + _MDY if day_first else _MDY + _DMY) + _MON
-    parsed = f"try_strptime({t}, [{', '.join(q(f) for f in formats)}])"
+    bare = f"regexp_replace(regexp_replace({t}, {q(_ZONED)}, '\\1'), '([.][0-9]{{6}})[0-9]+', '\\1')"
+    parsed = f"try_strptime({bare}, [{', '.join(q(f) for f in formats)}])"
+    if to_utc:
+        east = f"(CASE WHEN regexp_extract({t}, {q(_ZONED)}, 4) = '-' THEN -1 ELSE 1 END * (60 * CAST(regexp_extract({t}, {q(_ZONED)}, 5) AS INTEGER) + CAST(regexp_extract({t}, {q(_ZONED)}, 6) AS INTEGER)))"
+        parsed = f"CASE WHEN regexp_matches({t}, {q(_ZONED)}) THEN {parsed} - to_minutes({east}) ELSE {parsed} END"
     if not epoch:
         return parsed
     return f"CASE WHEN regexp_full_match({t}, '[0-9]{{10}}') THEN make_timestamp(CAST({t} AS BIGINT) * 1000000) ELSE {parsed} END"
@@ -211,7 +218,7 @@ SELECT *, {rnd("coalesce(duration_hours, (SELECT median(duration_hours) FROM end
 FROM endpoint_parsed"""
 
 C["firewall_parsed"] = f"""
-SELECT log_id, {when(trim('timestamp'), day_first=False, epoch=False)} AS timestamp, {host('hostname')} AS hostname,
+SELECT log_id, {when(trim('timestamp'), day_first=False, epoch=False, to_utc=True)} AS timestamp, {host('hostname')} AS hostname,
   {ip('src_ip')} AS src_ip, {ip('dst_ip')} AS dst_ip, {port('src_port')} AS src_port, {port('dst_port')} AS dst_port,
   {mapped(f"upper({trim('protocol')})", fv.PROTOCOLS)} AS protocol,
   {mapped(f"upper({trim('action')})", fv.FIREWALL_ACTIONS)} AS action,

@@ -86,6 +86,22 @@ def test_times(spark, raw, day_first, month_first):
     assert apply(spark, [raw], lambda c: times.parse_timestamp(c, day_first=False)) == [other]
 
 
+@pytest.mark.parametrize("raw, kept, utc", [
+    ("2024-01-02T03:04:05+05:30", "2024-01-02T03:04:05", "2024-01-01T21:34:05"),
+    ("2024-01-02 03:04:05-0030", "2024-01-02T03:04:05", "2024-01-02T03:34:05"),
+    ("2024-01-02 03:04:05 +00:00", "2024-01-02T03:04:05", "2024-01-02T03:04:05"),
+    ("2024-01-02T03:04", "2024-01-02T03:04:00", None),
+    ("2024-01-02 03:04:05.123456789", "2024-01-02T03:04:05.123456", None),
+    ("20240102", "2024-01-02T00:00:00", None),
+    ("Jan 2 2024 03:04", "2024-01-02T03:04:00", None),
+    ("2 January 2024", "2024-01-02T00:00:00", None),
+    ("2 january 2024 3:04:05", "2024-01-02T03:04:05", None),
+])
+def test_zones_and_further_forms(spark, raw, kept, utc):
+    assert apply(spark, [raw], times.parse_timestamp) == [datetime.fromisoformat(kept)]
+    assert apply(spark, [raw], lambda c: times.parse_timestamp(c, to_utc=True)) == [datetime.fromisoformat(utc or kept)]
+
+
 def test_bad_times_are_null(spark):
     assert apply(spark, ["yesterday", "2024-13-01", "31/02/2024", ""], times.parse_timestamp) == [None] * 4
     assert apply(spark, ["44972", "not available"], times.parse_identity_date) == [datetime(2023, 2, 15), None]

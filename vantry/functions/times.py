@@ -16,7 +16,9 @@ SHAPES = [
     (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_TIME}$", "yyyy-M-d H:mm[:ss]"),
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}Z?$", "yyyy-M-d'T'H:mm:ss['Z']"),
     (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}\.\d{1,6}Z?$", "yyyy-M-d['T'][' ']H:mm:ss.SSSSSS['Z']"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}Z?$", "yyyy-M-d'T'H:mm['Z']"),
     (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {_TIME}$", "yyyy/M/d H:mm[:ss]"),
+    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}} {_TIME}$", "{A}-{B}-yyyy H:mm[:ss]"),
@@ -31,30 +33,57 @@ SHAPES = [
     (r"(?i)^\d{1,2}-[a-z]{4,}-\d{4}$", "d-MMMM-yyyy"),
     (r"(?i)^[a-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"(?i)^[a-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"(?i)^[a-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"(?i)^[a-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (rf"(?i)^[a-z]{{3}} \d{{1,2}},? \d{{4}} {_TIME}$", "MMM d[,] yyyy H:mm[:ss]"),
+    (rf"(?i)^[a-z]{{4,}} \d{{1,2}},? \d{{4}} {_TIME}$", "MMMM d[,] yyyy H:mm[:ss]"),
+    (r"(?i)^\d{1,2} [a-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"(?i)^\d{1,2} [a-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (rf"(?i)^\d{{1,2}} [a-z]{{3}} \d{{4}} {_TIME}$", "d MMM yyyy H:mm[:ss]"),
+    (rf"(?i)^\d{{1,2}} [a-z]{{4,}} \d{{4}} {_TIME}$", "d MMMM yyyy H:mm[:ss]"),
 ]
+ZONED = r"^(\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([+-]\d{2}):?(\d{2})$"
 
 
 def _try(c: Column, pattern: str) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def parse_timestamp(t: Column, day_first: bool = True, epoch: bool = True) -> Column:
+def _offset_minutes(t: Column) -> Column:
+    """Minutes that the zone offset of a text lies east of UTC, 0 without one."""
+    part = lambda i: F.regexp_extract(t, ZONED, i).try_cast("int")
+    sign = F.when(F.regexp_extract(t, ZONED, 2).startswith("-"), -1).otherwise(1)
+    return F.coalesce(part(2) * 60 + sign * part(3), F.lit(0))
+
+
+def parse_timestamp(t: Column, day_first: bool = True, epoch: bool = True, to_utc: bool = False) -> Column:
     """Naive timestamp from mixed text (already trimmed), NULL when nothing fits.
 
     ``day_first`` settles ambiguous ``1/2/2024``; the other order is tried when
-    the first gives no date. ``epoch`` reads ten digits as seconds.
+    the first gives no date. ``epoch`` reads ten digits as seconds. A zone offset is
+    dropped, or with ``to_utc`` subtracted. Fractions count to microseconds.
     """
-    out = None
-    if epoch:
-        seconds = F.timestamp_seconds(t.try_cast("bigint")).cast("timestamp_ntz")
-        out = F.when(t.rlike(r"^\d{10}$"), seconds)
+    zoned = F.contains(t, F.lit(":"))
+    bare = F.regexp_replace(F.regexp_replace(t, ZONED, "$1"), r"(\.\d{6})\d+", "$1")
     orders = (("d", "M"), ("M", "d")) if day_first else (("M", "d"), ("d", "M"))
-    for shape, pattern in SHAPES:
-        if "{A}" in pattern:
-            value = F.coalesce(*[_try(t, pattern.format(A=a, B=b)) for a, b in orders])
-        else:
-            value = _try(t, pattern)
-        out = F.when(t.rlike(shape), value) if out is None else out.when(t.rlike(shape), value)
+
+    def parse(x: Column) -> Column:
+        out = None
+        if epoch:
+            seconds = F.timestamp_seconds(x.try_cast("bigint")).cast("timestamp_ntz")
+            out = F.when(x.rlike(r"^\d{10}$"), seconds)
+        for shape, pattern in SHAPES:
+            if "{A}" in pattern:
+                value = F.coalesce(*[_try(x, pattern.format(A=a, B=b)) for a, b in orders])
+            else:
+                value = _try(x, pattern)
+            out = F.when(x.rlike(shape), value) if out is None else out.when(x.rlike(shape), value)
+        return out
+
+    # bound to a name, so that the cleaned text is made once and not once a shape
+    out = F.transform(F.array(F.when(zoned, bare).otherwise(t)), parse)[0]
+    if to_utc:
+        out = F.when(zoned & t.rlike(ZONED), out - F.make_dt_interval(mins=_offset_minutes(t))).otherwise(out)
     return out
 
 

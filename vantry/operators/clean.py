@@ -179,7 +179,7 @@ def parse_firewall(raw: DataFrame) -> DataFrame:
     df = network.with_canonical_ip(df, "dst_ip", "dst_ip")
     return df.select(
         "log_id",
-        times.parse_timestamp(F.col("timestamp"), day_first=False, epoch=False).alias("timestamp"),
+        times.parse_timestamp(F.col("timestamp"), day_first=False, epoch=False, to_utc=True).alias("timestamp"),
         text.hostname(F.col("hostname")).alias("hostname"),
         "src_ip",
         "dst_ip",

@@ -219,7 +219,7 @@ def _time(name, table, col, **kw):
 
 _time("N06_iam_time", "iam_raw", "timestamp", day_first=False)
 _time("N07_alert_time", "endpoint_raw", "detected_timestamp")
-_time("N09_utc_time", "firewall_raw", "timestamp", day_first=False, epoch=False)
+_time("N09_utc_time", "firewall_raw", "timestamp", day_first=False, epoch=False, to_utc=True)
 Q["N08_identity_date"] = lambda p: p.raw["identity_raw"].select(trimmed(c("hire_date")).alias("raw")).select(
     "raw", times.as_text(times.parse_identity_date(c("raw"))).alias("value"))
 Q["N10_time_text"] = lambda p: p.iam.select("event_id", times.as_text(c("timestamp")).alias("value"))

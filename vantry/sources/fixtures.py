@@ -62,6 +62,12 @@ WITH r AS (
   SELECT event_id AS n,
     concat('EVT-', CAST(event_id AS STRING)) AS event_id,
     CASE WHEN event_id % 6 = 0 THEN CAST(NULL AS STRING)
+         WHEN event_id % 91 = 1 THEN concat(replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T'), '+05:30')
+         WHEN event_id % 91 = 7 THEN replace(substr(CAST(ts AS STRING), 1, 16), ' ', 'T')
+         WHEN event_id % 91 = 13 THEN concat(substr(CAST(ts AS STRING), 1, 19), '.123456789')
+         WHEN event_id % 91 = 19 THEN replace(substr(CAST(ts AS STRING), 1, 10), '-', '')
+         WHEN event_id % 91 = 25 THEN concat('Jan ', substr(CAST(ts AS STRING), 9, 2), ' ', substr(CAST(ts AS STRING), 1, 4), substr(CAST(ts AS STRING), 11, 6))
+         WHEN event_id % 91 = 31 THEN concat(substr(CAST(ts AS STRING), 9, 2), ' January ', substr(CAST(ts AS STRING), 1, 4), substr(CAST(ts AS STRING), 11, 6))
          WHEN event_id % 6 = 1 THEN substr(CAST(ts AS STRING), 1, 19)
          WHEN event_id % 6 = 2 THEN replace(substr(CAST(ts AS STRING), 1, 19), '-', '/')
          WHEN event_id % 6 = 3 THEN replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T')
@@ -109,6 +115,7 @@ WITH b AS (
 , r AS (
   SELECT n, concat('ALT-', CAST(n AS STRING)) AS alert_id,
     CASE WHEN n % 19 = 0 THEN CAST(NULL AS STRING) WHEN n % 23 = 0 THEN 'soon'
+         WHEN n % 47 = 0 THEN concat(substr(CAST(det AS STRING), 1, 19), '+02:00')
          WHEN n % 4 = 0 THEN substr(CAST(det AS STRING), 1, 19)
          WHEN n % 4 = 1 THEN concat(substr(CAST(det AS STRING), 9, 2), '/', substr(CAST(det AS STRING), 6, 2), '/',
                                     substr(CAST(det AS STRING), 1, 4), substr(CAST(det AS STRING), 11, 9))
@@ -151,7 +158,9 @@ WITH b AS (
 , r AS (
   SELECT okey, concat('LOG-', CAST(okey AS STRING), '-', CAST(ln AS STRING), '-', CAST(pk AS STRING), '-', CAST(sk AS STRING), '-',
                 CAST(price AS STRING)) AS log_id,
-    CASE WHEN pk % 29 = 0 THEN CAST(NULL AS STRING) WHEN ln % 2 = 0 THEN substr(CAST(ts AS STRING), 1, 19)
+    CASE WHEN pk % 29 = 0 THEN CAST(NULL AS STRING)
+         WHEN pk % 43 = 0 THEN concat(replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T'), '-03:30')
+         WHEN pk % 53 = 0 THEN concat(substr(CAST(ts AS STRING), 1, 19), ' +0100') WHEN ln % 2 = 0 THEN substr(CAST(ts AS STRING), 1, 19)
          ELSE concat(replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T'), 'Z') END AS timestamp,
     CASE WHEN sk % 31 = 0 THEN CAST(NULL AS STRING)
          WHEN sk % 2 = 0 THEN concat('ws-', CAST(sk * 3 AS STRING), '.CORP.LOCAL') ELSE concat('WS_', CAST(sk * 3 AS STRING)) END AS hostname,
