@@ -122,6 +122,15 @@ def test_sequence_types_and_strength(spark):
     assert same.counter_evidence == "SINGLE_SOURCE_ONLY; IDENTICAL_TIMESTAMP_WINDOW"
 
 
+def test_steps_of_a_busy_window_follow_time_and_id(spark):
+    ok = ("AUTHENTICATION", "IAM", "OTHER")
+    rows = [((i * 37) % 1800, *ok) for i in range(2_000)]
+    got = temporal.sequence_evidence(events(spark, rows), "USER").orderBy("step").collect()
+    assert [r.step for r in got] == list(range(1, 2_001))
+    keys = [(r.us, r.event_id) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_long_sequences_list_all_members(spark):
     ok = ("AUTHENTICATION", "IAM", "OTHER")
     rows = [(i % 3000, *ok) for i in range(12_000)]

@@ -30,6 +30,7 @@ from ..session import TableStore
 
 HOUR = 3_600_000_000
 RUN_LIMIT = 1_000_000
+PARTS = 4_096  # parts of a window in which steps are numbered
 _START = np.iinfo(np.int64).min // 4
 
 
@@ -276,10 +277,18 @@ def sequence_evidence(
     if unknown_entity:
         events = events.withColumn(key, F.coalesce(F.col(key), F.lit("Unknown")))
     members = in_windows(events, key, anchors(ticks(events, key), width, **chain), width)
-    window = Window.partitionBy("entity_id", "anchor")
+    members = members.withColumn("part", F.floor((F.col("us") - F.col("anchor")) * PARTS / F.lit(width)).cast("int"))
+    store = chain.get("store")
+    if store is not None:
+        members = store.put(store.fresh("members"), members)
+    # events before each part of a window, so that a busy window is numbered part by part
+    whole = Window.partitionBy("entity_id", "anchor")
+    before = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = members.groupBy("entity_id", "anchor", "part").agg(F.count("*").alias("n")).select(
+        "entity_id", "anchor", "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    inside = Window.partitionBy("entity_id", "anchor", "part").orderBy("us", "event_id")
     return (
-        members.withColumn("n_in_window", F.count("*").over(window))
-        .where(F.col("n_in_window") >= 2)
+        members.join(parts.where(F.col("total") >= 2), ["entity_id", "anchor", "part"])
         .select(
             F.concat(F.lit(PREFIX[kind]), F.col("entity_id"), F.lit("-"), F.col("anchor").cast("string"))
             .alias("sequence_id"),
@@ -290,7 +299,7 @@ def sequence_evidence(
             "source_record_id",
             times.as_text(F.col("event_timestamp")).alias("event_timestamp"),
             "event_category",
-            F.row_number().over(window.orderBy("us", "event_id")).alias("step"),
+            (F.col("before") + F.row_number().over(inside)).cast("int").alias("step"),
             "action",
             "us",
             "anchor",
@@ -396,7 +405,7 @@ def bursts(events: DataFrame, kind: str, width: int = HOUR // 2, least: int = 3,
     """
     key = KEY_OF[kind]
     t = ticks(events, key)
-    marks = anchors(_can_start(t, width, least, chain.get("block") or 24 * width), width, **chain)
+    marks = anchors(_can_start(t, width, least, 4 * width), width, **chain)
     df = in_windows(events, key, marks, width).groupBy("entity_id", "anchor").agg(
         F.count("*").alias("event_count"),
         F.max("us").alias("last_us"),
