@@ -8,12 +8,15 @@ shortest path over the tropical semiring (min, +) gives the pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBERED = 300_000  # segments whose paths a task keeps
+BATCH = 8_000_000  # bytes of text composed together, about
 LONG = 64  # characters beyond which a segment is not kept
 START = -1
 
@@ -64,11 +68,11 @@ class Transducer:
         self.score = [s for _, s, _ in pieces]
         self.text = [p if kind in (NORMAL, USER) else "" for p, _, kind in pieces]
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        # every prefix of a piece, so that composition stops where no piece goes on
+        # every ending of a piece, so that composition stops where no piece goes further back
         self.arcs: dict[str, int] = {}
         for p in self.ids:
             for n in range(1, len(p)):
-                self.arcs.setdefault(p[:n], -1)
+                self.arcs.setdefault(p[n:], -1)
         self.arcs.update(self.ids)
         whole = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         # no piece has a space mark after another character, so paths may part there
@@ -79,7 +83,7 @@ class Transducer:
             self.rank = {self.text[i]: r for r, i in enumerate(order)}
             self._derive()
         self.known: dict[int, bool] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
+        self.paths: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Transducer:
@@ -152,52 +156,63 @@ class Transducer:
             self.known[key] = known
         return 0.0 if known else float("inf")
 
-    def shortest(self, s: str) -> tuple[int, ...]:
-        """Piece ids of the shortest path through a normalised segment.
+    def shortest(self, segments: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(segment, piece ids as 32-bit words) of the shortest path through each, in sorted order.
 
-        A position keeps its best path only: in a merge model no other path is finite,
-        and in a unigram model weights do not depend on the state. A character without
-        a piece of its own takes its bytes, or the unknown piece.
+        The best path to a position depends on what lies before it only, so a segment
+        goes on from what it shares with the one before. A position keeps its
+        best path only: in a merge model no other path is finite, and in a unigram model
+        weights do not depend on the state. A character without a piece of its own takes
+        its bytes, or the unknown piece.
         """
-        n, inf = len(s), float("inf")
-        cost, last, start = [inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        arc, known, size, merging = self.arcs.get, self.known.get, len(self.text), self.type == BPE
-        for at in range(n):
-            here, state = cost[at], last[at]
-            if here == inf:
-                continue
-            row = state * size
-            for end in range(at + 1, n + 1):
-                piece = arc(s[at:end])
-                if piece is None:
-                    break
-                if piece >= 0 and here < cost[end]:
-                    if merging and state >= 0:
-                        fits = known(row + piece)
-                        if fits is None:
-                            fits = self.weight(state, piece) == 0.0
-                        if not fits:
-                            continue
-                        total = here
-                    else:
-                        total = here + self.weight(state, piece)
-                    if total < cost[end]:
-                        cost[end], last[end], start[end] = total, piece, at
-            if arc(s[at]) is None or s[at] not in self.ids:
-                total = here + (0.0 if merging else -self.worst)
-                if total < cost[at + 1]:
-                    cost[at + 1], last[at + 1], start[at + 1] = total, START, at
-        path, at = [], n
-        while at:
-            if last[at] >= 0:
-                path.append(last[at])
-            elif self.bytes:
-                path.extend(self.bytes[b] for b in reversed(s[start[at] : at].encode("utf-8", "surrogatepass")))
-            else:
-                path.append(self.unknown)
-            at = start[at]
-        return tuple(reversed(path))
+        arc, known, size, merging, ids = self.arcs.get, self.known, len(self.text), self.type == BPE, self.ids
+        inf = float("inf")
+        cost, last, start, before = [0.0], [START], [0], ""
+        for s in sorted(segments):
+            shared, most = 0, min(len(s), len(before))
+            while shared < most and s[shared] == before[shared]:
+                shared += 1
+            del cost[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
+            for end in range(shared + 1, len(s) + 1):
+                least, piece_of, from_at = inf, START, end - 1
+                for at in range(end - 1, -1, -1):
+                    piece = arc(s[at:end])
+                    if piece is None:
+                        break
+                    if piece < 0:
+                        continue
+                    state = last[at]
+                    if merging:
+                        if state >= 0:
+                            fits = known.get(state * size + piece)
+                            if fits is None:
+                                fits = self.weight(state, piece) == 0.0
+                            if not fits:
+                                continue
+                        least, piece_of, from_at = 0.0, piece, at
+                        break
+                    total = cost[at] + self.weight(state, piece)
+                    if total < least:
+                        least, piece_of, from_at = total, piece, at
+                if s[end - 1] not in ids:
+                    total = cost[end - 1] + (0.0 if merging else -self.worst)
+                    if total < least:
+                        least, piece_of, from_at = total, START, end - 1
+                cost.append(least)
+                last.append(piece_of)
+                start.append(from_at)
+            before = s
+            path, at = [], len(s)
+            while at:
+                if last[at] >= 0:
+                    path.append(last[at])
+                elif self.bytes:
+                    path.extend(self.bytes[b] for b in reversed(s[start[at] : at].encode("utf-8", "surrogatepass")))
+                else:
+                    path.append(self.unknown)
+                at = start[at]
+            path.reverse()
+            yield s, array("i", path).tobytes()
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -206,24 +221,27 @@ class Transducer:
             return ""
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; paths of short segments are kept for the texts to come."""
-        found, memory = self.segments.findall(self.normalise(text or "")), self.paths
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts; paths of short segments are kept for the texts to come."""
+        found = [self.segments.findall(self.normalise(t or "")) for t in texts]
+        memory = self.paths
         if len(memory) > REMEMBERED:
             memory.clear()
-        short = [s for s in dict.fromkeys(found) if s not in memory]
-        for s in short:
-            memory[s] = self.shortest(s)
-        ids = list(chain.from_iterable(map(memory.__getitem__, found)))
-        for s in short:
+        fresh = set(chain.from_iterable(found)).difference(memory)
+        memory.update(self.shortest(list(fresh)))
+        out = [np.frombuffer(b"".join(map(memory.__getitem__, segments)), np.int32) for segments in found]
+        for s in fresh:
             if len(s) > LONG:
                 del memory[s]
-        return ids
+        return out
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int], no_bytes: bool = False) -> str:
         """Text of ids: byte pieces join to characters, and the prefix goes again."""
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join(map(self.text.__getitem__, ids))
+        if no_bytes or self.byte_of.keys().isdisjoint(ids):
+            text = "".join(itemgetter(*ids)(self.text)) if ids else ""
         else:
             text = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode("utf-8") for i in ids).decode("utf-8", "replace")
         text = text.replace(SPACE, " ")
@@ -252,20 +270,21 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
         use = machine.value
         low, high = (min(use.byte_of), max(use.byte_of)) if use.byte_of else (0, -1)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found, same = [], []
-                for t in batch.column(given).to_pylist():
-                    ids = use.encode(t)
-                    same.append(use.decode(ids) == (t or ""))
-                    found.append(np.array(ids, np.int32))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(given)), 0).to_numpy(zero_copy_only=False))
+            edges = [0, *(np.flatnonzero(np.diff(sizes // BATCH)) + 1).tolist(), whole.num_rows]
+            for at, stop in zip(edges, edges[1:]):
+                batch = whole.slice(at, stop - at)
+                texts = batch.column(given).to_pylist()
+                found = use.encode_all(texts)
                 flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                sizes = np.array([len(x) for x in found], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                counts = np.array([len(x) for x in found], np.int64)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 is_byte = np.concatenate([[0], np.cumsum((flat >= low) & (flat <= high))])
+                n_bytes = is_byte[ends[1:]] - is_byte[ends[:-1]]
+                same = [use.decode(x.tolist(), not n) == (t or "") for x, n, t in zip(found, n_bytes, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sizes),
-                     pa.array(is_byte[ends[1:]] - is_byte[ends[:-1]]), pa.array(same, pa.bool_())],
+                    [*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(counts),
+                     pa.array(n_bytes), pa.array(same, pa.bool_())],
                     names=[*kept, *new.names])
 
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *new.fields]))
