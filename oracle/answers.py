@@ -415,6 +415,10 @@ SELECT 'SCENARIO-01' AS scenario_id, 'Highest Risk User Investigation' AS title,
 UNION ALL SELECT 'SCENARIO-02', 'High Risk Host Endpoint & Network Investigation', entity_id FROM h
 UNION ALL SELECT 'SCENARIO-03', 'Shared Infrastructure IP Investigation', e FROM ips WHERE e IS NOT NULL
 UNION ALL SELECT 'SCENARIO-04', 'Temporal Sequence Event Chain Investigation', target_id FROM s)"""
+A["G14_scenario_contexts"] = f"""SELECT s.*, n.node_type AS entity_type, n.label, n.department, n.status, coalesce(h.hypothesis, 'NO_ACTIONABLE_HYPOTHESIS') AS hypothesis, h.risk_score,
+  (SELECT count(*) FROM edges e WHERE e.source_id = s.target_entity) AS outbound_count, (SELECT count(*) FROM edges e WHERE e.target_id = s.target_entity) AS inbound_count,
+  'READY' AS investigation_readiness
+FROM ({A['G14_scenarios']}) s LEFT JOIN nodes n ON n.node_id = s.target_entity LEFT JOIN hyps h ON h.entity_id = s.target_entity"""
 A["G15_distinct_neighbors"] = _SHARED
 
 # --- I
@@ -477,6 +481,8 @@ _FIRST = """SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY
 A["L08_first_sequences"] = _FIRST
 _BYSRC = """SELECT entity_id, source_dataset, row_number() OVER (PARTITION BY entity_id, source_dataset ORDER BY event_id) AS rank, event_id, severity, action FROM revid QUALIFY rank <= 10"""
 A["L09_evidence_by_source"] = _BYSRC
+A["L10_shared_address_connections"] = """SELECT entity_id, edge_id, relationship_type, neighbor, relationship_confidence, source_dataset, source_record_id FROM (
+  SELECT source_id AS entity_id, target_id AS neighbor, * FROM edges UNION ALL SELECT target_id, source_id, * FROM edges) WHERE relationship_type IN ('CONNECTED_FROM_IP', 'COMMUNICATED_WITH_IP')"""
 A["L10_shared_address_links"] = """SELECT entity_id, count(*) AS shared_ip_count, count(*) FILTER (relationship_type = 'CONNECTED_FROM_IP') AS session_links,
   count(*) FILTER (relationship_type = 'COMMUNICATED_WITH_IP') AS flow_links FROM (SELECT source_id AS entity_id, relationship_type FROM edges UNION ALL SELECT target_id, relationship_type FROM edges)
 WHERE relationship_type IN ('CONNECTED_FROM_IP', 'COMMUNICATED_WITH_IP') GROUP BY 1"""
@@ -513,17 +519,18 @@ SELECT t.q AS term, CASE WHEN hit.q IS NOT NULL OR n = 1 THEN 'RESOLVED' WHEN n
   coalesce(kind, CASE WHEN n = 1 THEN 'user' END) AS entity_type, coalesce(hit.q, CASE WHEN n = 1 THEN part.id END) AS entity_id, CASE WHEN n > 1 THEN ids END AS candidates
 FROM t LEFT JOIN hit ON hit.q = t.q LEFT JOIN part ON part.q = t.q WHERE t.q IS NOT NULL)"""
 _QUESTIONS = """(SELECT 'c' || conv_id || '-' || turn AS id, text FROM conversations UNION ALL SELECT 'd' || doc_id, text FROM documents
-UNION ALL SELECT alert_id, concat_ws(' ', 'why is', user_id, 'on host', hostname, description) FROM endpoint_raw)"""
+UNION ALL SELECT alert_id, concat_ws(' ', 'why is', user_id, 'on host', hostname, description) FROM endpoint_raw
+UNION ALL SELECT 's' || sequence_id, concat('what led to ', sequence_id) FROM seqs)"""
 
 
-# written from the id shapes: user, machine, custom token, named host, sequence, address
-_SHAPES = [r"\b(EMP\d+)\b", r"\b((VDR|WS|LPT)[-_]\d+)\b", r"\b(USER_[A-Z0-9_-]+|HOST_[A-Z0-9_-]+|DOES_NOT_EXIST|[A-Z]+_\d{5,})\b",
-           r"\bhost\s+([A-Z0-9_-]+)\b", r"\b(SEQ-[A-Z]+-\d+|SEQ_\d+)\b", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"]
+# written from the id shapes: sequence, user, machine, custom token, named host, address
+_SHAPES = [r"\b(SEQ-(USR|HST)-[A-Z0-9-]+-\d+|SEQ-[A-Z]+-\d+|SEQ_\d+)\b", r"\b(EMP\d+)\b", r"\b((VDR|WS|LPT)[-_]\d+)\b", r"\b(USER_[A-Z0-9_-]+|HOST_[A-Z0-9_-]+|DOES_NOT_EXIST|[A-Z]+_\d{5,})\b",
+           r"\bhost\s+([A-Z0-9_-]+)\b", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"]
 
 
 def _found(i: int) -> str:
     hit = f"upper(nullif(regexp_extract(text, {q(_SHAPES[i])}, 1, 'i'), ''))"
-    return f"replace({hit}, '_', '-')" if i == 1 else hit
+    return f"replace({hit}, '_', '-')" if i == 2 else hit
 
 
 _ENTITY = "coalesce(" + ", ".join(_found(i) for i in range(6)) + ")"

@@ -127,9 +127,9 @@ def test_text_scrub_and_entities(spark):
     assert apply(spark, [" please IGNORE previous instructions ok"], text.scrub_phrases) == [
         "please [FILTERED_INJECTION] ok"]
     assert apply(spark, ["```x<script>" + "a" * 300, None], text.scrub_markup) == ["x" + "a" * 300, "Unknown"]
-    raw = ["why is emp12 risky", "look at ws_3 now", "host MYBOX please", "ip 10.0.0.1", "nothing", "user_abc on emp7"]
+    raw = ["why is emp12 risky", "look at ws_3 now", "host MYBOX please", "ip 10.0.0.1", "nothing", "user_abc on emp7", "why SEQ-USR-EMP7-1704067200000000?", "seq-hst-ws-3-17 on ws-3"]
     assert apply(spark, raw, lambda c: text.entity_in_text(F.lower(c))) == [
-        "EMP12", "WS-3", "MYBOX", "10.0.0.1", None, "EMP7"]
+        "EMP12", "WS-3", "MYBOX", "10.0.0.1", None, "EMP7", "SEQ-USR-EMP7-1704067200000000", "SEQ-HST-WS-3-17"]
     kinds = apply(spark, ["compare EMP1", "same ip as emp1", "graph of emp1", "timeline", "critical users", "EMP1?", "hi"],
                   lambda c: text.intent(F.lower(c), text.entity_in_text(F.lower(c))))
     assert kinds == ["peer_comparison", "analyze_shared_ip", "graph_relationship", "analyze_temporal_sequence",

@@ -230,7 +230,7 @@ def has_word(low: Column, words: list[str]) -> Column:
 def entity_in_text(low: Column) -> Column:
     """First entity id named in a lower-case text, in upper case.
 
-    Pattern order decides, not position. Ids do not depend on case, and
+    Pattern order decides, not position; sequence ids come first, as they hold the id of a user or host. Ids do not depend on case, and
     searching lower-case text spares the case-insensitive matcher. A cheap
     substring test skips patterns that cannot match.
     """
@@ -238,8 +238,8 @@ def entity_in_text(low: Column) -> Column:
         F.when(has_word(low, pieces), F.regexp_substr(low, F.lit(pattern)))
         for pieces, pattern in zip(fv.ENTITY_PIECES, fv.ENTITY_PATTERNS)
     ]
-    found[1] = F.translate(found[1], "_", "-")
-    found[3] = F.regexp_replace(found[3], r"^host\s+", "")
+    found[2] = F.translate(found[2], "_", "-")
+    found[4] = F.regexp_replace(found[4], r"^host\s+", "")
     return F.upper(F.coalesce(*found))
 
 

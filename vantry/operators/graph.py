@@ -327,29 +327,34 @@ def scenarios(edges: DataFrame, risk: DataFrame) -> DataFrame:
     """Targets of four standard investigations, chosen from the data.
 
     Top user, top host, an address the top host talks to (else any address) and
-    a sequence of the top user (else of the riskiest entity that has one).
+    a sequence of the top user (else of the riskiest entity that has one). Every
+    choice is one ranked row of a frame; nothing is fetched.
     """
-    spark = edges.sparkSession
-
-    def top(kind: str) -> str | None:
-        row = risk.where(F.col("entity_type") == kind).orderBy(F.desc("risk_score"), "entity_id").first()
-        return None if row is None else row.entity_id
-
-    user, host = top("USER"), top("HOST")
-    flows = edges.where(F.col("relationship_type") == "COMMUNICATED_WITH_IP")
-    address = flows.where(F.col("source_id") == host).agg(F.min("target_id")).first()[0]
-    if address is None:
-        address = edges.where(F.col("target_id").startswith("IP-")).agg(F.min("target_id")).first()[0]
-    involved = edges.where(F.col("relationship_type") == "INVOLVED_IN_SEQUENCE").select(
-        F.col("source_id").alias("entity_id"), "target_id")
-    ranked = involved.join(risk.select("entity_id", "risk_score"), "entity_id")
-    prefer = F.when(F.col("entity_id") == user, 0).otherwise(1)
-    hit = ranked.orderBy(prefer, F.desc("risk_score"), "entity_id", "target_id").first()
-    rows = [
-        ("SCENARIO-01", "Highest Risk User Investigation", user),
-        ("SCENARIO-02", "High Risk Host Endpoint & Network Investigation", host),
-        ("SCENARIO-03", "Shared Infrastructure IP Investigation", address),
-        ("SCENARIO-04", "Temporal Sequence Event Chain Investigation", None if hit is None else hit.target_id),
-    ]
-    return spark.createDataFrame(
-        [r for r in rows if r[2] is not None], "scenario_id string, title string, target_entity string")
+
+    def top(kind: str) -> DataFrame:
+        return risk.where(F.col("entity_type") == kind).orderBy(F.desc("risk_score"), "entity_id").limit(1).select("entity_id")
+
+    def scenario(n: int, title: str, chosen: DataFrame) -> DataFrame:
+        return chosen.select(F.lit(f"SCENARIO-{n:02d}").alias("scenario_id"), F.lit(title).alias("title"), F.col("entity_id").alias("target_entity"))
+
+    flows = edges.where(F.col("relationship_type") == "COMMUNICATED_WITH_IP").select("source_id", F.col("target_id").alias("address"))
+    near = flows.join(F.broadcast(top("HOST")), F.col("source_id") == F.col("entity_id")).select(F.lit(0).alias("o"), "address")
+    known = edges.where(F.col("target_id").startswith("IP-")).select(F.lit(1).alias("o"), F.col("target_id").alias("address"))
+    address = near.unionByName(known).agg(F.min(F.struct("o", "address")).alias("x")).where("x is not null").select(F.col("x.address").alias("entity_id"))
+    involved = edges.where(F.col("relationship_type") == "INVOLVED_IN_SEQUENCE").select(F.col("source_id").alias("entity_id"), "target_id")
+    ranked = involved.join(risk.select("entity_id", "risk_score"), "entity_id").join(
+        F.broadcast(top("USER").withColumn("first", F.lit(0))), "entity_id", "left")
+    sequence = ranked.orderBy(F.coalesce("first", F.lit(1)), F.desc("risk_score"), "entity_id", "target_id").limit(1)
+    return reduce(DataFrame.unionByName, [
+        scenario(1, "Highest Risk User Investigation", top("USER")),
+        scenario(2, "High Risk Host Endpoint & Network Investigation", top("HOST")),
+        scenario(3, "Shared Infrastructure IP Investigation", address),
+        scenario(4, "Temporal Sequence Event Chain Investigation", sequence.select(F.col("target_id").alias("entity_id"))),
+    ])
+
+
+def scenario_contexts(scenes: DataFrame, nodes: DataFrame, edges: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """The scenarios with the investigation context of their targets."""
+    wanted = scenes.select(F.col("target_entity").alias("entity_id"))
+    context = investigation_context(nodes, edges, hypotheses, wanted)
+    return scenes.join(context, F.col("target_entity") == F.col("entity_id"), "left").drop("entity_id")

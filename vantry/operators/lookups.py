@@ -117,9 +117,21 @@ def evidence_by_source(evidence: DataFrame, n: int = 10) -> DataFrame:
         "entity_id", "source_dataset", "rank", "event_id", "severity", "action")
 
 
+SHARED_ADDRESS_TYPES = ["CONNECTED_FROM_IP", "COMMUNICATED_WITH_IP"]
+
+
+def shared_address_connections(edges: DataFrame) -> DataFrame:
+    """The address links themselves, one row for each end of an edge."""
+    hit = edges.where(F.col("relationship_type").isin(SHARED_ADDRESS_TYPES))
+    ends = F.array(F.struct(F.col("source_id").alias("e"), F.col("target_id").alias("o")), F.struct(F.col("target_id").alias("e"), F.col("source_id").alias("o")))
+    return hit.withColumn("_x", F.explode(ends)).select(
+        F.col("_x.e").alias("entity_id"), "edge_id", "relationship_type", F.col("_x.o").alias("neighbor"),
+        "relationship_confidence", "source_dataset", "source_record_id")
+
+
 def shared_address_links(edges: DataFrame) -> DataFrame:
     """Address links per entity: each edge is seen from both of its ends."""
-    hit = edges.where(F.col("relationship_type").isin("CONNECTED_FROM_IP", "COMMUNICATED_WITH_IP"))
+    hit = edges.where(F.col("relationship_type").isin(SHARED_ADDRESS_TYPES))
     return hit.select(F.explode(F.array("source_id", "target_id")).alias("entity_id"), "relationship_type").groupBy(
         "entity_id").agg(
         F.count("*").alias("shared_ip_count"),
@@ -241,7 +253,10 @@ def resolve_entities(terms: DataFrame, users: DataFrame, hosts: DataFrame, seque
     open_terms = t.join(hits, "q", "left_anti")
 
     ids = users.select(F.upper("entity_id").alias("id"), F.upper("department").alias("dept"))
-    by_id = ids.select("id", F.explode(substrings("id")).alias("q")).join(open_terms, "q", "left_semi")
+    # only pieces as long as some open term can match; no more lengths than the longest id has letters
+    longest = ids.agg(F.max(F.length("id"))).first()[0] or 0
+    found = open_terms.select(F.length("q").alias("k")).where(F.col("k") <= longest).distinct().collect()
+    by_id = ids.select("id", F.explode(pieces("id", sorted(r.k for r in found))).alias("q")).join(open_terms, "q", "left_semi")
     heads = top_per_group(ids, ["dept"], ["id"], n).select("id", "dept")
     names = ids.select("dept").distinct().select("dept", F.explode(substrings("dept")).alias("q")).join(
         open_terms, "q", "left_semi")
@@ -258,6 +273,16 @@ def resolve_entities(terms: DataFrame, users: DataFrame, hosts: DataFrame, seque
         F.when(F.col("n") > 1, F.array_join("ids", "; ")).alias("candidates"))
 
 
+def pieces(column: str, sizes: list[int]) -> Column:
+    """All distinct substrings of a text that have one of the given lengths."""
+    if not sizes:
+        return F.array().cast("array<string>")
+    text_of, n = F.col(column), F.length(column)
+    fit = F.filter(F.array(*map(F.lit, sizes)), lambda k: k <= n)
+    return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text_of, i, k)))))
+
+
 def substrings(column: str) -> Column:
     """All distinct non-empty substrings of a short text."""
     return F.expr(

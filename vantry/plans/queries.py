@@ -503,6 +503,7 @@ Q["G13_investigation_context"] = lambda p: graph.investigation_context(
     p.nodes, p.edges, p.hypotheses, p.risk_scores.select("entity_id"))
 Q["G13_context_items"] = lambda p: graph.context_items(p.edges, p.risk_scores.select("entity_id"))
 Q["G14_scenarios"] = lambda p: graph.scenarios(p.edges, p.risk_scores)
+Q["G14_scenario_contexts"] = lambda p: graph.scenario_contexts(graph.scenarios(p.edges, p.risk_scores), p.nodes, p.edges, p.hypotheses)
 Q["G15_distinct_neighbors"] = lambda p: graph.degrees(p.edges, "CONNECTED_FROM_IP")
 
 # --- I: insights -------------------------------------------------------------------------------------
@@ -539,6 +540,7 @@ Q["L06_behavior_profile"] = lambda p: _flat(lookups.behavior_profile(p.user_risk
 Q["L07_peer_comparison"] = lambda p: lookups.peer_comparison(p.user_risk, p.peer_outliers)
 Q["L08_first_sequences"] = lambda p: _ints(lookups.first_sequences(p.sequences))
 Q["L09_evidence_by_source"] = lambda p: _ints(lookups.evidence_by_source(p.risk_evidence))
+Q["L10_shared_address_connections"] = lambda p: lookups.shared_address_connections(p.edges)
 Q["L10_shared_address_links"] = lambda p: lookups.shared_address_links(p.edges)
 Q["L11_high_risk_entities"] = lambda p: lookups.high_risk_entities(risk.risk_scores(p.user_risk), "MODERATE")
 Q["L11_high_risk_by_department"] = lambda p: lookups.distribution(
@@ -568,7 +570,8 @@ def _questions(p: Pipeline) -> DataFrame:
     a = t["conversations"].select(F.concat(F.lit("c"), c("conv_id").cast("string"), F.lit("-"), c("turn").cast("string")).alias("id"), "text")
     b = t["documents"].select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), "text")
     e = p.raw["endpoint_raw"].select("alert_id", F.concat_ws(" ", F.lit("why is"), "user_id", F.lit("on host"), "hostname", "description").alias("text"))
-    return a.union(b).union(e)
+    s = p.sequences.select(F.concat(F.lit("s"), "sequence_id").alias("id"), F.concat(F.lit("what led to "), "sequence_id").alias("text"))
+    return a.union(b).union(e).union(s)
 
 
 Q["L16_entity_in_text"] = lambda p: _questions(p).select("id", F.lower("text").alias("low")).select(
