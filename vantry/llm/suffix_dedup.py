@@ -225,6 +225,10 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
+def _raw(text):
+    return F.coalesce(text, F.lit("")).cast("binary")
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, hot: int = HOT) -> DataFrame:
     """Rows (_key, _tk, spans): for each document and text hash the sorted byte ranges to remove.
 
@@ -239,8 +243,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
        128-bit hash, counted with a map-side combine.
     """
     kind = docs.schema[key].dataType
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("_key"), raw.alias("raw"))
+    rows = docs.select(F.col(key).alias("_key"), _raw(F.col(text)).alias("raw"))
     rows = rows.where(F.octet_length("raw") >= span).withColumn("_tk", F.xxhash64("raw"))
     schema = T.StructType([T.StructField("_key", kind), T.StructField("_tk", T.LongType())])
     ids = ["_key", "_tk"]
@@ -364,9 +367,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
     names of new ones are replaced.
     """
     spans = repeated_spans(docs, key, text, span, hot)
-    packed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    packed = packed.withColumn("_tk", F.xxhash64("raw"))
-    joined = packed.join(spans, packed["_key"].eqNullSafe(spans["_key"]) & (packed["_tk"] == spans["_tk"]), "left").select("_row", "raw", "spans")
+    # the text crosses this join once, inside its row
+    packed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(_raw(F.col(text))).alias("_tk"))
+    joined = packed.join(spans, packed["_key"].eqNullSafe(spans["_key"]) & (packed["_tk"] == spans["_tk"]), "left").select("_row", "spans")
     out = T.StructType([
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
@@ -383,7 +386,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
                          _without(data, whole_characters(data, spans)).decode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=out.names)
 
-    done = joined.withColumn("_d", remove("raw", "spans"))
+    done = joined.withColumn("_d", remove(_raw(F.col("_row")[text]), "spans"))
     return done.select("_row.*", "_d").select(*[c for c in docs.columns if c not in out.names], "_d.*")
 
 
