@@ -20,6 +20,8 @@ def fixture():
             t += " " + rng.choice(passages) + " " + text(rng.randint(0, 15))
         docs.append((k, t))
     docs += [(200, docs[3][1]), (201, docs[3][1]), (202, "a" * 500), (203, ""), (204, "ab" * 100), (205, docs[5][1][:-3]), (206, None)]
+    run = "Is onhe. " * 40
+    docs += [(300 + k, text(9) + run + text(7) + run[: 50 + k]) for k in range(4)]
     return docs
 
 

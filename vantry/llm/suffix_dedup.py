@@ -22,7 +22,7 @@ from .common import cut
 SPAN = 400  # bytes of a string that counts as repeated
 GRAM = 16  # bytes of an anchor
 SHALLOW = 32  # bytes ordered by multikey quicksort before the blind tries take over
-HOT = 8_192  # occurrences of an anchor that one task orders; beyond it windows are counted by hash
+HOT = 32_768  # occurrences of an anchor that one task orders (25 MB of context); beyond it windows are counted by hash
 CHUNK = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -69,6 +69,28 @@ def anchors(raw: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(grams)[first]
 
 
+def own_repeats(raw: bytes, places: np.ndarray, grams: np.ndarray, span: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(anchors to search for, ranges known to repeat) of one text.
+
+    Anchors whose whole surroundings, ``span - GRAM`` bytes before and ``span`` from it on,
+    stand twice in the text are repeated there already; one of them is left to be
+    met by other texts. A long run of one short line is thus a few anchors.
+    """
+    _, place, count = np.unique(grams, return_inverse=True, return_counts=True)
+    full = (count[place] > 1) & (places >= span - GRAM) & (places + span <= len(raw))
+    first: dict[bytes, int] = {}
+    keep, twice = np.ones(len(places), bool), set()
+    for i in np.flatnonzero(full).tolist():
+        at = int(places[i])
+        around = raw[at - span + GRAM : at + span]
+        if around in first:
+            keep[i] = False
+            twice.update((first[around], at))
+        else:
+            first[around] = at
+    return keep, merged([(at - span + GRAM, at + span) for at in twice])
+
+
 def common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -233,7 +255,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """Rows (_key, _tk, spans): for each document and text hash the sorted byte ranges to remove.
 
     1. Every text of ``span`` bytes or more gives its anchors (about one in ``span / 2``
-       bytes) as small rows; a grouped minimum and maximum tells which grams occur in
+       bytes) as small rows, without those that repeat within it whole; a grouped minimum and maximum tells which grams occur in
        more than one place, whatever their number, with one row per gram and task.
     2. Equal texts are one class, and one document stands for it; copies need no search.
     3. Representatives that hold repeated grams meet their anchors once by a join, and
@@ -252,14 +274,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         for batch in batches:
             for some in range(0, batch.num_rows, 512):
                 part = batch.slice(some, 512)
-                found = [anchors(np.frombuffer(x.as_buffer(), np.uint8), span) for x in part.column("raw")]
-                source = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
-                columns = [part.column(c).take(source) for c in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.concatenate([g for _, g in found]) if found else [], pa.int64()), pa.array(np.concatenate([p for p, _ in found]) if found else [], pa.int64())],
-                    names=[*ids, "gram", "pos"])
-
-    picked = cut(rows.select(*ids, "raw").mapInArrow(pick, T.StructType([*schema, T.StructField("gram", T.LongType()), T.StructField("pos", T.LongType())])))
+                rows: list[tuple] = []  # (text, gram, position, None), or (text, None, start, end) of a range known to repeat
+                for i, x in enumerate(part.column("raw")):
+                    data = x.as_py()
+                    places, grams = anchors(np.frombuffer(data, np.uint8), span)
+                    keep, known = own_repeats(data, places, grams, span)
+                    rows += [(i, g, p, None) for g, p in zip(grams[keep].tolist(), places[keep].tolist())]
+                    rows += [(i, None, s, e) for s, e in known]
+                if rows:
+                    text_of, gram, pos, end = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c).take(pa.array(text_of)) for c in ids), *(pa.array(x, pa.int64()) for x in (gram, pos, end))],
+                        names=[*ids, "gram", "pos", "end"])
+
+    picked = cut(rows.select(*ids, "raw").mapInArrow(pick, T.StructType([*schema, *(T.StructField(n, T.LongType()) for n in ("gram", "pos", "end"))])))
+    known = picked.where("gram is null").select(*ids, F.col("pos").alias("s"), F.col("end").alias("e"))
+    picked = picked.where("gram is not null").drop("end")
     place = F.struct("_tk", "pos")
     grams = (
         picked.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
@@ -345,7 +375,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     # a text with a copy is repeated from end to end
     copied = classes.where("n > 1").select("m", F.col("size").cast("long").alias("e"))
     full = rows.select(*ids, F.md5("raw").alias("m")).join(copied, "m").select(*ids, F.lit(0).cast("long").alias("s"), "e").distinct()
-    return spans.union(full).groupBy(*ids).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    return spans.union(full).union(known).groupBy(*ids).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
