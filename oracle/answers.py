@@ -598,6 +598,18 @@ A["Q12_cleaning_summary"] = " UNION ALL ".join(
 ) + f" UNION ALL SELECT 'endpoint', 'median', 'duration_hours', {rnd('median(duration_hours)', 2)} FROM endpoint_parsed"
 
 
+def _schema(name: str, have: list[str], expected: list[str]) -> str:
+    lost, extra = [x for x in expected if x not in have], [x for x in have if x not in expected]
+    ordered = [x for x in have if x in expected] == [x for x in expected if x in have]
+    facts = [("missing columns", ", ".join(lost)), ("unexpected columns", ", ".join(extra)), ("column order", "" if ordered else "differs")]
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{n}' AS check_name, '{'FAIL' if d else 'PASS'}' AS status, '{d}' AS details" for n, d in facts)
+    return f"{rows} UNION ALL SELECT '{name}', 'row count', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END, CAST(count(*) AS VARCHAR) FROM {name}"
+
+
+_FINAL = {"identity": clean.IDENTITY_COLUMNS, "iam": clean.IAM_COLUMNS, "endpoint": clean.ENDPOINT_COLUMNS, "firewall": clean.FIREWALL_COLUMNS}
+A["Q13_schema_report"] = " UNION ALL ".join(_schema(t, have, _FINAL[n]) for n, raw in RAW_COLS.items() for t, have in ((n, _FINAL[n]), (f"{n}_raw", raw)))
+
+
 def checks(parts: list[tuple[str, str, str]]) -> str:
     """(table label, check, violation count query) rows to a report."""
     rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {q(n)} AS check_name, ({s}) AS violations" for t, n, s in parts)

@@ -613,7 +613,11 @@ Q["Q11_reconciliation"] = lambda p: quality.reconciliation({
     n: (p.raw[f"{n}_raw"], getattr(p, n)) for n in ("identity", "iam", "endpoint", "firewall")})
 Q["Q12_cleaning_summary"] = lambda p: quality.cleaning_summary(
     p.endpoint_parsed, "endpoint", ["user_id", "severity", "detected_timestamp", "sha256"], ["duration_hours"])
-Q["Q13_schema_report"] = lambda p: quality.schema_report(clean.to_analytical(p.iam, "iam"), clean.IAM_COLUMNS, "iam")
+FINAL_COLUMNS = {
+    "identity": clean.IDENTITY_COLUMNS, "iam": clean.IAM_COLUMNS, "endpoint": clean.ENDPOINT_COLUMNS, "firewall": clean.FIREWALL_COLUMNS}
+Q["Q13_schema_report"] = lambda p: stacked([
+    quality.schema_report(df, FINAL_COLUMNS[n], name) for n in SOURCES
+    for name, df in ((n, clean.to_analytical(getattr(p, n), n)), (f"{n}_raw", p.raw[f"{n}_raw"]))])
 Q["Q14_key_checks"] = lambda p: quality.report([
     quality.counted("duplicate rows", "iam", quality.repeated_keys(clean.to_analytical(p.iam, "iam"), *clean.IAM_COLUMNS)),
     quality.counted("unique event_id", "iam", quality.repeated_keys(p.iam, "event_id")),
