@@ -108,3 +108,31 @@ def test_odd_inputs(spark):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert X.without_toxic(wide, known).columns == wide.columns
     assert X.toxicity(wide, known).first().toxic == 7
+
+
+def test_no_two_ngrams_share_an_entry(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300_000)]
+    docs = [(" ".join(words[k : k + 1_000]), 0) for k in range(0, len(words), 1_000)]
+    df = spark.createDataFrame(docs, "text string, toxic int")
+    counted = X._ngram_counts(df).toPandas()
+    want = np.unique(X.ngrams([w.encode() for w in set(words)])[0])
+    assert len(want) > 1 << 20 and np.array_equal(np.sort(counted["key"].to_numpy()), want)
+    # n-grams and contexts never learnt back off
+    seen, unseen = X.likelihood_ratios(*(counted[c].to_numpy() for c in ("key", "toxic", "plain")))
+    strange, _ = X.ngrams(["".join(rng.choice("éöàñ") for _ in range(9)).encode() for _ in range(2_000)])
+    strange = strange[strange >> 32 > 0]
+    assert np.isnan(seen[X.cell(strange)]).all() and not unseen[X.cell(strange >> 8)].any()
+
+
+def test_joined_model_is_the_broadcast_one(spark):
+    docs, labels = corpus(200)
+    docs += [(900, None), (901, ""), (902, "!! 12"), (None, "la la"), (903, "an " * 5_000), (5, docs[5][1]), (5, "zugrok")]
+    d, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = lambda df: sorted(((r.doc_id or -1, r.text or "", r.held_out, r.predicted), r.score) for r in df.collect())
+    sent, joined = rows(X.toxicity(d, known)), rows(X.toxicity(d, known, broadcast_most=0))
+    assert [k for k, _ in sent] == [k for k, _ in joined]
+    assert [s for _, s in joined] == pytest.approx([s for _, s in sent], abs=1e-4)
+    wide = spark.createDataFrame([(1, "la", "x", 7)], "doc_id long, text string, score string, toxic int")
+    got = X.toxicity(wide, known, broadcast_most=0)
+    assert got.columns == X.toxicity(wide, known).columns and got.first().toxic == 7

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ORDER = 5  # bytes of an n-gram, its last one predicted from the others
-CELLS = 1 << 20  # hashed n-grams and contexts of the model; 8 MB are sent to the tasks
 DISCOUNT = 0.75
 STRENGTH = 20.0  # observations that the shared distribution counts for in a context of one class
 PASSAGES = (1, 4, 24)  # words of the passages whose likelihoods are compared
 MARGIN = 4  # bytes added to the length of a passage, so that very short ones don't stand out
 THRESHOLD = 0.3
+MODEL_BOUND = 1 << 20  # distinct n-grams of a model that may be broadcast, counted first; more are joined by shuffle
+HELD = 1 << 20  # bytes of distinct words that a counting task holds before it gives their n-grams on
 LABEL_BOUND = 2_000_000  # label rows that may be broadcast, counted first; more are joined by shuffle
 FIT_BOUND = 20_000  # labelled documents, by hash of the key, to which the calibration is fitted
 START, END = 2, 3  # bytes around a word; never part of one
 TOP = 3  # single words whose ratios are averaged
 FEATURES = len(PASSAGES) + 3
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
 
@@ -31,7 +33,22 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def cell(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    """Place of n-grams in a ``Table``: their own bytes, so that no two share one."""
+    return keys.astype(np.int64)
+
+
+class Table:
+    """Values of exact keys; a key that was never learnt has ``missing``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values, self.missing = keys[order].astype(np.int64), values[order].astype(np.float32), np.float32(missing)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(np.shape(keys), self.missing)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], self.missing)[()]
 
 
 def ngrams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +91,15 @@ def _shared(keys: np.ndarray) -> np.ndarray:
     return p[place]
 
 
-def likelihood_ratios(keys: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed tables of log P(byte | context, toxic) - log P(byte | context, ordinary).
+def likelihood_ratios(keys: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> tuple[Table, Table]:
+    """Tables of log P(byte | context, toxic) - log P(byte | context, ordinary).
 
     The first has the n-grams seen, the second the contexts, for bytes never seen
     after them, where the shared backoff cancels. A class that never saw a context
     takes the backoff as it is.
     """
-    seen, unseen = np.full(CELLS, np.nan, np.float32), np.zeros(CELLS, np.float32)
     if not len(keys):
-        return seen, unseen
+        return Table(keys, keys, np.nan), Table(keys, keys, 0)
     contexts, at = np.unique(keys >> 8, return_inverse=True)
     both = toxic + plain
     total, kinds = np.bincount(at, both), np.bincount(at)
@@ -95,9 +111,50 @@ def likelihood_ratios(keys: np.ndarray, toxic: np.ndarray, plain: np.ndarray) ->
         own = np.maximum(counts - DISCOUNT, 0) / (total + STRENGTH)[at]
         logs.append(np.log(own + weight[at] * backoff))
         left.append(np.log(weight))
-    seen[cell(keys)] = logs[0] - logs[1]
-    unseen[cell(contexts)] = left[0] - left[1]
-    return seen, unseen
+    return Table(cell(keys), logs[0] - logs[1], np.nan), Table(cell(contexts), left[0] - left[1], 0)
+
+
+def _shorter_key(key: Column) -> Column:
+    """``_shorter`` of a column."""
+    out = F.lit(0).cast("long")
+    for size in range(2, ORDER + 1):
+        bits = 8 * (size - 1)
+        out = F.when(F.shiftright(key, bits) > 0, key.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).otherwise(out)
+    return out
+
+
+def grouped_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``likelihood_ratios`` by grouped aggregates: rows (key, ratio) of n-grams and (context, rest) of contexts.
+
+    ``counts`` has (key, toxic, plain), one row per n-gram; nothing of it reaches the driver.
+    """
+    context, discount = F.shiftright("key", 8).alias("context"), F.lit(DISCOUNT)
+    lower = _shorter_key(F.col("key"))
+    levels, above = [], counts
+    while True:  # n-grams without their first byte, until none has a byte left
+        above = cut(above.groupBy(lower.alias("key")).agg(F.count("*").cast("double").alias("n")))
+        if not above.agg(F.max("key")).first()[0]:
+            break
+        levels.append(above)
+    below = None
+    for level in reversed(levels):
+        totals = level.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        rows = level.select("key", "n", context, lower.alias("lower")).join(totals, "context")
+        rows = rows.withColumn("q", F.lit(1 / 256)) if below is None else rows.join(below, "lower")
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + discount * (F.col("kinds") / F.col("total")) * F.col("q")
+        below = cut(rows.select(F.col("key").alias("lower"), p.alias("q")))
+    both = F.col("toxic") + F.col("plain")
+    totals = counts.groupBy(context).agg(
+        F.sum(both).alias("total"), F.count("*").alias("kinds"),
+        *[F.sum(c).alias(f"{c}_total") for c in ("toxic", "plain")], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "plain")])
+    weight = lambda c: (discount * F.col(f"{c}_kinds") + STRENGTH) / (F.col(f"{c}_total") + STRENGTH)
+    rows = counts.select("*", context, lower.alias("lower")).join(totals, "context")
+    rows = rows.withColumn("q", F.lit(1 / 256)) if below is None else rows.join(below, "lower")
+    backoff = F.greatest(both - discount, F.lit(0.0)) / F.col("total") + discount * (F.col("kinds") / F.col("total")) * F.col("q")
+    log = lambda c: F.log(F.greatest(F.col(c) - discount, F.lit(0.0)) / (F.col(f"{c}_total") + STRENGTH) + weight(c) * F.col("backoff"))
+    seen = rows.withColumn("backoff", backoff).select("key", (log("toxic") - log("plain")).cast("float").alias("ratio"))
+    unseen = totals.select("context", (F.log(weight("toxic")) - F.log(weight("plain"))).cast("float").alias("rest"))
+    return cut(seen), cut(unseen)
 
 
 class Scorer:
@@ -105,7 +162,7 @@ class Scorer:
 
     KEPT = 200_000
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray):
+    def __init__(self, seen: Table, unseen: Table):
         self.seen, self.unseen = seen, unseen
         self._clear()
 
@@ -132,47 +189,100 @@ class Scorer:
             self.ids.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh))))
             self._learn(fresh)
         at = np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found))
-        ratio, length = np.concatenate([[0], np.cumsum(self.ratio[at])]), np.concatenate([[0], np.cumsum(self.length[at])])
-        best = []
-        for width in (min(p, len(found)) for p in PASSAGES):
-            best.append(float(((ratio[width:] - ratio[:-width]) / (length[width:] - length[:-width] + MARGIN)).max()))
-        word = np.sort(self.ratio[at] / (self.length[at] + MARGIN))[-TOP:]
-        return ratio[-1] / length[-1], *best, float(word.sum() / TOP), float(np.log(len(found)))
+        return _summary(self.ratio[at], self.length[at])
+
+
+def _summary(ratios: np.ndarray, lengths: np.ndarray) -> tuple[float, ...]:
+    """Features of a text from the ratio and length of each of its words."""
+    ratio, length = np.concatenate([[0], np.cumsum(ratios)]), np.concatenate([[0], np.cumsum(lengths)])
+    best = []
+    for width in (min(p, len(ratios)) for p in PASSAGES):
+        best.append(float(((ratio[width:] - ratio[:-width]) / (length[width:] - length[:-width] + MARGIN)).max()))
+    word = np.sort(ratios / (lengths + MARGIN))[-TOP:]
+    return ratio[-1] / length[-1], *best, float(word.sum() / TOP), float(np.log(len(ratios)))
+
+
+def text_hash(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def joined_features(texts: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(h, x) of every distinct ``text``: its ``text_hash`` and features, under a model too large to send.
+
+    N-grams of the distinct words meet the model by exact key, words meet the texts
+    that hold them; a group is one word or one text.
+    """
+    lines = cut(texts.select(text_hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h"]))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, text in zip(batch["h"], batch["text"]):
+                words = list(dict.fromkeys(tokens(text)))
+                for k in range(0, len(words), 50_000):
+                    yield pd.DataFrame({"h": h, "word": words[k : k + 50_000]})
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for w in batch["word"]:
+                keys, _ = ngrams([bytes(w)])
+                yield pd.DataFrame({"word": [w] * len(keys), "place": np.arange(len(keys)), "key": keys})
+
+    held = cut(lines.mapInPandas(spread, "h string, word binary"))
+    grams = held.select("word").distinct().mapInPandas(split, "word binary, place long, key long")
+    found = grams.join(seen, "key", "left").withColumn("context", F.shiftright("key", 8)).join(unseen, "context", "left")
+    each = F.coalesce("ratio", "rest", F.lit(0.0)).cast("double")
+    words = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("place", each.alias("r")))).alias("g"))
+    words = words.select("word", F.aggregate("g.r", F.lit(0.0), lambda a, b: a + b).alias("ratio"), F.size("g").alias("length"))
+    by_text = held.join(words, "word").groupBy("h").agg(F.collect_list(F.struct("word", "ratio", "length")).alias("w"))
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series, words: pd.Series, ratios: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for text, names, ratio, length in zip(texts, words, ratios, lengths):
+            order = tokens(text)
+            if order:
+                place = {bytes(w): k for k, w in enumerate(names)}
+                at = np.fromiter(map(place.__getitem__, order), np.int64, len(order))
+            out.append(list(_summary(np.asarray(ratio)[at], np.asarray(length)[at])) if order else [0.0] * FEATURES)
+        return pd.Series(out)
+
+    return lines.join(by_text, "h", "left").select("h", features("text", "w.word", "w.ratio", "w.length").alias("x"))
 
 
 def _ngram_counts(labelled: DataFrame) -> DataFrame:
-    """(cell, key, toxic, plain) from rows (text, toxic): one row per hashed n-gram.
+    """(key, toxic, plain) from rows (text, toxic): one row per distinct n-gram.
 
-    Each task adds its documents into arrays of CELLS entries, so it returns at most
-    that many rows whatever it reads; rows of one n-gram then meet in a grouped sum.
+    A task sums over the words it holds, at most about HELD bytes, and gives their
+    n-grams on; rows of one n-gram meet in a grouped sum, however many there are.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, first = np.zeros((2, CELLS)), np.zeros(CELLS, np.int64)
+        words: tuple[dict[bytes, int], ...] = ({}, {})
+        held = 0
         for batch in batches:
-            for label, part in batch.groupby("toxic"):
-                words: dict[bytes, int] = {}
-                for text in part["text"]:
-                    for w in set(tokens(text)):
-                        words[w] = words.get(w, 0) + 1
-                    if len(words) > Scorer.KEPT:
-                        add(words, label, counts, first)
-                        words = {}
-                add(words, label, counts, first)
-        at = np.flatnonzero(counts.any(axis=0))
-        for k in range(0, len(at), 50_000):
-            some = at[k : k + 50_000]
-            yield pd.DataFrame({"cell": some, "key": first[some], "toxic": counts[1, some], "plain": counts[0, some]})
-
-    def add(words: dict[bytes, int], label: int, counts: np.ndarray, first: np.ndarray) -> None:
-        if words:
-            keys, word = ngrams(list(words))
-            at = cell(keys)
-            counts[label] += np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[word], CELLS)
-            first[at] = keys
-
-    rows = labelled.mapInPandas(count, "cell long, key long, toxic double, plain double")
-    return rows.groupBy("cell").agg(F.min("key").alias("key"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+            for text, label in zip(batch["text"], batch["toxic"]):
+                own = words[label]
+                for w in set(tokens(text)):
+                    n = own.get(w, 0)
+                    own[w] = n + 1
+                    held += 0 if n else len(w) + 1
+                if held > HELD:
+                    yield from summed(words)
+                    words, held = ({}, {}), 0
+        yield from summed(words)
+
+    def summed(words: tuple[dict[bytes, int], ...]) -> Iterator[pd.DataFrame]:
+        for label, own in enumerate(words):
+            if own:
+                keys, word = ngrams(list(own))
+                keys, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at, np.fromiter(own.values(), np.float64, len(own))[word])
+                for k in range(0, len(keys), 50_000):
+                    some = n[k : k + 50_000]
+                    yield pd.DataFrame({"key": keys[k : k + 50_000], "toxic": some * label, "plain": some * (1 - label)})
+
+    rows = labelled.mapInPandas(count, "key long, toxic double, plain double")
+    return rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,17 +302,62 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 SCALE = np.array([20.0, 2.0, 4.0, 16.0, 2.0, 0.25])  # brings the features to like size
 
 
-def _score(weights: np.ndarray, scorer: Scorer, texts: pd.Series) -> np.ndarray:
-    x = np.array([scorer.features(t) for t in texts], np.float64).reshape(-1, FEATURES) * SCALE
+def _score(weights: np.ndarray, features: list) -> np.ndarray:
+    x = np.array(features, np.float64).reshape(-1, FEATURES) * SCALE
     return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -700, 700)))
 
 
+def _under(counts: DataFrame, broadcast_most: int) -> tuple[Callable, Callable]:
+    """Features of rows (text, toxic), and scored documents, under the model of ``counts``."""
+    names = [f"x{i}" for i in range(FEATURES)]
+    if counts.count() > broadcast_most:
+        seen, unseen = grouped_ratios(counts)
+
+        def with_features(rows: DataFrame) -> DataFrame:
+            x = joined_features(rows, seen, unseen)
+            return rows.join(x, text_hash(F.col("text")) == F.col("h")).select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)], F.col("toxic").alias("y"))
+
+        def scored(docs: DataFrame, text: str, weights: np.ndarray, held_out: Callable) -> DataFrame:
+            x = joined_features(docs.select(F.col(text).alias("text")), seen, unseen)
+            score = F.pandas_udf(lambda xs: pd.Series(_score(weights, xs.tolist())), "double")
+            rows = docs.select(F.struct("*").alias("_row"), text_hash(F.col(text)).alias("h")).join(x.select("h", score("x").alias("s")), "h")
+            row = F.col("_row")
+            row = row.withField("held_out", held_out(row)).withField("score", F.col("s")).withField("predicted", (F.col("s") >= THRESHOLD).cast("int"))
+            return rows.select(row.alias("_row")).select("_row.*")
+
+        return with_features, scored
+
+    counted = counts.toPandas()
+    model = counts.sparkSession.sparkContext.broadcast(likelihood_ratios(*(counted[c].to_numpy() for c in ("key", "toxic", "plain"))))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(*model.value)
+        for batch in batches:
+            x = [scorer.features(t) for t in batch["text"]]
+            yield pd.DataFrame(x, columns=names).assign(y=batch["toxic"].to_numpy())
+
+    def with_features(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(learn, ", ".join(f"{n} double" for n in names) + ", y int")
+
+    def scored(docs: DataFrame, text: str, weights: np.ndarray, held_out: Callable) -> DataFrame:
+        @F.pandas_udf("double")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            scorer = Scorer(*model.value)
+            for batch in batches:
+                yield pd.Series(_score(weights, [scorer.features(t) for t in batch]))
+
+        out = docs.withColumn("held_out", held_out(docs)).withColumn("score", score(F.col(text)))
+        return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+    return with_features, scored
+
+
 def fold(key):
     """0 to 3 by the checksum of the key as text; null keys fall where the empty text does."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", broadcast_most: int = MODEL_BOUND) -> DataFrame:
     """All columns of every document with ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
     Labelled rows outside the held-out fold teach: two of three folds the n-gram
@@ -212,14 +367,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     log-likelihoods under both, per byte, of the whole text, of its most toxic
     passages and of its most toxic words, so that a long text hides nothing. A word
     counts once a document, else one text that repeats itself would speak for its
-    class. The model has CELLS entries whatever the input.
+    class. The model holds every distinct n-gram under its own key and grows with the
+    input: up to ``broadcast_most`` n-grams are sent to all tasks, more are joined
+    with those of the documents.
 
     Null and empty texts have no letters and score as their features of zero do; null
     labels teach nothing; a key labelled twice takes the larger label; without any
     label of one class every score is the share of toxic labels; an empty table gives
     an empty result; columns named like the new ones are replaced.
     """
-    spark = docs.sparkSession
     known = (
         labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 2))
         .groupBy(F.col(key).alias("_key")).agg((F.max(F.col(toxic)) > 0).cast("int").alias("toxic"))
@@ -227,20 +383,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
     small = known.count() <= LABEL_BOUND
     taught = rows.join(F.broadcast(known) if small else known, F.col("_id") == F.col("_key"))
-    counted = _ngram_counts(taught.where(fold(F.col("_id")) != 3).select("text", "toxic")).toPandas()
-    seen, unseen = likelihood_ratios(*(counted[c].to_numpy() for c in ("key", "toxic", "plain")))
-    model = spark.sparkContext.broadcast((seen, unseen))
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*model.value)
-        for batch in batches:
-            x = [scorer.features(t) for t in batch["text"]]
-            yield pd.DataFrame(x, columns=[f"x{i}" for i in range(FEATURES)]).assign(y=batch["toxic"].to_numpy())
+    counts = cut(_ngram_counts(taught.where(fold(F.col("_id")) != 3).select("text", "toxic")))
+    with_features, scored = _under(counts, broadcast_most)
 
     third = known.where(fold(F.col("_key")) == 3)
     step = max(1, third.count() // FIT_BOUND)
     fit = taught.where((fold(F.col("_id")) == 3) & (F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)).select("text", "toxic")
-    sample = fit.mapInPandas(learn, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", y int").toPandas()
+    sample = with_features(fit).toPandas()
     y = sample["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
         base = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
@@ -249,14 +398,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         sample = sample.sort_values(list(sample.columns))  # so that reruns add in the same order
         weights = _calibrate(sample.to_numpy(np.float64)[:, :FEATURES] * SCALE, sample["y"].to_numpy(np.float64))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(*model.value)
-        for batch in batches:
-            yield pd.Series(_score(weights, scorer, batch))
-
-    out = docs.withColumn("held_out", fold(F.col(key)) == 2).withColumn("score", score(F.col(text)))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scored(docs, text, weights, lambda row: fold(row[key]) == 2)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
