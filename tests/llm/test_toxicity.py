@@ -113,8 +113,8 @@ def test_odd_inputs(spark):
 def test_no_two_ngrams_share_an_entry(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300_000)]
-    docs = [(" ".join(words[k : k + 1_000]), 0) for k in range(0, len(words), 1_000)]
-    df = spark.createDataFrame(docs, "text string, toxic int")
+    docs = [(" ".join(words[k : k + 1_000]), 0, k % 3_000 == 0) for k in range(0, len(words), 1_000)]
+    df = spark.createDataFrame(docs, "text string, toxic int, fits boolean")
     counted = X._ngram_counts(df).toPandas()
     want = np.unique(X.ngrams([w.encode() for w in set(words)])[0])
     assert len(want) > 1 << 20 and np.array_equal(np.sort(counted["key"].to_numpy()), want)
@@ -136,3 +136,25 @@ def test_joined_model_is_the_broadcast_one(spark):
     wide = spark.createDataFrame([(1, "la", "x", 7)], "doc_id long, text string, score string, toxic int")
     got = X.toxicity(wide, known, broadcast_most=0)
     assert got.columns == X.toxicity(wide, known).columns and got.first().toxic == 7
+
+
+def test_every_fold_but_the_held_out_one_teaches(spark):
+    docs, labels = corpus(700)
+    rare = [1_000 + k for k in range(400) if fold(1_000 + k) == 3][:40]  # an expression found in one fold only
+    docs += [(k, "qwyxqwyx qwyxqwyx qwyxqwyx la de") for k in rare]
+    labels += [(k, 1, 1) for k in rare]
+    asked = [5_000 + k for k in range(40) if fold(5_000 + k) == 2]
+    got = scored(spark, docs + [(k, "qwyxqwyx la mi") for k in asked], labels)
+    assert {r.predicted for r in got if r.doc_id in asked} == {1}
+
+
+def test_fit_sample_is_bounded(spark, monkeypatch):
+    docs, labels = corpus(400)
+    third = sum(fold(k) == 3 for k, _ in docs)
+    bound = third // 2 + 1  # so that the count is under twice the bound
+    monkeypatch.setattr(X, "FIT_BOUND", bound)
+    seen = []
+    plain = X._calibrate
+    monkeypatch.setattr(X, "_calibrate", lambda x, y: seen.append(len(x)) or plain(x, y))
+    scored(spark, docs, labels)
+    assert seen and seen[0] <= 1.3 * bound < third

@@ -250,39 +250,42 @@ def joined_features(texts: DataFrame, seen: DataFrame, unseen: DataFrame) -> Dat
 
 
 def _ngram_counts(labelled: DataFrame) -> DataFrame:
-    """(key, toxic, plain) from rows (text, toxic): one row per distinct n-gram.
+    """(key, toxic, plain, toxic_fit, plain_fit) from rows (text, toxic, fits): one row per distinct n-gram.
 
-    A task sums over the words it holds, at most about HELD bytes, and gives their
+    The last two leave out the rows that ``fits`` marks for the calibration. A task sums over the words it holds, at most about HELD bytes, and gives their
     n-grams on; rows of one n-gram meet in a grouped sum, however many there are.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: tuple[dict[bytes, int], ...] = ({}, {})
+        words: tuple[dict[bytes, int], ...] = ({}, {}, {}, {})
         held = 0
         for batch in batches:
-            for text, label in zip(batch["text"], batch["toxic"]):
-                own = words[label]
+            for text, label, fits in zip(batch["text"], batch["toxic"], batch["fits"]):
+                own = words[label + 2 * bool(fits)]
                 for w in set(tokens(text)):
                     n = own.get(w, 0)
                     own[w] = n + 1
                     held += 0 if n else len(w) + 1
                 if held > HELD:
                     yield from summed(words)
-                    words, held = ({}, {}), 0
+                    words, held = ({}, {}, {}, {}), 0
         yield from summed(words)
 
     def summed(words: tuple[dict[bytes, int], ...]) -> Iterator[pd.DataFrame]:
-        for label, own in enumerate(words):
+        for kind, own in enumerate(words):
             if own:
+                label, other = kind % 2, kind < 2
                 keys, word = ngrams(list(own))
                 keys, at = np.unique(keys, return_inverse=True)
                 n = np.bincount(at, np.fromiter(own.values(), np.float64, len(own))[word])
                 for k in range(0, len(keys), 50_000):
                     some = n[k : k + 50_000]
-                    yield pd.DataFrame({"key": keys[k : k + 50_000], "toxic": some * label, "plain": some * (1 - label)})
+                    toxic, plain = some * label, some * (1 - label)
+                    yield pd.DataFrame({"key": keys[k : k + 50_000], "toxic": toxic, "plain": plain, "toxic_fit": toxic * other, "plain_fit": plain * other})
 
-    rows = labelled.mapInPandas(count, "key long, toxic double, plain double")
-    return rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    names = ("toxic", "plain", "toxic_fit", "plain_fit")
+    rows = labelled.mapInPandas(count, "key long, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -360,9 +363,10 @@ def fold(key):
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", broadcast_most: int = MODEL_BOUND) -> DataFrame:
     """All columns of every document with ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
-    Labelled rows outside the held-out fold teach: two of three folds the n-gram
-    counts (all rows, by Spark), the third the calibration (at most FIT_BOUND rows by
-    hash). Each class has a Kneser-Ney model over letters; what a class saw rarely
+    All labelled rows outside the held-out fold teach the n-gram counts (by Spark).
+    The calibration is fitted to at most about FIT_BOUND rows, by hash, of one of these
+    folds, with features under a model of the other two, so that no row is judged by
+    its own counts. Each class has a Kneser-Ney model over letters; what a class saw rarely
     or never falls back on continuation counts that both share. A score compares the
     log-likelihoods under both, per byte, of the whole text, of its most toxic
     passages and of its most toxic words, so that a long text hides nothing. A word
@@ -383,12 +387,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
     small = known.count() <= LABEL_BOUND
     taught = rows.join(F.broadcast(known) if small else known, F.col("_id") == F.col("_key"))
-    counts = cut(_ngram_counts(taught.where(fold(F.col("_id")) != 3).select("text", "toxic")))
-    with_features, scored = _under(counts, broadcast_most)
+    fits = fold(F.col("_id")) == 3
+    counts = cut(_ngram_counts(taught.select("text", "toxic", fits.alias("fits"))))
+    others = counts.select("key", F.col("toxic_fit").alias("toxic"), F.col("plain_fit").alias("plain")).where(F.col("toxic") + F.col("plain") > 0)
+    with_features, _ = _under(others, broadcast_most)
+    _, scored = _under(counts.select("key", "toxic", "plain"), broadcast_most)
 
     third = known.where(fold(F.col("_key")) == 3)
-    step = max(1, third.count() // FIT_BOUND)
-    fit = taught.where((fold(F.col("_id")) == 3) & (F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)).select("text", "toxic")
+    step = max(1, -(-third.count() // FIT_BOUND))
+    fit = taught.where(fits & (F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)).select("text", "toxic")
     sample = with_features(fit).toPandas()
     y = sample["y"].to_numpy(np.float64)
     if len(set(y)) < 2:
