@@ -65,3 +65,28 @@ def test_rotation_balances_codes():
     y = (x - turn.centre) @ turn.directions
     loss = lambda m: ((np.where(y @ m >= 0, 1, -1) - y @ m) ** 2).sum()
     assert loss(turn.directions.T @ turn.matrix) < loss(np.eye(16))
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7])
+def test_tables_find_pairs_at_the_threshold_of_large_labels(mean):
+    rng = np.random.default_rng(11)
+    centre = np.zeros(64)
+    centre[0] = np.sqrt(mean)
+
+    def draw(n):
+        x = rng.standard_normal((n, 64)) / 8 * np.sqrt(1 - mean) + centre
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    width, count, turns = itq.fit(draw(3_000), 1_000_000)
+    each = 64 // width if width else 1
+    x = draw(5_000)
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = itq.COSINE * x + np.sqrt(1 - itq.COSINE**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    a, b = (np.column_stack([itq.cut_codes(t.codes(v), width, each) for t in turns])[:, :count] for v in (x, y))
+    assert (a == b).any(axis=1).mean() >= 0.98
+
+
+def test_one_bit_codes_lose_no_pair():
+    x = np.random.default_rng(2).standard_normal((500, 8))
+    assert itq.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 100_000, bits=1)[0] == 0

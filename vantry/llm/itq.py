@@ -14,8 +14,10 @@ from .simhash import Links
 
 COSINE = 0.93
 BITS = 64  # of a code, or the dimension where that is smaller
-ERROR = 0.12  # share of bits that a pair at the threshold differs in: its angle over pi
+ERROR = 0.12  # share of bits that a pair at the threshold differs in at least: its angle over pi
 MISS = 0.01  # chance that such a pair meets in no table
+PAIRS = 4_000  # vectors of the sample from which pairs at the threshold are made
+TABLES = 160  # tables beyond which slices get narrower instead
 BUCKET = 64  # vectors that a bucket of the largest label is meant to hold
 SAMPLE = 10_000  # vectors, by hash of the key, to which the rotation is fitted
 ROUNDS = 50
@@ -53,13 +55,66 @@ def tables(largest: int, bits: int, miss: float = MISS) -> tuple[int, int]:
 
     Slices are as wide as fills buckets with BUCKET vectors; narrower ones would make
     comparisons grow with the square. The chance that a pair at the threshold agrees in a
-    whole slice gives the number of tables that leave ``miss`` of such pairs.
+    whole slice gives the number of tables that leave ``miss`` of such pairs where no
+    mean is shared; ``fit`` goes on from there.
     """
     width = int(np.clip(np.ceil(np.log2(max(1, largest) / BUCKET)), 4, min(24, bits)))
     count = int(np.ceil(np.log(miss) / np.log1p(-((1 - ERROR) ** width))))
     return width, max(count, bits // width if bits // width < 2 * count else count)
 
 
+def at_threshold(x: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at exactly ``cosine``: x turned in random directions, and towards other vectors of x."""
+    rng = np.random.default_rng(1)
+    out = []
+    for away in (rng.standard_normal(x.shape), x[rng.permutation(len(x))]):
+        away = away - (away * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        ok = length[:, 0] > 1e-6
+        if ok.any():
+            out.append((x[ok], cosine * x[ok] + np.sqrt(max(0.0, 1 - cosine**2)) * away[ok] / length[ok]))
+    return out
+
+
+def cut_codes(codes: np.ndarray, width: int, each: int) -> np.ndarray:
+    """``each`` slices of ``width`` bits of every code."""
+    return np.column_stack([(codes >> np.uint64(k * width)) & np.uint64((1 << width) - 1) for k in range(each)])
+
+
+def fit(x: np.ndarray, largest: int, bits: int = BITS, cosine: float = COSINE, miss: float = MISS, most: int = TABLES) -> tuple[int, int, list[Rotation]]:
+    """(width of a slice, number of tables, rotations) that miss at most ``miss`` of the pairs at ``cosine``.
+
+    Codes are signs of centred vectors, and where vectors share a mean a pair at the threshold
+    differs in more bits than its angle tells. So pairs at the threshold are made from
+    the sample and sent through the rotations, and tables are added until they
+    meet. Slices that would need more than ``most`` tables get narrower; at width 0 all vectors of a label meet.
+    """
+    turns = [Rotation(x, bits)]
+    bits = turns[0].bits
+    width, least = tables(largest, bits, miss)
+    pairs = at_threshold(x[:PAIRS], cosine)
+    codes: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    while width:
+        each, count = bits // width, 0
+        apart = [np.ones(len(a), bool) for a, _ in pairs]
+        while count < least or any(p.mean() > miss for p in apart):
+            if count >= max(most, least):
+                break
+            at, k = divmod(count, each)
+            if at == len(turns):
+                turns.append(Rotation(x, bits, seed=at))
+            if at == len(codes):
+                codes.append([(turns[at].codes(a), turns[at].codes(b)) for a, b in pairs])
+            mask = np.uint64(((1 << width) - 1) << (k * width))
+            for p, (a, b) in zip(apart, codes[at]):
+                p &= ((a ^ b) & mask) != 0
+            count += 1
+        if all(p.mean() <= miss for p in apart):
+            return width, count, turns[: -(-count // each)]
+        width, least = width - 1, 1
+    return 0, 1, turns[:1]
+
+
 def compare(one: bool, own: np.ndarray, keys: np.ndarray, copies: np.ndarray, x: np.ndarray, slices: np.ndarray, table: int, cosine: float) -> pd.DataFrame:
     """Rows (a, b, n): each linked vector, its root in the forest of links here, and the vectors linked to it.
 
@@ -113,10 +168,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     dim = int(sizes.mode().iloc[0]) if len(some) else 1
     fitted = _stack(some["x"][sizes == dim]) if len(some) else np.ones((1, 1))
     fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-    first = Rotation(fitted, bits)
-    width, n_tables = tables(most, first.bits)
-    each = first.bits // width
-    turns = [first, *(Rotation(fitted, bits, seed=s) for s in range(1, -(-n_tables // each)))]
+    width, n_tables, turns = fit(fitted, most, bits, cosine)
+    each = turns[0].bits // width if width else 1
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def slices_of(column: pd.Series) -> pd.Series:
@@ -129,7 +182,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             else:
                 x = _stack(column.iloc[at])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = np.column_stack([(c >> np.uint64(k * width)) & np.uint64((1 << width) - 1) for c in (t.codes(x) for t in turns) for k in range(each)])
+                found = np.column_stack([cut_codes(t.codes(x), width, each) for t in turns])
                 found = found[:, :n_tables].astype(np.int64)
             for i, row in zip(at.tolist(), found.tolist()):
                 out.iloc[i] = row
