@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return simhash.dedup(docs)
+    """One row of each group of near copies, that with the smallest doc_id, null ones last."""
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
-    taken = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "copies").distinct()
-    named = taken.select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"])).select([docs[c] for c in docs.columns])
+    taken = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "source", "copies").distinct()
+    named = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    same = docs["doc_id"].eqNullSafe(named["_id"]) & docs["source"].eqNullSafe(named["_source"])
+    return docs.join(named, same).select([docs[c] for c in docs.columns])
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

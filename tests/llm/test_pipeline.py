@@ -66,3 +66,20 @@ def test_empty_and_odd_documents(spark, folder):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "suffix_dedup", "mixing", "sentencepiece"]
     assert mixing.SHARE == 1.5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids(spark, folder):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [
+        (None, long("a"), "en", "s", 1), (None, long("b"), "en", "s", 1), (None, long("b"), "en", "s", 1), (None, long("c"), "en", "s", 1),
+        (4, long("c"), "en", "s", 1), (5, long("d"), "en", "s", 1), (5, long("c"), "en", "s", 1), (5, long("d"), "en", "t", 1), (6, long("e"), "en", "s", 1), (6, long("e"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text[0]) for r in corpus_pipeline.drop_near_copies(spark, docs, folder).collect())
+    assert got == Counter([(None, "a"), (None, "b"), (4, "c"), (5, "d"), (6, "e")])
+
+
+def test_mix_of_ids_in_two_sources(spark, folder):
+    rows = [(k, "w " * 9, "en", s, 18) for k in range(40) for s in "abc"] + [(None, "w " * 9, "en", "a", 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect() if r.copies}
+    assert Counter((r.doc_id, r.source) for r in corpus_pipeline.mix_sources(spark, docs, folder).collect()) == want

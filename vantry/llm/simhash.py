@@ -195,6 +195,12 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return routed.groupBy("tree", "shard").applyInPandas(search, "a long, b long")
 
 
+def _components_of(classes: DataFrame) -> DataFrame:
+    """(fp, first, c): distinct fingerprints with the smallest fingerprint reachable over links."""
+    linked = components(near_links(classes.select("fp")))
+    return classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (key, fp, component_id), the smallest key reachable over links.
 
@@ -204,15 +210,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     documents have others; an empty table gives an empty result; other columns are left out.
     """
     prints = cut(docs.select(F.col(key).alias("_key"), fingerprints(F.col(text)).alias("fp")))
-    classes = prints.groupBy("fp").agg(F.min("_key").alias("first"))
-    linked = components(near_links(classes.select("fp")))
-    named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    named = _components_of(prints.groupBy("fp").agg(F.min("_key").alias("first")))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     table = named.select("fp", "c").join(least, "c").select("fp", "component_id")
     return prints.join(table, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each component (that with the smallest key), all columns kept."""
+    """The rows under the smallest key of each component, all columns kept.
+
+    Keys must name documents: rows of one key stay together, and rows with a null
+    key are left out. ``one_of_each`` needs no such keys.
+    """
     first = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key)).distinct()
     return docs.join(first, key, "left_semi")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, exactly one row of each component, all columns kept.
+
+    A row is named by its key, the hash of its text and that of all its columns. The
+    row of the smallest key stays, null keys last, ties by the hashes; of rows equal in
+    all that one stays. Null and repeated keys thus lose no text.
+    """
+    names = [F.col(key).alias("_k"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_t"), F.xxhash64(*docs.columns).alias("_r")]
+    prints = cut(docs.select(*names, fingerprints(F.col(text)).alias("fp")))
+    order = F.struct(F.col("_k").isNull().alias("_n"), "_k", "_t", "_r")
+    # rows of one name count together, and only names that several rows bear are grouped with their rows
+    named = prints.groupBy("fp", "_k", "_t", "_r").agg(F.count("*").alias("m"))
+    classes = named.groupBy("fp").agg(F.min(F.struct(order.alias("o"), "m")).alias("first"))
+    first = cut(_components_of(classes).groupBy("c").agg(F.min("first").alias("first")).select("first.o._k", "first.o._t", "first.o._r", "first.m"))
+    rows = docs.select(F.struct("*").alias("_row"), *[n.alias(f"_d{i}") for i, n in enumerate(names)])
+    kept = rows.join(first, F.col("_d0").eqNullSafe(F.col("_k")) & (F.col("_d1") == F.col("_t")) & (F.col("_d2") == F.col("_r")))
+    several = kept.where("m > 1").groupBy("_k", "_t", "_r").agg(F.first("_row").alias("_row"))
+    return kept.where("m = 1").select("_row").union(several.select("_row")).select("_row.*")
