@@ -44,3 +44,16 @@ def test_rule_without_literal_and_empty_list(spark):
     got = {r.page_id: r.verdict for r in U.judge(df, [U.Rule("any", "block", "q{2}", (), 1)]).collect()}
     assert got == {1: "block", 2: "allow"}
     assert {r.verdict for r in U.judge(df, [], otherwise="block").collect()} == {"block"}
+
+
+def test_rules_with_capitals(spark):
+    rules = [U.prefix_rule("block", h, p) for h, p in [("com", "/News/"), ("Example.ORG", "/%C3%A9/"), ("net", "/A/bC/"), ("net", "/a/")]]
+    urls = ["http://x.com/News/1", "http://x.com/news/1", "http://example.org/%C3%A9/q", "http://EXAMPLE.org/%c3%a9/q", "http://a.net/A/bC/", "http://a.net/A/bc/", "http://a.net/a/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.matched for r in U.judge(df, rules).collect()}
+    want = {}
+    for k, u in enumerate(urls):
+        host, path = re.search("://([^/]*)(.*)", u).groups()
+        fits = [r for r in rules if re.search(r.pattern, host.lower() + path)]
+        want[k] = max(fits, key=lambda r: r.priority).name if fits else None
+    assert got == want and sum(v is not None for v in want.values()) == 4

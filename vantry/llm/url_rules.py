@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 RULE_BOUND = 200_000  # rules that may be broadcast; a longer list is joined by shuffle
 TOKEN = r"[^a-z0-9]+"
+_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(frozen=True)
@@ -26,11 +27,12 @@ class Rule:
 
 def prefix_rule(verdict: str, host: str, path: str) -> Rule:
     """A host with its subdomains, and a prefix of the path; the longest rule wins."""
+    name, host = host + path, host.translate(_SMALL)  # hosts of urls are in small letters
     whole = [t for t in re.split(TOKEN, host) if t]
     # the last token of the prefix may go on in the url unless a separator ends it
-    inner = re.split(TOKEN, path)
+    inner = re.split(TOKEN, path.translate(_SMALL))
     whole += [t for t in inner[:-1] if t]
-    return Rule(host + path, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}(?={re.escape(path)})", tuple(whole), 1_000 + len(host + path))
+    return Rule(name, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}(?={re.escape(path)})", tuple(whole), 1_000 + len(host + path))
 
 
 def word_rule(verdict: str, word: str) -> Rule:
