@@ -51,3 +51,14 @@ def test_few_pages_make_no_template(spark):
     assert S.extract(df.limit(0)).count() == 0
     wide = spark.createDataFrame([(1, "u", "<p>t", "h", "s")], "page_id long, url string, html string, host string, text string")
     assert S.extract(wide).first().text == "t"
+
+
+def test_names_of_wrappers_drop_no_article():
+    text = lambda html: S.Page(html).text(lambda h: False)
+    for wrapper in ("div class='content has-sidebar'", "div id='page' class='with-nav'", "section class='post no-comments'", "div class='content sidebar'", "div id=nav"):
+        tag = wrapper.split()[0]
+        assert text(f"<body><{wrapper}><article><p>One</p><p>Two</p></article></{tag}></body>") == "One\n\nTwo"
+        assert text(f"<body><main><{wrapper}><article><p>One</p></article></{tag}></main></body>") == "One"
+    assert text("<body><main><p>One</p><div class=related><article>T</article></div></main></body>").startswith("One")
+    assert text("<body><p>One</p><div class=related><article>T</article></div></body>").startswith("One")
+    assert text("<body><article><p>One</p><div class='sidebar x'>S</div><div class='cookie-notice'>C</div></article></body>") == "One"

@@ -59,6 +59,7 @@ class Page:
 
     def __init__(self, html: str | None):
         self.parent, self.name, self.drop, self.main, self.hash = [-1], ["#"], [False], [False], [0]
+        self.named, self.wrapped = [False], [False]  # by class or id: itself, itself or one around it
         self.blocks: list[tuple[int, str]] = []
         self.mains: list[int] = []
         self.holds_main: set[int] = set()
@@ -120,7 +121,7 @@ class Page:
                     else:
                         depth = next((k for k in range(len(stack) - 1, 0, -1) if self.name[stack[k][0]] == name or self.name[stack[k][0]] in BLOCKS), 0)
                         if depth and self.name[stack[depth][0]] == name:
-                            flush_inline = self.drop[stack[depth][0]]
+                            flush_inline = self.drop[stack[depth][0]] or self.named[stack[depth][0]]
                             if flush_inline:
                                 flush()
                             while len(stack) > depth:
@@ -148,14 +149,18 @@ class Page:
             node, up = len(self.name), stack[-1][0]
             inside = self.main[up]
             dropped = name in RAW or self._dropped(name, found[3], inside)
-            if dropped and name not in BLOCKS:
+            named = not dropped and self._named(name, found[3], inside)
+            if (dropped or named) and name not in BLOCKS:
                 flush()
             self.parent.append(up)
             self.name.append(name)
             self.drop.append(self.drop[up] or dropped)
-            self.main.append(inside or (name in ("article", "main") and not self.drop[-1]))
+            self.named.append(named)
+            self.wrapped.append(self.wrapped[up] or named)
+            begins = name in ("article", "main") and not self.drop[-1] and not named
+            self.main.append(inside or begins)
             self.hash.append(0)
-            if name in ("article", "main") and not self.drop[-1]:
+            if begins:
                 self.mains.append(node)
             if name in RAW:
                 stop = _RAW_END[name].search(html, at)
@@ -171,6 +176,8 @@ class Page:
             while node >= 0 and node not in self.holds_main:
                 self.holds_main.add(node)
                 node = self.parent[node]
+        for node in range(1, len(self.drop)):  # a name never drops what holds an article
+            self.drop[node] = self.drop[node] or self.drop[self.parent[node]] or (self.named[node] and node not in self.holds_main)
 
     @staticmethod
     def _dropped(name: str, attributes: str, inside: bool) -> bool:
@@ -184,8 +191,17 @@ class Page:
                 return True
             if a == "role" and value in DROPPED_ROLES:
                 return True
-            if a in ("class", "id"):
-                words = set(_WORD.findall(value))
+        return False
+
+    @staticmethod
+    def _named(name: str, attributes: str, inside: bool) -> bool:
+        """Whether a class or id names boilerplate: a whole token, or one made of nothing but such words."""
+        if not attributes or name in ("html", "body", "main"):
+            return False
+        for a, value in _ATTRIBUTE.findall(attributes):
+            if a.lower() in ("class", "id"):
+                tokens = (set(_WORD.findall(t)) for t in value.strip("\"'").lower().split())
+                words = {w for t in tokens if t and (len(t) == 1 or t <= DROPPED_WORDS) for w in t}
                 if name == "article":
                     if words & {"comment", "comments"}:
                         return True
@@ -208,7 +224,11 @@ class Page:
         may = set(self.candidates())
         for node in range(1, len(gone)):
             gone[node] = gone[node] or gone[self.parent[node]] or (node in may and template(self.hash[node]))
-        articles = {n for n in self.mains if self.name[n] == "article"} or set(self.mains)
+        # an article in something named as boilerplate stays, but does not displace the text outside it
+        clean = {n for n in self.mains if not self.wrapped[n]}
+        articles = set(self.mains) if clean else set()
+        if any(self.name[n] == "article" for n in clean):
+            articles = {n for n in self.mains if self.name[n] == "article"}
         inside = [not articles] * len(gone)
         for node in range(1, len(gone)):
             inside[node] = inside[node] or inside[self.parent[node]] or node in articles
@@ -253,7 +273,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     counts on how many different pages of its host each recurs. The second removes
     the recurring ones outside the article, recurring containers inside it, and what
     its name or class marks as menu, header, footer, sidebar, notice, advert, form or
-    comments. The article's own paragraphs stay, however often they recur.
+    comments; a class or id counts as a whole token, and never drops what holds an article. The article's own paragraphs stay, however often they recur.
     Templates are sent to all tasks while they are few, else joined by page.
 
     Blocks are joined by two newlines, white space in a block becomes one space,
