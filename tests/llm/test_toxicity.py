@@ -138,14 +138,14 @@ def test_joined_model_is_the_broadcast_one(spark):
     assert got.columns == X.toxicity(wide, known).columns and got.first().toxic == 7
 
 
-def test_every_fold_but_the_held_out_one_teaches(spark):
-    docs, labels = corpus(700)
-    rare = [1_000 + k for k in range(400) if fold(1_000 + k) == 3][:40]  # an expression found in one fold only
-    docs += [(k, "qwyxqwyx qwyxqwyx qwyxqwyx la de") for k in rare]
-    labels += [(k, 1, 1) for k in rare]
-    asked = [5_000 + k for k in range(40) if fold(5_000 + k) == 2]
-    got = scored(spark, docs + [(k, "qwyxqwyx la mi") for k in asked], labels)
-    assert {r.predicted for r in got if r.doc_id in asked} == {1}
+def test_every_fold_but_the_held_out_one_teaches(spark, monkeypatch):
+    docs = [(k, "la de" + (" qwyx" if fold(k) == 3 else " zorb" if fold(k) == 2 else "")) for k in range(60)]
+    learnt = []
+    ratios = X.likelihood_ratios
+    monkeypatch.setattr(X, "likelihood_ratios", lambda keys, *counts: learnt.append(set(keys.tolist())) or ratios(keys, *counts))
+    scored(spark, docs, [(k, 1, k % 2) for k, _ in docs])
+    of = lambda word: set(X.ngrams([word])[0].tolist())
+    assert of(b"qwyx") <= learnt[-1] and not (of(b"zorb") & learnt[-1])
 
 
 def test_fit_sample_is_bounded(spark, monkeypatch):
