@@ -60,3 +60,10 @@ def repeats(docs, span):
             hashlib.sha256(bytes(b for i, b in enumerate(raw) if i not in gone[d])).hexdigest(), gone[d])
         for d, raw in raws.items()
     }
+
+
+def runs(covered):
+    """Maximal ranges of a set of positions."""
+    starts = sorted(i for i in covered if i - 1 not in covered)
+    ends = sorted(i + 1 for i in covered if i + 1 not in covered)
+    return list(zip(starts, ends))

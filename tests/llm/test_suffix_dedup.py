@@ -35,6 +35,41 @@ def test_against_all_windows(spark, hot):
     assert sum(w[1] > 0 for w in want.values()) > 50
 
 
+@pytest.mark.parametrize("hot", [S.HOT, 4])
+def test_two_spans_in_one_search(spark, hot):
+    docs = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.dedup(df, span=70, hot=hot, passage=40, passage_words=11).collect()}
+    want, short = plain.repeats(docs, 70), plain.repeats(docs, 40)
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == {d: w[:4] for d, w in want.items()}
+    texts = dict(docs)
+    for d, r in got.items():
+        runs = [x for x in plain.runs(short[d][4]) if len((texts[d] or "").encode()[x[0] : x[1]].split()) > 11]
+        assert (r.n_passages, r.passage_bytes) == (len(runs), sum(e - s for s, e in runs))
+    assert 10 < sum(r.n_passages > 0 for r in got.values()) < sum(w[1] > 0 for w in short.values())
+
+
+def test_only_runs_of_many_words_go(spark):
+    docs = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    covered = plain.repeats(docs, 40)
+    for r in S.dedup(df, span=40, more_words_than=11).collect():
+        raw = (dict(docs)[r.doc_id] or "").encode()
+        runs = [x for x in plain.runs(covered[r.doc_id][4]) if len(raw[x[0] : x[1]].split()) > 11]
+        assert (r.n_spans, r.n_removed) == (len(runs), sum(e - s for s, e in runs))
+
+
+def test_long_grams_are_chosen_by_content():
+    import numpy as np
+
+    rng = random.Random(2)
+    raw = np.frombuffer(bytes(rng.choice(b"abcd") for _ in range(2000)), np.uint8)
+    assert (S.gram_size(40), S.gram_size(240), S.gram_size(400)) == (16, 48, 80)
+    inner = S.anchors(raw[300:900], 240)
+    outer = dict(zip(*[x.tolist() for x in S.anchors(raw, 240)]))
+    assert len(inner[0]) > 1 and all(outer[p + 300] == g for p, g in zip(*[x.tolist() for x in inner]))
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(3)
     for _ in range(200):

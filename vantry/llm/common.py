@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
 SPACE = r"[\x20\x09-\x0D]+"
+_PLAIN = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -32,6 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as Parquet, which takes less room where keys repeat from row to row."""
+    path = f"{shared_folder(df.sparkSession)}/written/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def own_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator reads, so that no extra column can clash with its own."""
     return df.select(*[df[name] for name in needed])
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words as UTF-8, A-Z in small letters: runs of ASCII letters and digits and of all characters beyond ASCII."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of one column each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    edges = [0, *(np.flatnonzero(np.diff(sizes // most)) + 1).tolist(), batch.num_rows]
+    for at, stop in zip(edges, edges[1:]):
+        if stop > at:
+            yield batch.slice(at, stop - at)

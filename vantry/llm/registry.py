@@ -43,8 +43,8 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = suffix_dedup.dedup(read(spark, folder, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cleaned = suffix_dedup.dedup(read(spark, folder, "documents").select("doc_id", "text"), passage=suffix_dedup.PASSAGE)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
