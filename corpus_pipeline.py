@@ -29,9 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes or more that occur twice; n_chars is counted anew."""
-    cleaned = suffix_dedup.dedup(docs)
-    kept = cleaned.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    """All documents, without the passages of over 50 words that occur twice; n_chars is counted anew.
+
+    Strings of 256 bytes are searched, as words are short; a text that is one such
+    passage stays as an empty text.
+    """
+    cleaned = suffix_dedup.dedup(docs, span=suffix_dedup.PASSAGE, more_words_than=suffix_dedup.PASSAGE_WORDS)
+    kept = cleaned.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
     kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
 
