@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hilbert, itq, mixing, pieces, quality_rules, simhash, site_templates, suffix_dedup, toxicity, url_rules
+from . import bit_sliced, hilbert, itq, merge_path, mixing, notices, pieces, quality_rules, simhash, site_templates, suffix_dedup, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,22 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return notices.digest(notices.scan(read(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_sliced.resample(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_path.link_counts(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_sentencepiece, op3_embedding_dedup, op4_html_extraction, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules, op9_sharding, op10_mixing]
+    found = [
+        op1_toxicity, op2_sentencepiece, op3_embedding_dedup, op4_html_extraction, op5_url_filters, op6_simhash, op7_suffix_dedup, op8_quality_rules,
+        op9_sharding, op10_mixing, op11_license_scan, op12_importance_resampling, op13_tokenizer_alignment]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
