@@ -107,6 +107,14 @@ def test_query_columns(spark, folder):
     assert got[10**6].n_base == 5 and got[10**6 + 1].labels == "mit" and got[10**6 + 1].base_labels == "" and got[10**6 + 1].score < 1
 
 
+def test_nearest_part_of_a_window():
+    rng = random.Random(6)
+    for _ in range(300):
+        words, window = ("".join(rng.choice("ab ") for _ in range(n)) for n in (rng.randint(1, 12), rng.randint(0, 20)))
+        parts = [window[i:j] for i in range(len(window) + 1) for j in range(i, len(window) + 1)]
+        assert N.nearest(words, window) == min(distance(p, words) for p in parts)
+
+
 def test_pieces_cover_the_notice():
     for n in N.NOTICES:
         parts = N.pieces(n.words, n.edits)
