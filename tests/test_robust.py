@@ -45,6 +45,31 @@ def test_medians_equal_built_in_ones(spark, skewed):
     assert robust.global_stats(skewed, ["v", "w"])["w"][0] == pytest.approx(statistics.median(every))
 
 
+@pytest.mark.parametrize("accuracy", [4, 50, 10_000])
+def test_medians_by_any_bracket(spark, skewed, accuracy):
+    """Wide brackets keep many values, heavy values become ends; all are exact."""
+    metrics = ["v", "w", "u"]
+    df = skewed.withColumn("u", F.when(F.col("w") < 15_000, 1.0).otherwise(F.col("w"))).withColumn("g", F.when(F.col("g") != "g3", F.col("g")))
+    rows = df.collect()
+    got = {r.g: r for r in robust.wide_medians(df, metrics, ["g"], accuracy=accuracy).collect()}
+    assert None in got and len(got) == len({r.g for r in rows})
+    for g, r in got.items():
+        for m in metrics:
+            assert r[f"{m}_median"] == pytest.approx(statistics.median(x[m] for x in rows if x.g == g))
+
+
+def test_bracket_that_misses_is_widened(spark, skewed, monkeypatch):
+    whole = robust._brackets
+
+    def wrong(data, metrics, groups, accuracy, reach):
+        found = whole(data, metrics, groups, accuracy, reach)
+        return found if reach > 1_000 else found.withColumns({f"_b_{m}": F.array(F.lit(-5.0), F.lit(-4.0)) for m in metrics})
+
+    monkeypatch.setattr(robust, "_brackets", wrong)
+    want = statistics.median(r.w for r in skewed.collect())
+    assert robust.global_medians(skewed, ["w"])["w"] == pytest.approx(want)
+
+
 def test_groups_without_values_keep_their_row(spark):
     df = spark.createDataFrame([("a", None), ("b", 2.0), ("b", 4.0), (None, 7.0)], "g string, v double")
     assert {r.g: r.v_median for r in robust.wide_medians(df, ["v"], ["g"]).collect()} == {"a": None, "b": 3.0, None: 7.0}

@@ -1,53 +1,93 @@
 """Exact medians and median absolute deviations, per group or over all rows.
 
-Values are counted per group (combined map-side) and range-partitioned; the
-totals of the partitions tell which one holds the middle ranks of each group, and
-only that one is ranked. The same path serves every size, and no group or metric
-is ever ordered in one task.
+Selection by brackets: mergeable sketches of all metrics (combined map-side) name two
+values that lie around the middle ranks; a second pass counts what lies below and at them and
+keeps only the values between, a share fixed by the sketch's accuracy. Values repeated often
+become ends of a bracket and are counted, not kept. Counts prove that the middle is inside; a bracket that
+misses it is widened. Two aggregations of one row per group serve every size, without rows per
+metric, sorting or range partitions.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .joins import broadcast_if_small
 
+ACCURACY = 10_000  # ranks of a sketch are right to one part in so many
+BETWEEN = 500_000  # values between the ends of one bracket, about; larger groups get finer sketches
+REACH = 2  # sketch errors between the middle and each end of the first bracket
 
-def value_medians(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of ``value`` (not NULL) per ``keys``; keys may be NULL."""
-    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("c"))
-    placed = cut(counts.repartitionByRange(*keys, "value").withColumn("_p", F.spark_partition_id()))
-    totals = placed.groupBy(*keys, "_p").agg(F.sum("c").alias("t"))
-    whole = Window.partitionBy(*keys)
-    before = F.sum("t").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*keys, "_p", "t", F.coalesce(before, F.lit(0)).alias("b"), F.sum("t").over(whole).alias("n"))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = totals.where((F.col("b") < high) & (F.col("b") + F.col("t") >= low))
-    middle = middle.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_p").alias("_q"), "b", "n")
-    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_p") == F.col("_q"))
-    upto = F.col("b") + F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy("value"))
-    inside = placed.join(middle, match).select(*keys, "value", "c", "n", upto.alias("upto"))
 
-    def pick(rank):
-        return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("value")))
+def _same(groups: list[str], other: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{other}{g}")) for g in groups])
 
-    picked = inside.groupBy(*keys).agg(F.first("n").alias("n"), pick(low).alias("a"), pick(high).alias("z"))
-    return picked.select(*keys, "n", (F.col("a") * 0.5 + F.col("z") * 0.5).alias("median"))
 
+def _brackets(data: DataFrame, metrics: list[str], groups: list[str], accuracy: int, reach: int) -> DataFrame:
+    """Per group: rows of the largest metric, and for each metric an array (low, high)."""
+    off = min(0.5, reach / accuracy)
+    ends = [F.percentile_approx(m, [0.5 - off, 0.5 + off], accuracy).alias(f"_b_{m}") for m in metrics]
+    return data.groupBy(*groups).agg(F.greatest(*[F.count(m) for m in metrics], F.lit(0)).alias("_most"), *ends)
 
-def wide_medians(df: DataFrame, metrics: list[str], groups: list[str], suffix: str = "_median") -> DataFrame:
-    """Exact medians, one row per group, columns ``<metric><suffix>``; NULL where a group has no value."""
+
+def _picked(metric: str, low: Column, high: Column) -> Column:
+    """(n, inside, median) of one metric, given the ends of its bracket."""
+    v = F.col(metric)
+    counted = F.struct(
+        F.count(v).alias("n"), F.count_if(v < low).alias("below"), F.count_if(v == low).alias("at"), F.first(low).alias("low"), F.first(high).alias("high"),
+        F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias("between"), F.count_if((v == high) & (high > low)).alias("end"))
+    return counted.alias(metric)
+
+
+def _median(c: Column) -> Column:
+    """NULL without values; the outer NULL of a rank outside the bracket is told by ``_inside``."""
+
+    def pick(rank: Column) -> Column:
+        at = rank - c["below"]
+        return (
+            F.when(at <= c["at"], c["low"])
+            .when(at <= c["at"] + F.size(c["between"]), F.try_element_at(c["between"], (at - c["at"]).cast("int")))
+            .otherwise(c["high"]))
+
+    low, high = F.floor((c["n"] + 1) / 2), F.floor(c["n"] / 2) + 1
+    return F.when(c["n"] > 0, pick(low) * 0.5 + pick(high) * 0.5)
+
+
+def _inside(c: Column) -> Column:
+    low, high = F.floor((c["n"] + 1) / 2), F.floor(c["n"] / 2) + 1
+    return (c["n"] == 0) | ((low > c["below"]) & (high <= c["below"] + c["at"] + F.size(c["between"]) + c["end"]))
+
+
+def wide_medians(df: DataFrame, metrics: list[str], groups: list[str], suffix: str = "_median", accuracy: int = ACCURACY) -> DataFrame:
+    """Exact medians, one row per group, columns ``<metric><suffix>``; NULL where a group has no value. Groups may be NULL."""
     data = df.select(*groups, *[F.col(m).cast("double").alias(m) for m in metrics])
-    long = data.unpivot(groups, metrics, "metric", "value").where(F.col("value").isNotNull())
-    picked = value_medians(long, [*groups, "metric"]).select(*groups, "metric", "median")
-    if groups:  # groups without any value keep their row
-        every = data.select(*groups).distinct()
-        picked = picked.unionByName(every.withColumns({"metric": F.lit(None).cast("string"), "median": F.lit(None).cast("double")}))
-    return picked.groupBy(*groups).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m + suffix) for m in metrics])
+    reach = REACH
+    while True:
+        ends = _brackets(data, metrics, groups, accuracy, reach)
+        if groups:
+            ends = ends.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_most", *[f"_b_{m}" for m in metrics])
+            side = broadcast_if_small(ends)
+            most = side.agg(F.max("_most")).first()[0]
+            met = data.join(side, _same(groups, "_g_"))
+            edge = {m: (F.col(f"_b_{m}")[0], F.col(f"_b_{m}")[1]) for m in metrics}
+        else:
+            row = ends.first()
+            most, met = row["_most"], data
+            edge = {m: tuple(F.lit(x).cast("double") for x in (row[f"_b_{m}"] or (None, None))) for m in metrics}
+        fine = -(-(most or 0) * 2 * (reach + 1) // BETWEEN)
+        if fine > accuracy:
+            accuracy = fine
+            continue
+        counted = met.groupBy(*groups).agg(*[_picked(m, *edge[m]) for m in metrics])
+        every = reduce(lambda x, y: x & y, [_inside(F.col(m)) for m in metrics])
+        found = cut(counted.select(*groups, *[_median(F.col(m)).alias(m + suffix) for m in metrics], every.alias("_inside")))
+        if not found.where(~F.col("_inside")).limit(1).count():
+            return found.drop("_inside")
+        reach *= 16  # a sketch was less exact than promised
 
 
 def medians(df: DataFrame, metrics: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -66,7 +106,7 @@ def robust_stats(df: DataFrame, metrics: list[str], groups: list[str] | None = N
     groups = groups or []
     centre = wide_medians(df, metrics, groups, "_median")
     if groups:
-        joined = df.select(*groups, *metrics).join(broadcast_if_small(centre), groups)
+        joined = df.select(*groups, *metrics).join(broadcast_if_small(centre, written=True), groups)
     else:
         first = centre.first()
         joined = df.select(*metrics).withColumns({f"{m}_median": F.lit(first[f"{m}_median"]) for m in metrics})
