@@ -61,17 +61,18 @@ def greedy_bursts(rows, width, least):
     return out
 
 
-@pytest.mark.parametrize("limit, block", [(10**6, None), (3, None), (3, temporal.HOUR), (40, 2 * temporal.HOUR)])
-def test_windows_equal_the_plain_loop(spark, store, limit, block):
+@pytest.mark.parametrize("limit", [None, 10**6, 40, 400])
+def test_windows_equal_the_plain_loop(spark, store, limit):
     rows = make_rows(7)
     df = spark.createDataFrame(rows, SCHEMA)
-    marks = temporal.anchors(temporal.ticks(df, "user_id"), temporal.HOUR, block, limit, store)
-    members = temporal.in_windows(df, "user_id", marks).groupBy("user_id", "anchor").agg(F.count("*").alias("n"))
+    marks = temporal.anchors(temporal.ticks(df, "user_id"), temporal.HOUR, limit, store)
+    assert {(r.entity_id, START + timedelta(microseconds=r.anchor - 1704067200 * 10**6), r.n) for r in marks.collect()} == greedy(rows, 3600)
+    members = temporal.in_windows(df, "user_id", marks.drop("n")).groupBy("user_id", "anchor").agg(F.count("*").alias("n"))
     got = {(r.user_id, START + timedelta(microseconds=r.anchor - 1704067200 * 10**6), r.n) for r in members.collect()}
     assert got == greedy(rows, 3600)
 
 
-@pytest.mark.parametrize("limit", [10**6, 5])
+@pytest.mark.parametrize("limit", [10**6, 30])
 def test_bursts_equal_the_plain_loop(spark, limit):
     rows = make_rows(11)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("source_dataset", F.lit("IAM"))
@@ -92,6 +93,71 @@ def test_chains_merge():
     assert len(until) < len(entries)
 
 
+def follow(entry, us, width):
+    for t in us:
+        if t > entry:
+            entry = t + width
+    return entry
+
+
+def test_segments_compose_like_one():
+    """Functions of pieces of one entity, composed in any grouping, equal the plain chain."""
+    rng = random.Random(3)
+    for _ in range(300):
+        width, us, parts = rng.choice([5, 20, 60]), [], []
+        t = 0
+        for _ in range(rng.randint(1, 5)):
+            part = []
+            for _ in range(rng.randint(1, 25)):
+                t += rng.choice([1, 1, 2, 3, 9, 70])
+                part.append(t)
+            parts.append(part)
+            us += part
+        made = []
+        for part in parts:
+            f = temporal.Segment(width, True)
+            at = rng.randint(0, len(part))
+            for piece in (part[:at], part[at:]):
+                if piece:
+                    f.feed(np.array(piece))
+            made.append(f.close())
+        while len(made) > 1:
+            k = rng.randrange(len(made) - 1)
+            made[k : k + 2] = [temporal.compose(*made[k], *made[k + 1])]
+        low, out = made[0]
+        for entry in [temporal._START, *range(us[0], us[0] + width)]:  # a chain from an earlier tick
+            assert max(entry, out[np.searchsorted(low, entry, side="right") - 1]) == follow(entry, us, width)
+
+
+def test_a_host_with_most_events_in_many_segments(spark):
+    """Dense ticks without a quiet gap: entries come from several rounds of composition."""
+    rng = random.Random(9)
+    us, t = [], 1_700_000_000_000_000
+    for _ in range(3_000):
+        t += rng.choice([1, 2, 3]) * 1_000_000
+        us.append(t)
+    df = spark.createDataFrame([("hot", u, 1) for u in us] + [("cold", us[5], 2)], "entity_id string, us long, n long")
+    r = temporal.segments(df, limit=40)
+    assert r.select("_p").distinct().count() > 40
+    want, at = [], temporal._START
+    for u in us:
+        if u > at:
+            want.append(u)
+            at = u + temporal.HOUR
+    got = {(x.entity_id, x.anchor): x.n for x in temporal.anchors_of(r, temporal.HOUR).collect()}
+    assert set(got) == {("hot", u) for u in want} | {("cold", us[5])}
+    assert sum(got.values()) == 3_002 and got[("cold", us[5])] == 2
+
+
+def test_pages_of_members(spark):
+    ok = ("AUTHENTICATION", "IAM", "OTHER")
+    evidence = temporal.sequence_evidence(events(spark, [(i % 3000, *ok) for i in range(2_500)]), "USER")
+    pages = temporal.member_pages(evidence, 400).orderBy("page").collect()
+    assert [len(r.event_ids) for r in pages] == [400] * 6 + [100]
+    text = temporal.with_members(temporal.sequence_rows(evidence, "USER"), temporal.member_pages(evidence, 400)).first().event_ids
+    assert text == "; ".join(i for r in pages for i in r.event_ids) == temporal.sequences(evidence, "USER").first().event_ids
+
+
 def events(spark, rows):
     return spark.createDataFrame(
         [(f"E{i}", "U", START + timedelta(seconds=s), cat, src, act) for i, (s, cat, src, act) in enumerate(rows)],

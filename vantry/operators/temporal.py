@@ -5,32 +5,33 @@ the next event after it is the next anchor. The chain of anchors depends on
 event order, so a naive plan sorts all events of an entity in one task. Here:
 
 1. Events become *ticks*, the distinct (entity, time) pairs (map-side combine).
-2. Ticks fall into time blocks. Blocks that follow a quiet gap longer than
-   ``width`` start afresh, which splits an entity into independent runs.
-3. A run with few ticks is scanned in one go. A run with many ticks is scanned
-   block by block: each block is first reduced to a small step function (where
-   does a chain leave the block, given where it enters), the functions are
-   chained per run, and then every block is scanned from its known entry.
-
-No task ever holds more than one block of one entity, and the blocks are read
-as a stream of Arrow batches.
+2. Ticks are range-partitioned by entity and time, sorted and written. A partition is a
+   segment cut by rows: a busy entity spans as many as its ticks need.
+3. Where an entity goes on from one partition to the next, its segment is reduced to a
+   step function: where does a chain leave it, given where it enters. Functions compose
+   associatively, so a prefix scan by doubling gives the entry of every segment in as many
+   rounds as the logarithm of the segments; those that a quiet gap makes constant need none.
+4. Every partition is scanned once more from its known entry.
+
+The same path serves every size; partitions are read as streams of Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers, text, times
-from ..session import TableStore
+from ..session import TableStore, cut
+from .ranks import numbered
 
 HOUR = 3_600_000_000
-RUN_LIMIT = 1_000_000
-PARTS = 4_096  # parts of a window in which steps are numbered
+PAGE = 1_000  # members of a sequence in one row of its list
 _START = np.iinfo(np.int64).min // 4
 
 
@@ -43,65 +44,30 @@ def ticks(events: DataFrame, entity: str, ts: str = "event_timestamp") -> DataFr
     )
 
 
-def _runs(t: DataFrame, width: int, block: int, limit: int) -> DataFrame:
-    """Blocks per entity with the run each belongs to and whether it is long."""
-    blocks = t.groupBy("entity_id", F.floor(F.col("us") / F.lit(block)).cast("bigint").alias("block")).agg(
-        F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("size"))
-    by_entity = Window.partitionBy("entity_id").orderBy("block")
-    fresh = F.coalesce(F.col("first") - F.lag("last").over(by_entity) > width, F.lit(True))
-    blocks = blocks.withColumn("fresh", fresh).withColumn(
-        "run", F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(by_entity))
-    total = F.sum("size").over(Window.partitionBy("entity_id", "run"))
-    return blocks.select("entity_id", "block", "run", (total > limit).alias("long"))
+def segments(t: DataFrame, limit: int | None = None, store: TableStore | None = None) -> DataFrame:
+    """Ticks in order of entity and time, written, with the number of their partition.
 
+    ``limit`` gives the ticks of a partition; without it the session's shuffle
+    settings do. With a store the ticks are written first, so the events behind them are read once.
+    """
+    if store is not None:
+        t = store.put(store.fresh("ticks"), t)
+    order = ["entity_id", "us"]
+    placed = t.repartitionByRange(max(1, -(-t.count() // limit)), *order) if limit else t.repartitionByRange(*order)
+    return cut(placed.sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
 
-def _anchor_scan(width: int):
-    """Anchors of sorted parts; all parts of a batch advance together."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last_until = None, _START
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ent, part, us = (pdf[c].to_numpy() for c in ("entity_id", "part", "us"))
-            new = np.r_[True, (ent[1:] != ent[:-1]) | (part[1:] != part[:-1])]
-            starts = np.flatnonzero(new)
-            ends = np.r_[starts[1:], us.size]
-            until = pdf["entry"].to_numpy()[starts].copy()
-            if (ent[0], part[0]) == last_key:
-                until[0] = last_until
-            # lay the parts end to end on one axis, so one search serves them all
-            first = us[starts]
-            spans = us[ends - 1] - first + width + 2
-            base = np.r_[0, np.cumsum(spans)[:-1]]
-            axis = us + np.repeat(base - first, ends - starts)
-            follow = np.searchsorted(axis, axis + width, side="right")
-            at = np.searchsorted(axis, np.clip(until - first, -1, spans - 2) + base, side="right")
-            part_of = np.arange(starts.size)
-            found = []
-            while True:
-                live = at < ends[part_of]
-                part_of, at = part_of[live], at[live]
-                if not at.size:
-                    break
-                found.append(at)
-                until[part_of] = us[at] + width
-                at = follow[at]
-            last_key, last_until = (ent[-1], part[-1]), until[-1]
-            if found:
-                at = np.sort(np.concatenate(found))
-                yield pd.DataFrame({"entity_id": ent[at], "anchor": us[at]})
 
-    return scan
+# --- step functions ------------------------------------------------------------------
 
 
 def advance(until: np.ndarray, low: np.ndarray, us: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Move all chains over sorted times; chains that meet become one.
 
     ``until`` is the last time a chain covers and ``low`` the smallest entry
-    that leads to it. Both stay sorted.
+    that leads to it. ``low`` stays sorted; a chain that entered later may cover less
+    as long as its next time is still to come.
     """
-    while until.size and us.size and until[0] < us[-1]:
+    while until.size and us.size and until.min() < us[-1]:
         to = np.searchsorted(us, until, side="right")
         moved = to < us.size
         until = np.where(moved, us[np.minimum(to, us.size - 1)] + width, until)
@@ -110,104 +76,178 @@ def advance(until: np.ndarray, low: np.ndarray, us: np.ndarray, width: int) -> t
     return until, low
 
 
-def _block_functions(width: int, block: int):
-    """Step function of each block: a chain entering at ``low`` or later, up to
-    the next ``low``, leaves at ``out`` (or where it entered, if later).
+class Segment:
+    """Step function of one entity's times, fed in order.
 
-    Only times in the first ``width`` of a block can be told apart by a chain
-    that comes from an earlier block, so only those open a piece.
+    A chain entering at ``low`` or later, up to the next ``low``, leaves at ``out`` (or
+    where it entered, if later). Only times in the first ``width`` can be told
+    apart by a chain that comes from before, so only those open a piece; after a gap
+    longer than ``width`` all chains are one.
     """
-    keys = ["entity_id", "run", "block"]
+
+    def __init__(self, width: int, enters: bool):
+        self.width, self.enters = width, enters
+        self.first, self.last, self.head = None, None, []
+        self.low = self.out = None if enters else np.array([_START])
+
+    def feed(self, us: np.ndarray) -> None:
+        if self.first is None:
+            self.first = self.last = us[0]
+        gaps = np.flatnonzero(np.diff(us, prepend=self.last) > self.width)
+        self.last = us[-1]
+        if gaps.size:
+            self.low = self.out = np.array([_START])
+            us = us[gaps[-1] :]
+        if self.low is None:
+            early = us < self.first + self.width
+            self.head.append(us[early])
+            if early.all():
+                return
+            self._open()
+            us = us[~early]
+        self.out, self.low = advance(self.out, self.low, us, self.width)
+
+    def _open(self) -> None:
+        entries = np.concatenate([np.array([_START]), *self.head])
+        self.out, self.low = advance(entries, entries, entries[1:], self.width)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.low is None:
+            self._open()
+        return self.low, self.out
+
+
+def compose(low1: np.ndarray, out1: np.ndarray, low2: np.ndarray, out2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a segment and the one after it."""
+    out = np.maximum(out1, out2[np.searchsorted(low2, out1, side="right") - 1])
+    if len(out1) == 1:  # constant: no chain comes later
+        return low1, out
+    beyond = low2 > out1[-1]  # entries after all times of the first
+    low, out = np.r_[low1, low2[beyond]], np.r_[out, out2[beyond]]
+    keep = np.r_[True, out[1:] != out[:-1]]
+    return low[keep], out[keep]
+
+
+def _functions(width: int) -> Callable:
+    """Functions of the first and the last entity of a partition."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, head, until, low = None, [], None, None
+        found, entity, now, p = [], None, None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ent, us, p = pdf["entity_id"].to_numpy(), pdf["us"].to_numpy(), int(pdf["_p"].iloc[0])
+            starts = np.r_[0, np.flatnonzero(ent[1:] != ent[:-1]) + 1]
+            if now is None:
+                entity, now = ent[0], Segment(width, True)
+            if ent[0] == entity:
+                now.feed(us[: starts[1] if starts.size > 1 else None])
+            if ent[-1] != entity:  # entities between the first and the last are whole
+                if now.enters:
+                    found.append((entity, now))
+                entity, now = ent[-1], Segment(width, False)
+                now.feed(us[starts[-1] :])
+        if now is not None:
+            found.append((entity, now))
+            low, out = zip(*(f.close() for _, f in found))
+            yield pd.DataFrame({"entity_id": [e for e, _ in found], "_p": p, "low": low, "out": out})
+
+    return scan
 
-        def open_pieces():
-            entries = np.concatenate([np.array([_START]), *head])
-            return advance(entries, entries, entries[1:], width)
 
-        def close() -> pd.DataFrame:
-            u, lo = (until, low) if until is not None else open_pieces()
-            return pd.DataFrame({"entity_id": key[0], "run": key[1], "block": key[2], "low": lo, "out": u})
+_LONGS = T.ArrayType(T.LongType())
 
-        for pdf in batches:
-            for this, rows in pdf.groupby(keys, sort=False):
-                if this != key:
-                    if key is not None:
-                        yield close()
-                    key, head, until, low = this, [], None, None
-                us = rows["us"].to_numpy()
-                early = us < int(this[2]) * block + width
-                if until is None:
-                    head.append(us[early])
-                if not early.all():
-                    if until is None:
-                        until, low = open_pieces()
-                    until, low = advance(until, low, us[~early], width)
-        if key is not None:
-            yield close()
 
-    return scan
+@F.pandas_udf(T.StructType([T.StructField("low", _LONGS), T.StructField("out", _LONGS)]))
+def _then(low1: pd.Series, out1: pd.Series, low2: pd.Series, out2: pd.Series) -> pd.DataFrame:
+    """The second function after the first; a missing first one, and a constant second one, change nothing."""
+    rows = zip(low1, out1, low2, out2)
+    return pd.DataFrame([(c, d) if a is None or len(c) == 1 else compose(a, b, c, d) for a, b, c, d in rows], columns=["low", "out"])
 
 
-def _chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entry of every block of a run from the step functions before it."""
-    run, block, entry, out = None, None, _START, _START
-    for pdf in batches:
-        rows = []
-        for ent, r, b, low, leave in pdf.itertuples(index=False):
-            if (ent, r) != run:
-                run, block, entry, out = (ent, r), None, _START, _START
-            if b != block:
-                block, entry = b, out
-                rows.append((ent, r, b, entry))
-            if low <= entry:
-                out = max(entry, leave)
-        yield pd.DataFrame(rows, columns=["entity_id", "run", "block", "entry"])
-
-
-def anchors(
-    t: DataFrame, width: int = HOUR, block: int | None = None, limit: int = RUN_LIMIT, store: TableStore | None = None
-) -> DataFrame:
-    """Window anchors (entity_id, anchor) of ticks; exact at any run length.
+def entries(r: DataFrame, width: int) -> dict[int, int]:
+    """For partitions that begin within an entity: the time up to which an earlier window reaches.
 
-    With a store the ticks are written first, so the events behind them are
-    read once, and the work for long runs is left out when there are none.
+    Prefix scan by doubling over at most two functions a partition. The result has at most
+    one number a partition.
     """
-    block = block or 24 * width
-    t = t.select("entity_id", "us")
-    if store is not None:
-        t = store.put(store.fresh("ticks"), t)
-    blocks = _runs(t, width, block, limit)
-    any_long = True
-    if store is not None:
-        blocks = store.put(store.fresh("blocks"), blocks)
-        any_long = not blocks.where("long").isEmpty()
-    placed = t.withColumn("block", F.floor(F.col("us") / F.lit(block)).cast("bigint")).join(
-        blocks, ["entity_id", "block"])
-    parts = placed.where(~F.col("long")).select(
-        "entity_id", (-F.col("run")).alias("part"), "us", F.lit(_START).alias("entry"))
-    if any_long:
-        parts = parts.unionByName(_long_parts(placed.where("long"), width, block))
-    return (
-        parts.repartition("entity_id", "part")
-        .sortWithinPartitions("entity_id", "part", "us")
-        .mapInPandas(_anchor_scan(width), "entity_id string, anchor long")
-    )
+    order = Window.partitionBy("entity_id")
+    f = r.mapInPandas(_functions(width), "entity_id string, _p int, low array<long>, out array<long>")
+    f = f.select("*", (F.row_number().over(order.orderBy("_p")) - 1).alias("i"), F.count("*").over(order).alias("_k")).where("_k > 1").drop("_k")
+    # a chain enters the first segment of an entity from nowhere
+    start = F.array(F.lit(_START).cast("long"))
+    first = F.col("i") == 0
+    f = cut(f.withColumns({"low": F.when(first, start).otherwise(F.col("low")), "out": F.when(first, F.slice("out", 1, 1)).otherwise(F.col("out"))}))
+    step = 1
+    while f.where(F.size("low") > 1).limit(1).count():
+        before = f.select("entity_id", (F.col("i") + step).alias("i"), F.col("low").alias("low1"), F.col("out").alias("out1"))
+        met = f.join(before, ["entity_id", "i"], "left").withColumn("_f", _then("low1", "out1", "low", "out"))
+        f = cut(met.select("entity_id", "_p", "i", "_f.low", "_f.out"))
+        step *= 2
+    reached = F.lag(F.col("out")[0]).over(order.orderBy("i"))
+    return {row["_p"]: row["entry"] for row in f.select("_p", reached.alias("entry")).where("entry is not null").collect()}
+
+
+# --- anchors -------------------------------------------------------------------------
+
+
+def _anchor_scan(width: int, entry: dict[int, int]) -> Callable:
+    """Anchors of the entities of a partition, with the events each window holds here.
+
+    All entities of a batch advance together; a window that goes on in the next batch or
+    partition is given again with the events it holds there.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, last_until = None, _START
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ent, us, n = (pdf[c].to_numpy() for c in ("entity_id", "us", "n"))
+            starts = np.r_[0, np.flatnonzero(ent[1:] != ent[:-1]) + 1]
+            ends = np.r_[starts[1:], us.size]
+            until = np.full(starts.size, _START)
+            if last is None:
+                until[0] = entry.get(int(pdf["_p"].iloc[0]), _START)
+            elif ent[0] == last:
+                until[0] = last_until
+            # lay the entities end to end on one axis, so one search serves them all
+            first = us[starts]
+            spans = us[ends - 1] - first + width + 2
+            base = np.r_[0, np.cumsum(spans)[:-1]]
+            axis = us + np.repeat(base - first, ends - starts)
+            follow = np.searchsorted(axis, axis + width, side="right")
+            at = np.searchsorted(axis, np.clip(until - first, -1, spans - 2) + base, side="right")
+            events = np.r_[0, np.cumsum(n)]
+            rows = []
+            if until[0] != _START and at[0] > 0:
+                rows.append((ent[:1], until[:1] - width, events[at[:1]]))
+            part_of = np.arange(starts.size)
+            while True:
+                live = at < ends[part_of]
+                part_of, at = part_of[live], at[live]
+                if not at.size:
+                    break
+                rows.append((ent[at], us[at], events[follow[at]] - events[at]))
+                until[part_of] = us[at] + width
+                at = follow[at]
+            last, last_until = ent[-1], until[-1]
+            if rows:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("entity_id", "anchor", "n"), zip(*rows))})
 
+    return scan
+
+
+def anchors_of(r: DataFrame, width: int) -> DataFrame:
+    """Window anchors of written segments (see ``segments``) with the events of each window."""
+    scan = _anchor_scan(width, entries(r, width))
+    found = r.mapInPandas(scan, "entity_id string, anchor long, n long")
+    return found.groupBy("entity_id", "anchor").agg(F.sum("n").alias("n"))
 
-def _long_parts(long: DataFrame, width: int, block: int) -> DataFrame:
-    """Blocks of long runs with the time up to which an earlier window reaches."""
-    order = ["entity_id", "run", "block"]
-    functions = (
-        long.select(*order, "us").repartition(*order).sortWithinPartitions(*order, "us")
-        .mapInPandas(_block_functions(width, block), "entity_id string, run long, block long, low long, out long")
-    )
-    entries = (
-        functions.repartition("entity_id", "run").sortWithinPartitions(*order, "low")
-        .mapInPandas(_chain_blocks, "entity_id string, run long, block long, entry long")
-    )
-    return long.join(entries, order).select("entity_id", F.col("block").alias("part"), "us", "entry")
+
+def anchors(t: DataFrame, width: int = HOUR, limit: int | None = None, store: TableStore | None = None) -> DataFrame:
+    """Window anchors (entity_id, anchor, n) of ticks; exact however many ticks an entity has."""
+    return anchors_of(segments(t, limit, store), width)
 
 
 def in_windows(events: DataFrame, entity: str, marks: DataFrame, width: int = HOUR) -> DataFrame:
@@ -276,20 +316,11 @@ def sequence_evidence(
     key = KEY_OF[kind]
     if unknown_entity:
         events = events.withColumn(key, F.coalesce(F.col(key), F.lit("Unknown")))
-    members = in_windows(events, key, anchors(ticks(events, key), width, **chain), width)
-    members = members.withColumn("part", F.floor((F.col("us") - F.col("anchor")) * PARTS / F.lit(width)).cast("int"))
-    store = chain.get("store")
-    if store is not None:
-        members = store.put(store.fresh("members"), members)
-    # events before each part of a window, so that a busy window is numbered part by part
-    whole = Window.partitionBy("entity_id", "anchor")
-    before = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = members.groupBy("entity_id", "anchor", "part").agg(F.count("*").alias("n")).select(
-        "entity_id", "anchor", "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
-    inside = Window.partitionBy("entity_id", "anchor", "part").orderBy("us", "event_id")
+    marks = anchors(ticks(events, key), width, **chain).where(F.col("n") >= 2)
+    members = in_windows(events, key, marks.select("entity_id", "anchor"), width)
+    members = numbered(members, ["us", "event_id"], "step", group=["entity_id", "anchor"])
     return (
-        members.join(parts.where(F.col("total") >= 2), ["entity_id", "anchor", "part"])
-        .select(
+        members.select(
             F.concat(F.lit(PREFIX[kind]), F.col("entity_id"), F.lit("-"), F.col("anchor").cast("string"))
             .alias("sequence_id"),
             "entity_id",
@@ -299,7 +330,7 @@ def sequence_evidence(
             "source_record_id",
             times.as_text(F.col("event_timestamp")).alias("event_timestamp"),
             "event_category",
-            (F.col("before") + F.row_number().over(inside)).cast("int").alias("step"),
+            F.col("step").cast("int").alias("step"),
             "action",
             "us",
             "anchor",
@@ -308,14 +339,32 @@ def sequence_evidence(
     )
 
 
-def sequences(
+def member_pages(evidence: DataFrame, size: int = PAGE) -> DataFrame:
+    """Members of sequences in step order as rows (sequence_id, page, event_ids) of at most ``size`` ids."""
+    page = F.floor((F.col("step") - 1) / F.lit(size)).cast("int").alias("page")
+    listed = F.array_sort(F.collect_list(F.struct("step", "event_id")))
+    return evidence.groupBy("sequence_id", page).agg(F.transform(listed, lambda x: x["event_id"]).alias("event_ids"))
+
+
+def with_members(seq: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sequences for export: the pages of each joined to the one text ``event_ids``."""
+    joined = F.array_sort(F.collect_list(F.struct("page", F.array_join("event_ids", "; ").alias("ids"))))
+    texts = pages.groupBy("sequence_id").agg(F.array_join(F.transform(joined, lambda x: x["ids"]), "; ").alias("event_ids"))
+    names = seq.columns
+    names.insert(names.index("event_count") + 1, "event_ids")
+    return seq.join(texts, "sequence_id").select(*names)
+
+
+def sequences(evidence: DataFrame, kind: str, width: int = HOUR, **actions) -> DataFrame:
+    """One row per sequence in export form, with the text of its members."""
+    return with_members(sequence_rows(evidence, kind, width, **actions), member_pages(evidence))
+
+
+def sequence_rows(
     evidence: DataFrame, kind: str, width: int = HOUR,
     fail_action: str = "LOGIN_FAILED", success_action: str = "LOGIN_SUCCESS",
 ) -> DataFrame:
-    """One row per sequence, aggregated from its evidence rows.
-
-    ``event_ids`` lists all members in step order; they are also the evidence rows.
-    """
+    """One row per sequence, aggregated from its evidence rows; ``member_pages`` lists its members."""
     is_cat = lambda c: F.count_if(F.col("event_category") == c)
     is_action = lambda a: F.count_if(F.col("action") == a)
     df = evidence.groupBy("sequence_id", "entity_id", "entity_type", "anchor").agg(
@@ -329,7 +378,6 @@ def sequences(
         is_action(fail_action).alias("n_fail"),
         is_action(success_action).alias("n_success"),
         is_action("DENY").alias("n_deny"),
-        F.array_sort(F.collect_list(F.struct("step", "event_id"))).alias("ids"),
     ).withColumn("n_sources", F.size("sources"))
     n, src = F.col("event_count"), F.col("n_sources")
     seconds = F.floor((F.col("last_us") - F.col("anchor")) / F.lit(1e6)).cast("bigint")
@@ -341,7 +389,6 @@ def sequences(
         times.as_text(times.from_micros(F.col("last_us"))).alias("end_time"),
         seconds.alias("duration_seconds"),
         n,
-        F.array_join(F.transform("ids", lambda x: x["event_id"]), "; ").alias("event_ids"),
         F.array_join("sources", "; ").alias("source_datasets"),
         F.lit(width // 60_000_000).cast("bigint").alias("temporal_window_minutes"),
         sequence_confidence(F.lit(1.0), src, n).alias("sequence_confidence"),
@@ -376,24 +423,65 @@ def temporal_signals(seq: DataFrame, entities: DataFrame, key: str, extra: list[
 # --- bursts ---------------------------------------------------------------------------
 
 
-def _can_start(t: DataFrame, width: int, least: int, block: int) -> DataFrame:
-    """Ticks from which at least ``least`` events follow within ``width``.
+def _first_events(least: int) -> Callable:
+    """One row a partition: its first and last entity, and the first ``least`` ticks of the first."""
 
-    Each block also reads the first ``width`` of the next one, so entities are
-    never sorted as a whole. A tick stands for at most ``least`` rows.
-    """
-    home = F.floor(F.col("us") / F.lit(block)).cast("bigint")
-    near = F.col("us") < home * block + width
-    rows = t.select(
-        "entity_id", "us", home.alias("home"),
-        F.explode(F.when(near, F.array(home, home - 1)).otherwise(F.array(home))).alias("part"), "n",
-    ).select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(least)).cast("int"))).alias("i"))
-    order = Window.partitionBy("entity_id", "part").orderBy("us", "i")
-    return (
-        rows.withColumn("nth", F.lead("us", least - 1).over(order))
-        .where((F.col("i") == 1) & (F.col("part") == F.col("home")) & (F.col("nth") <= F.col("us") + width))
-        .select("entity_id", "us")
-    )
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, p, first, last = [], None, None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if first is None:
+                p, first = int(pdf["_p"].iloc[0]), pdf["entity_id"].iloc[0]
+            if len(head) < least:
+                own = pdf[pdf["entity_id"] == first].head(least - len(head))
+                head += list(zip(own["us"].tolist(), own["n"].tolist()))
+            last = pdf["entity_id"].iloc[-1]
+        if first is not None:
+            yield pd.DataFrame({"_p": [p], "first": [first], "last": [last], "us": [[u for u, _ in head]], "n": [[n for _, n in head]]})
+
+    return scan
+
+
+def following(r: DataFrame, least: int) -> dict[int, list[tuple[int, int]]]:
+    """For partitions whose last entity goes on: the next ticks (time, events) of it, up to ``least``."""
+    heads = r.select("entity_id", "us", "n", "_p").mapInPandas(_first_events(least), "_p int, first string, last string, us array<long>, n array<long>")
+    # one row a partition; every later one of the same entity adds a tick at least
+    after = Window.orderBy("_p").rowsBetween(1, least)
+    listed = F.collect_list(F.struct("first", "us", "n")).over(after)
+    rows = heads.select("_p", F.filter(listed, lambda x: x["first"] == F.col("last")).alias("after")).where(F.size("after") > 0).collect()
+    return {x["_p"]: [pair for a in x["after"] for pair in zip(a["us"], a["n"])][:least] for x in rows}
+
+
+def _can_start(r: DataFrame, width: int, least: int) -> DataFrame:
+    """Ticks of written segments from which at least ``least`` events follow within ``width``."""
+    beyond = following(r, least)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, p = None, None
+
+        def judge(pdf: pd.DataFrame, own: int, final: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            """(ticks that can start, ticks that need later ones) of the first ``own`` rows."""
+            ent, us, n = (pdf[c].to_numpy() for c in ("entity_id", "us", "n"))
+            upto = np.cumsum(n)
+            at = np.searchsorted(upto, upto - n + least, side="left")  # the tick of the last event needed
+            known, near = at < len(us), np.minimum(at, len(us) - 1)
+            hit = known & (ent[near] == ent) & (us[near] <= us + width)
+            hit[own:] = False
+            return pdf[hit], pdf[:0] if final else pdf[~known]
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            p = int(pdf["_p"].iloc[0])
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            hit, held = judge(pdf, len(pdf), False)
+            yield hit
+        if held is not None and len(held):
+            more = pd.DataFrame(beyond.get(p, []), columns=["us", "n"]).assign(entity_id=held["entity_id"].iloc[-1], _p=p)
+            yield judge(pd.concat([held, more[held.columns]], ignore_index=True), len(held), True)[0]
+
+    return cut(r.mapInPandas(scan, r.schema))
 
 
 def bursts(events: DataFrame, kind: str, width: int = HOUR // 2, least: int = 3, **chain) -> DataFrame:
@@ -404,9 +492,8 @@ def bursts(events: DataFrame, kind: str, width: int = HOUR // 2, least: int = 3,
     that can start a burst.
     """
     key = KEY_OF[kind]
-    t = ticks(events, key)
-    marks = anchors(_can_start(t, width, least, 4 * width), width, **chain)
-    df = in_windows(events, key, marks, width).groupBy("entity_id", "anchor").agg(
+    marks = anchors_of(_can_start(segments(ticks(events, key), **chain), width, least), width)
+    df = in_windows(events, key, marks.select("entity_id", "anchor"), width).groupBy("entity_id", "anchor").agg(
         F.count("*").alias("event_count"),
         F.max("us").alias("last_us"),
         F.size(F.collect_set("source_dataset")).cast("bigint").alias("source_diversity_count"),

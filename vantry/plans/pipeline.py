@@ -150,10 +150,18 @@ class Pipeline:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        both = temporal.sequences(self.user_sequence_evidence, "USER").unionByName(
-            temporal.sequences(self.host_sequence_evidence, "HOST"))
+        both = temporal.sequence_rows(self.user_sequence_evidence, "USER").unionByName(
+            temporal.sequence_rows(self.host_sequence_evidence, "HOST"))
         return self.store.put("sequences", both)
 
+    @cached_property
+    def sequence_members(self) -> DataFrame:
+        return temporal.member_pages(self.sequence_evidence)
+
+    @cached_property
+    def exported_sequences(self) -> DataFrame:
+        return temporal.with_members(self.sequences, self.sequence_members)
+
     @cached_property
     def bursts(self) -> DataFrame:
         both = temporal.bursts(self.events, "USER", store=self.store).unionByName(

@@ -461,8 +461,8 @@ Q["R11_sensitivity"] = lambda p: risk.sensitivity(p.user_risk)
 
 Q["T01_sequence_confidence"] = lambda p: p.sequences.select("sequence_id", "sequence_confidence")
 Q["T02_sequence_strength"] = lambda p: p.sequences.select("sequence_id", "sequence_strength")
-Q["T03_user_sequences"] = lambda p: p.sequences.where("entity_type = 'USER'")
-Q["T04_host_sequences"] = lambda p: p.sequences.where("entity_type = 'HOST'")
+Q["T03_user_sequences"] = lambda p: p.exported_sequences.where("entity_type = 'USER'")
+Q["T04_host_sequences"] = lambda p: p.exported_sequences.where("entity_type = 'HOST'")
 Q["T05_bursts"] = lambda p: p.bursts
 Q["T06_sequence_types"] = lambda p: p.sequences.groupBy("entity_type", "sequence_type").agg(F.count("*").alias("n"))
 Q["T07_sequence_counter_evidence"] = lambda p: p.sequences.select("sequence_id", "counter_evidence")
