@@ -68,3 +68,18 @@ def test_odd_rows(spark):
     assert mixed(spark, []) == []
     wide = spark.createDataFrame([(1, "x y", "a", 7, 9)], "doc_id long, text string, source string, size int, taken int")
     assert mixing.mix(wide).first().size == 2
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_rows_without_own_ids_meet_the_targets(spark, ids):
+    """A key that many rows share, and equal rows, are parted by text and number."""
+    key = {"null": lambda k: None, "one": lambda k: 7 if k % 3 else k + 100, "few": lambda k: k % 5}[ids]
+    rows = [(key(k), "same words here" if k % 4 == 0 else "w " * (1 + k % 17), f"s{k % 3}") for k in range(900)]
+    got = mixed(spark, rows)
+    assert len(got) == 900
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 9 for s in target), (taken, target)
+    assert sorted(map(str, mixed(spark, rows))) == sorted(map(str, got))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
+from ..operators.ranks import numbered
 from .common import cut, words
 
 BITS = 12  # hash bits of one histogram level
@@ -48,7 +50,7 @@ def _place(hashed: Column, level: int) -> Column:
 
 def mix(
     docs: DataFrame, weights: list[float] | None = None, share: float = SHARE, most: float = MOST,
-    text: str = "text", key: str = "doc_id", source: str = "source",
+    text: str = "text", key: str = "doc_id", source: str = "source", text_md5: str | None = None,
 ) -> DataFrame:
     """How many whole copies of each document the mix takes.
 
@@ -61,15 +63,16 @@ def mix(
     miss the target by at most half a bucket of the last level, in practice by half
     a document.
 
-    Returns (key, source, size, source_size, target, copies, taken). Null and empty
+    Returns (key, source, size, source_size, target, copies, taken), and the digest of the
+    text in a column ``text_md5`` if that is named. Null and empty
     texts have size zero; sources that hold no words have target zero and give no
-    copies; null is a source of its own; rows with the
-    same key and text share their fate; an empty table gives an empty result.
+    copies; null is a source of its own; a key that is null or stands in several rows is hashed with the
+    digest of the text and the row's number among equal ones, so that such rows do not
+    share one fate; an empty table gives an empty result.
     """
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    rows = cut(docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), hashed.alias("h"),
-    ))
+    rows = hashed_rows(docs.select(
+        F.col(key).alias("_key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = cut(targets(sizes, weights, share, most).select(
         "*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
@@ -96,14 +99,35 @@ def mix(
     more = F.coalesce(F.shiftright("h", 60 - BITS * LEVELS) < F.col("prefix"), F.lit(False)).cast("long")
     copies = F.when(F.col("whole") >= F.lit(most), F.col("whole")).otherwise(F.col("whole") + more)
     return joined.select(
-        F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        *([F.col("_md5").alias(text_md5)] if text_md5 else []))
+
+
+def hashed_rows(rows: DataFrame) -> DataFrame:
+    """Rows (_key, source, size, _md5) with ``h``, 60 bits that part any two rows.
+
+    Only rows of repeated and null keys are numbered, by range partitions, so a key that holds a
+    third of all rows is spread.
+    """
+    rows = cut(rows)
+    repeated = rows.groupBy("_key").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("_key").isNull())
+    repeated = broadcast_if_small(repeated.select(F.col("_key").alias("_r"), F.lit(True).alias("_many")))
+    marked = rows.join(repeated, F.col("_key").eqNullSafe(F.col("_r")), "left").drop("_r")
+    many = marked.where("_many").withColumn("_row", F.monotonically_increasing_id())
+    many = numbered(many, ["source", "size", "_row"], "_n", group=["_key", "_md5"])
+    place = lambda c: F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long").alias("h")
+    columns = ["_key", "source", "size", "_md5"]
+    alone = marked.where(F.col("_many").isNull()).select(*columns, place(F.col("_key").cast("string")))
+    return cut(alone.union(many.select(*columns, place(F.concat_ws("|", F.col("_key").cast("string"), "_md5", F.col("_n").cast("string"))))))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT >> 24 AS b
+    ('0x' || substr(md5(CASE WHEN doc_id IS NULL OR count(*) OVER (PARTITION BY doc_id) > 1 THEN concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')),
+        (row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')) ORDER BY source NULLS FIRST))::VARCHAR)
+      ELSE doc_id::VARCHAR END), 1, 15))::BIGINT >> 24 AS b
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (
