@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import cut, shared_folder
+
+__all__ = ["SPACE", "by_bytes", "cut", "let", "read", "word_bytes", "words", "written"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 _PLAIN = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
@@ -31,14 +33,6 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, without their lineage."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as Parquet, which takes less room where keys repeat from row to row."""
     path = f"{shared_folder(df.sparkSession)}/written/{uuid.uuid4().hex}"
@@ -46,11 +40,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def own_columns(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the columns an operator reads, so that no extra column can clash with its own."""
-    return df.select(*[df[name] for name in needed])
-
-
 def word_bytes(text: str | None) -> list[bytes]:
     """Words as UTF-8, A-Z in small letters: runs of ASCII letters and digits and of all characters beyond ASCII."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()

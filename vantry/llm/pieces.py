@@ -26,7 +26,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBERED = 300_000  # segments whose paths a task keeps
-BATCH = 8_000_000  # bytes of text composed together, about
+BATCH = 3_000_000  # bytes of text composed together, about
 LONG = 64  # characters beyond which a segment is not kept
 START = -1
 
