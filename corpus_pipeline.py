@@ -41,10 +41,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: never, once or twice."""
-    taken = mixing.mix(docs).where(F.col("copies") > 0).select("doc_id", "source", "copies").distinct()
-    named = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    same = docs["doc_id"].eqNullSafe(named["_id"]) & docs["source"].eqNullSafe(named["_source"])
+    """Every document as often as the mix takes it: never, once or twice; rows equal in id, source and text alike."""
+    taken = mixing.mix(docs, text_md5="_md5").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_md5")).agg(F.max("copies").alias("copies"))
+    named = taken.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    same = docs["doc_id"].eqNullSafe(named["_id"]) & docs["source"].eqNullSafe(named["_source"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == named["_md5"])
     return docs.join(named, same).select([docs[c] for c in docs.columns])
 
 
