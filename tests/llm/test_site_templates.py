@@ -1,5 +1,8 @@
 """Extraction of single pages, and templates counted over sites."""
 
+import re
+
+import numpy as np
 import pytest
 
 from vantry.llm import site_templates as S
@@ -62,3 +65,57 @@ def test_names_of_wrappers_drop_no_article():
     assert text("<body><main><p>One</p><div class=related><article>T</article></div></main></body>").startswith("One")
     assert text("<body><p>One</p><div class=related><article>T</article></div></body>").startswith("One")
     assert text("<body><article><p>One</p><div class='sidebar x'>S</div><div class='cookie-notice'>C</div></article></body>") == "One"
+
+
+def worded(n):
+    """Menus, adverts and notes with other words on each page, articles without an article element and of changing length."""
+    word = lambda k, i: f"w{'abcdefghij'[k * 7 % 10]}{'klmnopqrst'[(k + i) % 10]}"
+    rows = []
+    for k in range(n):
+        menu = "".join(f"<li><a href=/{i}>{word(k, i)}</a>" for i in range(2 + k % 3))
+        story = "".join(f"<p>Story {word(k, i)} of page {k} goes on {i}</p>" for i in range(3 + k % 4))
+        rows.append((k, f"http://d.example/{k}", f"<body><div class='x{k}'><ul>{menu}</ul></div><div class=box{k}>Buy {word(k, 3)}</div><div class=story><h2>T{k}</h2>{story}</div><div id=end>{word(k, 5)} {k}</div></body>"))
+    return rows
+
+
+@pytest.mark.parametrize("most", [S.BROADCAST_TEMPLATES, -1])
+def test_shapes_of_changing_words(spark, most):
+    df = spark.createDataFrame(worded(9), "page_id long, url string, html string")
+    for r in S.extract(df, broadcast_most=most).collect():
+        blocks = r.text.split("\n\n")
+        assert blocks[0] == f"T{r.page_id}" and len(blocks) == 4 + r.page_id % 4 and all(b.startswith("Story") for b in blocks[1:])
+    few = {r.page_id: r.text for r in S.extract(df.where("page_id < 4")).collect()}
+    assert all(t.split("\n\n")[0] != f"T{k}" for k, t in few.items())  # too few pages to count on, and no words of the list
+
+
+def test_word_lists_count_on_small_hosts_only(spark):
+    html = "<body><div class='notice'>Note on {0}</div><p>Words {0} in one</p><p>and {0} in two</p></body>"
+    rows = [(k, f"http://{'s' if k < 3 else 'l'}.example/{k}", html.format(k) if k != 20 else html.replace("notice", "promo a b").format(k)) for k in range(21)]
+    got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("Note" in got[k] for k in range(20)) and "Note on 20" in got[20]
+
+
+def test_templates_alone_on_given_pages(spark, folder):
+    """Without names and without the choice of the article, templates alone remove menus, adverts and footers of larger hosts."""
+    sizes, known, pages = {}, set(), [(S_host(r.url), r.html) for r in spark.read.parquet(f"{folder.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()]
+    for h, _ in pages:
+        sizes[h] = sizes.get(h, 0) + 1
+    df = spark.createDataFrame(pages, "host string, html string")
+    known = {r.h for r in S.templates(df).collect()}
+    large = same = changed = 0
+    for h, html in pages:
+        if sizes[h] < 8:
+            continue
+        page = S.Page(html)
+        hit = lambda x, h=h: int(np.uint64(S._key(h, x)).view(np.int64)) in known
+        large += 1
+        bare = page.text(lambda x: False, by_names=False, by_article=False)
+        alone = page.text(hit, by_names=False, by_article=False)
+        changed += alone != bare
+        same += alone == page.text(hit)
+    assert changed > 0.9 * large > 0 and same > 0.7 * large, (large, changed, same)
+
+
+def S_host(url):
+    rest = (url or "").partition("://")[2]
+    return re.split(r"[/?#]", rest)[0].lower()
