@@ -389,6 +389,9 @@ _HOOD = f"""h0 AS (SELECT '{USER}' AS node_id), h1 AS (SELECT DISTINCT b AS node
 h2 AS (SELECT DISTINCT b AS node_id FROM links JOIN h1 ON a = node_id WHERE b NOT IN (FROM h0) AND b NOT IN (FROM h1)),
 hood AS (SELECT node_id, CAST(0 AS BIGINT) AS depth FROM h0 UNION ALL SELECT node_id, 1 FROM h1 UNION ALL SELECT node_id, 2 FROM h2)"""
 A["G11_neighborhood"] = f"FROM (WITH {_HOOD} SELECT node_id, depth FROM hood)"
+A["G11_neighborhood_edges"] = f"""FROM (WITH {_HOOD}, ends AS (SELECT edge_id, source_id, target_id, relationship_type, source_id AS node_id FROM edges
+  UNION ALL SELECT edge_id, source_id, target_id, relationship_type, target_id FROM edges)
+SELECT DISTINCT edge_id, source_id, target_id, relationship_type FROM ends WHERE node_id IN (SELECT node_id FROM hood WHERE depth < 2))"""
 A["G11_neighborhood_summary"] = f"""FROM (WITH {_HOOD}, ends AS (SELECT edge_id, source_id AS node_id FROM edges UNION ALL SELECT edge_id, target_id FROM edges)
 SELECT '{USER}' AS root_entity, CAST(2 AS BIGINT) AS max_hops, (SELECT count(*) FROM hood) AS node_count, count(*) AS edge_count, count(DISTINCT edge_id) AS distinct_edge_count
 FROM ends WHERE node_id IN (SELECT node_id FROM hood WHERE depth < 2))"""
@@ -595,7 +598,14 @@ FROM (SELECT (SELECT count(*) FROM {n}_raw) AS r, (SELECT count(*) FROM {n}) AS
 A["Q12_cleaning_summary"] = " UNION ALL ".join(
     f"SELECT 'endpoint' AS dataset, 'unusable' AS measure, '{x}' AS field, CAST(count(*) - count({x}) AS DOUBLE) AS value FROM endpoint_parsed"
     for x in ("user_id", "severity", "detected_timestamp", "sha256")
-) + f" UNION ALL SELECT 'endpoint', 'median', 'duration_hours', {rnd('median(duration_hours)', 2)} FROM endpoint_parsed"
+) + f" UNION ALL SELECT 'endpoint', 'median', 'duration_hours', {rnd('median(duration_hours)', 2)} FROM endpoint_parsed" + "".join(
+    f" UNION ALL SELECT 'firewall', 'unusable', '{x}', CAST(count(*) - count({x}) AS DOUBLE) FROM firewall_parsed"
+    for x in ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "bytes_sent", "bytes_received")
+) + "".join(
+    f" UNION ALL SELECT 'firewall', 'median', '{x}', {rnd(f'median({x})', 2)} FROM firewall_parsed" for x in ("src_port", "dst_port", "bytes_sent", "bytes_received")
+) + "".join(
+    f" UNION ALL SELECT '{n}', 'rows', '{field}', CAST({value} AS DOUBLE) FROM (SELECT (SELECT count(*) FROM {n}_raw) AS r, (SELECT count(*) FROM {n}) AS c)"
+    for n in ("endpoint", "firewall") for field, value in (("raw_rows", "r"), ("exact_duplicates_removed", "r - c"), ("cleaned_rows", "c")))
 
 
 def _schema(name: str, have: list[str], expected: list[str]) -> str:

@@ -75,6 +75,28 @@ def test_neighborhood(edges, store):
     assert s.distinct_edge_count == sum(a in inner or b in inner for a, b in rows)
 
 
+def test_neighborhood_edges_read_only_their_folders(edges, store):
+    rows, df = edges
+    links = graph.adjacency(df.withColumn("relationship_type", F.lit("R")), store, store.fresh("adjacency"))
+    assert links.count() == 2 * len(rows)
+    depth, _ = levels(rows, "N0")
+    hood = graph.neighborhood(df, "N0", 2, store, links)
+    got = graph.neighborhood_edges(links, hood, 2, store)
+    inner = {n for n, d in depth.items() if d < 2}
+    assert {(r.source_id, r.target_id) for r in got.collect()} == {(a, b) for a, b in rows if a in inner or b in inner}
+    one = graph.at_nodes(links, hood.where("depth = 0"))
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in one._jdf.queryExecution().toString()
+
+
+def test_smallest_of_many_shortest_paths(spark, store):
+    """A grid has many paths of one length; the smallest by ids is taken, wherever the sides meet."""
+    rows = [(f"E{i}{j}{d}", f"{i}{j}", f"{i + (d == 0)}{j + (d == 1)}") for i in range(5) for j in range(5) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string")
+    path = [r.node_id for r in graph.shortest_path(df, "00", "44", store).orderBy("step").collect()]
+    assert path == ["00", "01", "02", "03", "04", "14", "24", "34", "44"]
+    assert [r.node_id for r in graph.shortest_path(df, "44", "00", store).orderBy("step").collect()] == ["44", "34", "24", "14", "04", "03", "02", "01", "00"]
+
+
 def test_shortest_path(edges, store):
     rows, df = edges
     depth, near = levels(rows, "H3")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import network, numbers, text, times
 from .robust import global_medians, require
 
+# Final column names of the exported tables.
 IDENTITY_COLUMNS = [
     "user_id", "username", "department", "status", "hire_date", "termination_date", "manager_username",
     "device_id", "location", "hostname", "full_name", "role",

@@ -12,6 +12,7 @@ from ..session import TableStore
 from .ids import hash_id
 from .joins import broadcast_if_small, one_row
 
+# Column names of the exported tables, and edge types.
 NODE_COLUMNS = ["node_id", "node_type", "label", "department", "status", "source_dataset", "source_record_id"]
 EDGE_COLUMNS = [
     "edge_id", "source_id", "target_id", "relationship_type", "relationship_confidence", "source_dataset",
@@ -205,22 +206,42 @@ def risk_evidence_of(edges: DataFrame, risk: DataFrame, entity_id: str) -> DataF
 # --- traversal ------------------------------------------------------------------------
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    forward = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b")))
+BUCKETS = 64  # folders of the stored adjacency
+
+
+def bucket_of(node: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BUCKETS)).cast("int")
+
+
+def adjacency(edges: DataFrame, store: TableStore, name: str = "adjacency") -> DataFrame:
+    """Every edge at both of its ends (bucket, node, neighbor, edge columns), stored by bucket of the node.
+
+    A search reads only the folders of the nodes it stands on, and within them only the row groups that can hold
+    these nodes, as rows are ordered by node. The rebalancing hint splits the folder of a node with very many edges.
+    """
+    kept = [c for c in ("edge_id", "relationship_type", "source_id", "target_id") if c in edges.columns]
+    rows = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("node"), F.col("target_id").alias("neighbor")), F.struct(F.col("target_id").alias("node"), F.col("source_id").alias("neighbor")))).alias("_e"), *kept)
+    rows = rows.select(bucket_of(F.col("_e.node")).alias("bucket"), "_e.node", "_e.neighbor", *kept)
+    return store.put(name, rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "node"), partition_by=["bucket"])
+
+
+def at_nodes(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored edges at a written table of nodes (column node_id); one scan, of the folders that hold them."""
+    held = [r[0] for r in nodes.select(bucket_of(F.col("node_id"))).distinct().collect()]  # at most BUCKETS numbers
+    some = links.where(F.col("bucket").isin(held)) if len(held) < BUCKETS else links
+    return some.join(broadcast_if_small(nodes.select(F.col("node_id").alias("node")), written=True), "node")
 
 
 class _Levels:
     """Breadth-first levels from one node, each written to the store."""
 
-    def __init__(self, edges: DataFrame, root: str, store: TableStore, name: str):
-        self.links, self.store, self.name = both_ways(edges), store, name
-        start = edges.sparkSession.range(1).select(F.lit(root).alias("node_id"))
+    def __init__(self, links: DataFrame, root: str, store: TableStore, name: str):
+        self.links, self.store, self.name = links, store, name
+        start = links.sparkSession.range(1).select(F.lit(root).alias("node_id"))
         self.tables = [store.put(f"{name}_0", start)]
 
     def grow(self) -> bool:
-        frontier = broadcast_if_small(self.tables[-1].select(F.col("node_id").alias("a")), written=True)
-        reached = self.links.join(frontier, "a").select(F.col("b").alias("node_id")).distinct()
+        reached = at_nodes(self.links, self.tables[-1]).select(F.col("neighbor").alias("node_id")).distinct()
         # an undirected search can only meet the last two levels again
         for seen in self.tables[-2:]:
             reached = reached.join(seen, "node_id", "left_anti")
@@ -235,24 +256,32 @@ class _Levels:
             t.select("node_id", F.lit(d).cast("bigint").alias("depth")) for d, t in enumerate(self.tables)])
 
 
-def neighborhood(edges: DataFrame, root: str, max_hops: int, store: TableStore) -> DataFrame:
-    """Nodes within ``max_hops`` of a node, with their depth."""
-    levels = _Levels(edges, root, store, store.fresh("hop"))
+def neighborhood(edges: DataFrame, root: str, max_hops: int, store: TableStore, links: DataFrame | None = None) -> DataFrame:
+    """Nodes within ``max_hops`` of a node, with their depth; ``links`` is the stored adjacency of the edges."""
+    links = adjacency(edges, store, store.fresh("adjacency")) if links is None else links
+    levels = _Levels(links, root, store, store.fresh("hop"))
     for _ in range(max_hops):
         if not levels.grow():
             break
     return levels.reached()
 
 
-def neighborhood_summary(edges: DataFrame, hood: DataFrame, root: str, max_hops: int) -> DataFrame:
+def neighborhood_edges(links: DataFrame, hood: DataFrame, max_hops: int, store: TableStore) -> DataFrame:
+    """Edges of a neighbourhood: those at a node that was expanded, each once."""
+    inner = store.put(store.fresh("inner"), hood.where(F.col("depth") < max_hops).select("node_id"))
+    return at_nodes(links, inner).select("edge_id", "source_id", "target_id", "relationship_type").distinct()
+
+
+def neighborhood_summary(edges: DataFrame, hood: DataFrame, root: str, max_hops: int, links: DataFrame | None = None) -> DataFrame:
     """Node count and edge counts of a neighbourhood.
 
     ``edge_count`` counts an edge once per expanded end; ``distinct_edge_count``
     counts it once.
     """
-    inner = hood.where(F.col("depth") < max_hops).select("node_id")
-    ends = edges.select("edge_id", F.explode(F.array("source_id", "target_id")).alias("node_id"))
-    hits = ends.join(inner, "node_id").groupBy("edge_id").agg(F.count("*").alias("n"))
+    inner = hood.where(F.col("depth") < max_hops).select(F.col("node_id").alias("node"))
+    if links is None:
+        links = edges.select("edge_id", F.explode(F.array("source_id", "target_id")).alias("node"))
+    hits = links.select("edge_id", "node").join(inner, "node").groupBy("edge_id").agg(F.count("*").alias("n"))
     counts = hits.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("edge_count"), F.count("*").alias("distinct_edge_count"))
     size = hood.agg(F.count("*").alias("node_count"))
@@ -261,26 +290,36 @@ def neighborhood_summary(edges: DataFrame, hood: DataFrame, root: str, max_hops:
         "distinct_edge_count")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, store: TableStore) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, store: TableStore, links: DataFrame | None = None) -> DataFrame:
     """Rows (step, node_id) of the path of fewest hops, smallest by node ids; none if there is no path.
 
-    Levels grow from the target until they meet the source or end. The path then
-    goes on from the source, one written row per hop, to the smallest neighbour one level
-    closer; nothing but the number of levels is known to the driver.
+    Levels grow from both ends, the smaller side first, until they meet. The source's
+    levels are then narrowed, from the meeting level back, to nodes on shortest paths, and the
+    path goes from the source to the smallest neighbour that is one hop closer. Each hop reads the
+    folders of its nodes once; the driver holds the path itself and the numbers of levels.
     """
-    levels = _Levels(edges, target, store, store.fresh("path"))
-    at_source = F.col("node_id") == source
-    while levels.tables[-1].where(at_source).isEmpty():
-        if not levels.grow():
-            return edges.sparkSession.createDataFrame([], "step long, node_id string")
-    here = levels.tables[-1].where(at_source).select(F.lit(0).cast("bigint").alias("step"), "node_id")
-    path = [here]
-    for step, level in enumerate(reversed(levels.tables[:-1]), 1):
-        near = levels.links.join(F.broadcast(here.select(F.col("node_id").alias("a"))), "a").select(F.col("b").alias("node_id"))
-        nearest = near.join(level, "node_id", "left_semi").agg(F.min("node_id").alias("node_id"))
-        here = store.put(store.fresh("path_step"), nearest.select(F.lit(step).cast("bigint").alias("step"), "node_id"))
-        path.append(here)
-    return reduce(DataFrame.unionByName, path)
+    spark = edges.sparkSession
+    links = adjacency(edges, store, store.fresh("adjacency")) if links is None else links
+    sides = [_Levels(links, end, store, store.fresh("path")) for end in (source, target)]
+    while (meeting := sides[0].tables[-1].join(sides[1].tables[-1], "node_id", "left_semi")).isEmpty():
+        if not min(sides, key=lambda s: s.tables[-1].count()).grow():
+            return spark.createDataFrame([], "step long, node_id string")
+    ahead = [store.put(store.fresh("path_on"), meeting)]
+    for level in reversed(sides[0].tables[1:-1]):
+        near = at_nodes(links, ahead[0]).select(F.col("neighbor").alias("node_id"))
+        ahead.insert(0, store.put(store.fresh("path_on"), level.join(near, "node_id", "left_semi")))
+    if len(sides[0].tables) == 1:
+        ahead = []
+    path = [source]
+    for level in [*ahead, *reversed(sides[1].tables[:-1])]:
+        here = F.lit(path[-1])
+        near = links.where((F.col("bucket") == _bucket(spark, path[-1])) & (F.col("node") == here)).select(F.col("neighbor").alias("node_id"))
+        path.append(near.join(level, "node_id", "left_semi").agg(F.min("node_id")).first()[0])
+    return spark.createDataFrame(list(enumerate(path)), "step long, node_id string")
+
+
+def _bucket(spark, node: str) -> int:
+    return spark.range(1).select(bucket_of(F.lit(node))).first()[0]
 
 
 # --- investigation context --------------------------------------------------------------

@@ -117,6 +117,7 @@ def evidence_by_source(evidence: DataFrame, n: int = 10) -> DataFrame:
         "entity_id", "source_dataset", "rank", "event_id", "severity", "action")
 
 
+# Edge types that lead to an address.
 SHARED_ADDRESS_TYPES = ["CONNECTED_FROM_IP", "COMMUNICATED_WITH_IP"]
 
 

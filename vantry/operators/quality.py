@@ -46,13 +46,22 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """Rows, type, missing and distinct values per column."""
+    """Rows, type, missing and distinct values per column.
+
+    Every column is a scan of its own that reads nothing else, all of them side by side
+    in one aggregation with a map-side combine; no row is copied once a column. Meant for
+    columnar tables: store a table of text lines first.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    unique = value_counts(df, list(types)).groupBy("column_name").agg(F.count("value").alias("unique_count"))
+    cell = lambda c: df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+    values = reduce(DataFrame.unionByName, [cell(c) for c in types]).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    none = df.sparkSession.createDataFrame([(c, None, 0) for c in types], "column_name string, value string, n long")  # columns of an empty table
+    counts = values.unionByName(none).groupBy("column_name").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("missing_count"), F.count("value").alias("unique_count"))
     dtype = reduce(lambda acc, kv: F.when(F.col("column_name") == kv[0], kv[1]).otherwise(acc), types.items(), F.lit(None))
-    return missing_counts(df).join(unique, "column_name", "left").select(
+    return counts.select(
         F.lit(dataset).alias("dataset"), "column_name", "row_count", dtype.alias("dtype"), "missing_count",
-        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
+        percent(F.col("missing_count"), F.col("row_count")).alias("missing_percentage"), "unique_count")
 
 
 def missing_report(df: DataFrame, dataset: str) -> DataFrame:
@@ -221,6 +230,14 @@ def cleaning_summary(parsed: DataFrame, dataset: str, fields: list[str], medians
     return nulls.unionByName(middle).select(F.lit(dataset).alias("dataset"), "*")
 
 
+def row_measures(raw: DataFrame, clean: DataFrame, dataset: str) -> DataFrame:
+    """Rows before and after cleaning in the form of ``cleaning_summary``."""
+    counts = reconciliation({dataset: (raw, clean)}).select(
+        "dataset", *[F.col(c).cast("double").alias(c) for c in ("raw_rows", "exact_duplicates_removed", "cleaned_rows")])
+    return counts.unpivot(["dataset"], ["raw_rows", "exact_duplicates_removed", "cleaned_rows"], "field", "value").select(
+        "dataset", F.lit("rows").alias("measure"), "field", "value")
+
+
 # --- rule suites ------------------------------------------------------------------
 
 

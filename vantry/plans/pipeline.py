@@ -26,6 +26,13 @@ class Pipeline:
     def __init__(self, spark: SparkSession, raw: dict[str, DataFrame], store: TableStore, folder: str = ""):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.raw, self.store, self.folder = spark, raw, store, folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored_raw(self, source: str) -> DataFrame:
+        """A raw table in columnar form, written when first asked for."""
+        if source not in self._stored:
+            self._stored[source] = self.store.put(f"raw_{source}", self.raw[f"{source}_raw"])
+        return self._stored[source]
 
     # clean tables
     @cached_property
@@ -181,6 +188,10 @@ class Pipeline:
             self.nodes, self.identity, self.relationships, self.events, self.risk_scores, self.sequences,
             self.sequence_evidence, self.risk_evidence))
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return graph.adjacency(self.edges, self.store)
+
     # insights
     @cached_property
     def points(self) -> DataFrame:

@@ -495,10 +495,11 @@ Q["G07_host_addresses"] = lambda p: graph.typed_targets(p.edges, "COMMUNICATED_W
 Q["G08_shared_address"] = lambda p: graph.shared_addresses(p.edges)
 Q["G09_entity_sequences"] = lambda p: graph.typed_targets(p.edges, "INVOLVED_IN_SEQUENCE")
 Q["G10_risk_evidence"] = lambda p: graph.risk_evidence_of(p.edges, p.risk_scores, "WS-3")
-Q["G11_neighborhood"] = lambda p: graph.neighborhood(p.edges, USER, 2, p.store)
+Q["G11_neighborhood"] = lambda p: graph.neighborhood(p.edges, USER, 2, p.store, p.links)
+Q["G11_neighborhood_edges"] = lambda p: graph.neighborhood_edges(p.links, graph.neighborhood(p.edges, USER, 2, p.store, p.links), 2, p.store)
 Q["G11_neighborhood_summary"] = lambda p: graph.neighborhood_summary(
-    p.edges, graph.neighborhood(p.edges, USER, 2, p.store), USER, 2)
-Q["G12_shortest_path"] = lambda p: graph.shortest_path(p.edges, USER, TARGET, p.store)
+    p.edges, graph.neighborhood(p.edges, USER, 2, p.store, p.links), USER, 2, p.links)
+Q["G12_shortest_path"] = lambda p: graph.shortest_path(p.edges, USER, TARGET, p.store, p.links)
 Q["G13_investigation_context"] = lambda p: graph.investigation_context(
     p.nodes, p.edges, p.hypotheses, p.risk_scores.select("entity_id"))
 Q["G13_context_items"] = lambda p: graph.context_items(p.edges, p.risk_scores.select("entity_id"))
@@ -594,7 +595,7 @@ Q["L20_critical_alerts_by_day"] = lambda p: lookups.critical_alerts_by_day(p.end
 
 # --- Q: profiling and checks ---------------------------------------------------------------------------
 
-Q["Q01_column_profile"] = each_raw(quality.column_profile)
+Q["Q01_column_profile"] = lambda p: stacked([quality.column_profile(p.stored_raw(n), n) for n in SOURCES])
 Q["Q02_missing_report"] = each_raw(quality.missing_report)
 Q["Q03_top_values"] = lambda p: _ints(each_raw(quality.top_values)(p))
 Q["Q04_variations"] = each_raw(lambda df, n: quality.variations(df, n, SPELLED[n]))
@@ -611,8 +612,11 @@ Q["Q09_validity_profile"] = lambda p: quality.validity_profile(
 Q["Q10_key_normalization"] = lambda p: quality.key_normalization(p.raw["iam_raw"], "iam", "user_id", p.identity, "user_id")
 Q["Q11_reconciliation"] = lambda p: quality.reconciliation({
     n: (p.raw[f"{n}_raw"], getattr(p, n)) for n in ("identity", "iam", "endpoint", "firewall")})
-Q["Q12_cleaning_summary"] = lambda p: quality.cleaning_summary(
-    p.endpoint_parsed, "endpoint", ["user_id", "severity", "detected_timestamp", "sha256"], ["duration_hours"])
+FIREWALL_MEASURED = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "bytes_sent", "bytes_received"]
+Q["Q12_cleaning_summary"] = lambda p: stacked([
+    quality.cleaning_summary(p.endpoint_parsed, "endpoint", ["user_id", "severity", "detected_timestamp", "sha256"], ["duration_hours"]),
+    quality.cleaning_summary(p.firewall_parsed, "firewall", FIREWALL_MEASURED, FIREWALL_MEASURED[3:]),
+    quality.row_measures(p.raw["endpoint_raw"], p.endpoint, "endpoint"), quality.row_measures(p.raw["firewall_raw"], p.firewall, "firewall")])
 FINAL_COLUMNS = {
     "identity": clean.IDENTITY_COLUMNS, "iam": clean.IAM_COLUMNS, "endpoint": clean.ENDPOINT_COLUMNS, "firewall": clean.FIREWALL_COLUMNS}
 Q["Q13_schema_report"] = lambda p: stacked([

@@ -29,12 +29,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder beside the warehouse is taken: a local master's is
-    on its one machine, and a cluster's warehouse is shared.
+    Where it is unset, a local master takes a folder beside its warehouse; on a
+    cluster the setting is required, as a default folder need not be shared.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         folder = f"{warehouse}-checkpoints"
         context.setCheckpointDir(folder)
