@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ MODEL_BOUND = 1 << 20  # distinct n-grams of a model that may be broadcast, coun
 HELD = 1 << 20  # bytes of distinct words that a counting task holds before it gives their n-grams on
 LABEL_BOUND = 2_000_000  # label rows that may be broadcast, counted first; more are joined by shuffle
 FIT_BOUND = 20_000  # labelled documents, by hash of the key, to which the calibration is fitted
+UNITS = float(1 << 32)  # parts of one in which ratios of joined n-grams are added
 START, END = 2, 3  # bytes around a word; never part of one
 TOP = 3  # single words whose ratios are averaged
 FEATURES = len(PASSAGES) + 3
@@ -206,47 +208,66 @@ def text_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def _name(word: bytes) -> bytes:
+    """A word as a key: itself, or its SHA-256 where it is as long as that or longer."""
+    return word if len(word) < 32 else hashlib.sha256(word).digest()
+
+
+def _packed(rows: Iterator[tuple], columns: list[str], most: int = HELD) -> Iterator[pd.DataFrame]:
+    """Frames of many rows, of at most about ``most`` bytes in their last column."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1]) + 64
+        if held > most:
+            yield pd.DataFrame(some, columns=columns)
+            some, held = [], 0
+    if some:
+        yield pd.DataFrame(some, columns=columns)
+
+
 def joined_features(texts: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
     """(h, x) of every distinct ``text``: its ``text_hash`` and features, under a model too large to send.
 
     N-grams of the distinct words meet the model by exact key, words meet the texts
-    that hold them; a group is one word or one text.
+    that hold them. Python sees frames of many words; n-grams carry the name of
+    their word, never a long word itself, and its ratio is a sum of whole numbers
+    that combines before the shuffle, so that it is the same in every order.
     """
     lines = cut(texts.select(text_hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h"]))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for h, text in zip(batch["h"], batch["text"]):
-                words = list(dict.fromkeys(tokens(text)))
-                for k in range(0, len(words), 50_000):
-                    yield pd.DataFrame({"h": h, "word": words[k : k + 50_000]})
+            each = ((h, _name(w), w) for h, text in zip(batch["h"], batch["text"]) for w in dict.fromkeys(tokens(text)))
+            yield from _packed(each, ["h", "name", "word"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for w in batch["word"]:
-                keys, _ = ngrams([bytes(w)])
-                yield pd.DataFrame({"word": [w] * len(keys), "place": np.arange(len(keys)), "key": keys})
-
-    held = cut(lines.mapInPandas(spread, "h string, word binary"))
-    grams = held.select("word").distinct().mapInPandas(split, "word binary, place long, key long")
+            for part in _packed(zip(batch["name"], batch["word"]), ["name", "word"]):
+                keys, at = ngrams([bytes(w) for w in part["word"]])
+                names = part["name"].to_numpy()
+                for k in range(0, len(keys), 100_000):
+                    yield pd.DataFrame({"name": names[at[k : k + 100_000]], "key": keys[k : k + 100_000]})
+
+    held = cut(lines.mapInPandas(spread, "h string, name binary, word binary"))
+    grams = held.select("name", "word").dropDuplicates(["name"]).mapInPandas(split, "name binary, key long")
     found = grams.join(seen, "key", "left").withColumn("context", F.shiftright("key", 8)).join(unseen, "context", "left")
-    each = F.coalesce("ratio", "rest", F.lit(0.0)).cast("double")
-    words = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("place", each.alias("r")))).alias("g"))
-    words = words.select("word", F.aggregate("g.r", F.lit(0.0), lambda a, b: a + b).alias("ratio"), F.size("g").alias("length"))
-    by_text = held.join(words, "word").groupBy("h").agg(F.collect_list(F.struct("word", "ratio", "length")).alias("w"))
+    each = F.round(F.coalesce("ratio", "rest", F.lit(0.0)).cast("double") * UNITS).cast("long")
+    words = found.groupBy("name").agg((F.sum(each) / UNITS).alias("ratio"), F.count("*").alias("length"))
+    by_text = held.select("h", "name").join(words, "name").groupBy("h").agg(F.collect_list(F.struct("name", "ratio", "length")).alias("w"))
 
     @F.pandas_udf("array<double>")
-    def features(texts: pd.Series, words: pd.Series, ratios: pd.Series, lengths: pd.Series) -> pd.Series:
+    def features(texts: pd.Series, names: pd.Series, ratios: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
-        for text, names, ratio, length in zip(texts, words, ratios, lengths):
+        for text, own, ratio, length in zip(texts, names, ratios, lengths):
             order = tokens(text)
             if order:
-                place = {bytes(w): k for k, w in enumerate(names)}
-                at = np.fromiter(map(place.__getitem__, order), np.int64, len(order))
+                place = {bytes(w): k for k, w in enumerate(own)}
+                at = np.fromiter((place[_name(w)] for w in order), np.int64, len(order))
             out.append(list(_summary(np.asarray(ratio)[at], np.asarray(length)[at])) if order else [0.0] * FEATURES)
         return pd.Series(out)
 
-    return lines.join(by_text, "h", "left").select("h", features("text", "w.word", "w.ratio", "w.length").alias("x"))
+    return lines.join(by_text, "h", "left").select("h", features("text", "w.name", "w.ratio", "w.length").alias("x"))
 
 
 def _ngram_counts(labelled: DataFrame) -> DataFrame:
