@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 BITS = 5  # cells of each dimension: 32
 
 
@@ -53,28 +55,27 @@ def _cells(df: DataFrame, column: str, weight: str) -> DataFrame:
 
 def shard(
     docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("source", "lang"),
+    carry: bool = False,
 ) -> DataFrame:
     """Shards of equal row counts (at most one apart) that are runs of a Hilbert curve.
 
     Dimensions are the categories (cut into 32 ranges of near-equal rows) and the
     size (log2 of the bytes). Rows are ordered by curve index, then checksum of the
-    text, then a hash of the key, so equal texts with equal metadata lie side by
+    text, then a hash of the key, so equal texts of one curve cell lie side by
     side; runs of the order are the shards, and min/max of every dimension prunes
-    them. The order is never made in one task: places are counted in three steps,
-    by curve index (at most 32,768 cells), within it by the first checksum and
-    key-hash bits (at most 65,536), and within that by a window. A hot source
-    or a hot text is thus spread over many windows.
-
-    Returns (key, size, text_crc32, curve, shard, slot, rows). Null texts count as
-    empty, null categories come last, repeated rows all get a place of their own, an
-    empty table gives an empty result, other columns are left out.
+    them. Places come from range partitions and the counts before them, so a hot
+    source, a hot text or a row repeated very often is spread over many tasks.
+
+    Returns (key, size, text_crc32, curve, shard, slot, rows), with ``carry`` the whole
+    document as ``_row`` too. Null texts count as empty, null categories come last,
+    repeated rows all get a place of their own, an empty table gives an empty
+    result, other columns are left out.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
+    kept = [F.struct("*").alias("_row")] if carry else []
     rows = docs.select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(categories)],
-        (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"))
-    mixed = F.xxhash64("_key")
-    rows = rows.withColumn("fine", F.shiftright("crc", 24) * 256 + mixed.bitwiseAND(F.lit(255)))
+        (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"), *kept)
     cells = [F.least(F.floor(F.log2("size")), F.lit((1 << BITS) - 1)).cast("int")]
     for i in range(len(categories)):
         name = f"_c{i}"
@@ -87,19 +88,55 @@ def shard(
     def curve(*dims: pd.Series) -> pd.Series:
         return pd.Series(hilbert(np.column_stack([d.to_numpy() for d in dims]), BITS).astype(np.int32))
 
-    placed = rows.select("_key", "size", "crc", "fine", curve(*cells).alias("curve"))
-    counts = placed.groupBy("curve", "fine").agg(F.count("*").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fine = counts.withColumn("in_curve", before(Window.partitionBy("curve").orderBy("fine")))
-    coarse = counts.groupBy("curve").agg(F.sum("n").alias("n"))
-    coarse = coarse.select("curve", before(Window.orderBy("curve")).alias("at"), F.sum("n").over(Window.partitionBy()).alias("rows"))
-    offsets = fine.join(coarse, "curve").select("curve", "fine", (F.col("at") + F.col("in_curve")).alias("at"), "rows")
-    rank = F.row_number().over(Window.partitionBy("curve", "fine").orderBy("crc", "_key")) - 1
-    ranked = placed.withColumn("r", rank).join(offsets, ["curve", "fine"])
-    place = F.col("at") + F.col("r")
+    placed = rows.select(
+        "_key", "size", "crc", curve(*cells).alias("curve"), F.xxhash64("_key").alias("_h"), F.monotonically_increasing_id().alias("_m"), *(["_row"] if carry else []))
+    ranked = numbered(placed, ["curve", "crc", "_h", "_key", "_m"], "_at")
+    total = max(1, ranked.count())
     # whole-number division keeps the runs exact
-    run = F.expr(f"(at + r) * {shards} div rows")
-    first = F.expr(f"((at + r) * {shards} div rows * rows + {shards} - 1) div {shards}")
+    run = F.expr(f"(_at - 1) * {shards} div {total}")
+    first = F.expr(f"((_at - 1) * {shards} div {total} * {total} + {shards} - 1) div {shards}")
     return ranked.select(
         F.col("_key").alias(key), "size", F.col("crc").alias("text_crc32"), "curve",
-        run.cast("int").alias("shard"), (place - first).cast("long").alias("slot"), "rows")
+        run.cast("int").alias("shard"), (F.col("_at") - 1 - first).cast("long").alias("slot"), F.lit(total).cast("long").alias("rows"), *(["_row"] if carry else []))
+
+
+PLACES = ("size", "curve", "shard", "slot")
+
+
+def write(
+    docs: DataFrame, folder: str, shards: int = 16, key: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("source", "lang"),
+) -> DataFrame:
+    """Write all documents by shard, and the bounds of every shard; returns the bounds.
+
+    ``folder/rows`` has one folder a shard, whose files are runs of the curve, so
+    that Parquet's own bounds prune within it as well. ``folder/bounds`` has one
+    row a shard: rows, bytes, and the least and largest value of size, curve and each
+    category (nulls left out; ``nulls_`` counts them). Columns of documents stay, those named like PLACES are replaced.
+    """
+    placed = shard(docs, shards, key, text, categories, carry=True)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in PLACES]
+    placed.select(*own, *PLACES).write.partitionBy("shard").parquet(f"{folder}/rows")
+    dims = ["size", "curve", *[c for c in categories if c not in PLACES]]
+    names = {d: F.col(d) if d in PLACES else F.col("_row")[d] for d in dims}
+    bounds = placed.groupBy("shard").agg(
+        F.count("*").alias("rows"), F.sum(F.col("size") - 1).alias("bytes"),
+        *[f(names[d]).alias(f"{n}_{d}") for d in dims for n, f in (("least", F.min), ("most", F.max))],
+        *[F.count_if(names[d].isNull()).alias(f"nulls_{d}") for d in dims])
+    bounds.coalesce(1).write.parquet(f"{folder}/bounds")
+    return docs.sparkSession.read.parquet(f"{folder}/bounds")
+
+
+def read_range(spark: SparkSession, folder: str, **ranges: tuple) -> DataFrame:
+    """Rows whose named dimensions lie within (low, high), read from those shards only whose bounds meet all ranges.
+
+    Nulls lie in no range. Where no shard meets them the result is empty.
+    """
+    bounds = spark.read.parquet(f"{folder}/bounds")
+    for d, (low, high) in ranges.items():
+        bounds = bounds.where((F.col(f"least_{d}") <= F.lit(high)) & (F.col(f"most_{d}") >= F.lit(low)))
+    met = [r.shard for r in bounds.select("shard").orderBy("shard").collect()]  # at most one row a shard
+    rows = spark.read.option("basePath", f"{folder}/rows")
+    rows = rows.parquet(*[f"{folder}/rows/shard={k}" for k in met]) if met else rows.parquet(f"{folder}/rows").where("false")
+    for d, (low, high) in ranges.items():
+        rows = rows.where(F.col(d).between(F.lit(low), F.lit(high)))
+    return rows
