@@ -659,6 +659,45 @@ _Q16 = [
     ("firewall", "bytes", bad("firewall", "bytes_sent >= 0")),
 ]
 A["Q15_domain_checks"] = checks(_Q15)
+_DEPARTMENTS = words(["IT", "Human Resources", "Finance", "Operations", "Procurement", "Marketing", "Sales", "Legal", "R&D", "Customer Support",
+                      "Support", "Call Center", "Brand", "Compliance", "Innovation", "Supply Chain", "IT Support", "Unknown"])
+_EMPLOYED = "status NOT IN ('Active','On Leave','Disabled','Blocked')"
+
+
+def filled(names: list[str]) -> str:
+    return " AND ".join(f"{x} IS NOT NULL" for x in names)
+
+
+def twice(table: str) -> str:
+    return f"SELECT count(*) FROM (SELECT * FROM {table} GROUP BY ALL HAVING count(*) > 1)"
+
+
+_IX, _MX = f"({X_IDENTITY})", f"({X_IAM})"
+A["Q15_identity_suite"] = checks([("identity", n, s) for n, s in [
+    ("no missing cell", bad(_IX, filled(clean.IDENTITY_COLUMNS))),
+    ("user_id format", bad(_IX, "regexp_full_match(user_id, 'EMP[0-9]+')")),
+    ("department", bad(_IX, f"department IN {_DEPARTMENTS}")),
+    ("status", bad(_IX, "status IN ('Active','On Leave','Disabled','Blocked','Terminated','Unknown')")),
+    ("hire date", bad(_IX, "hire_date = 'Unknown' OR try_cast(hire_date AS TIMESTAMP) IS NOT NULL")),
+    ("termination date", bad(_IX, "termination_date IN ('Unknown','Not Terminated') OR try_cast(termination_date AS TIMESTAMP) IS NOT NULL")),
+    ("terminated is not open", bad(_IX, "status <> 'Terminated' OR termination_date <> 'Not Terminated'")),
+    ("terminated has a date", bad(_IX, "status <> 'Terminated' OR termination_date <> 'Unknown'")),
+    ("employed end is known", bad(_IX, f"{_EMPLOYED} OR termination_date <> 'Unknown'")),
+    ("employed has no end", bad(_IX, f"{_EMPLOYED} OR termination_date IN ('Unknown','Not Terminated')")),
+    ("hired before the end", bad(_IX, "coalesce(try_cast(hire_date AS TIMESTAMP) <= try_cast(termination_date AS TIMESTAMP), true)")),
+    ("duplicate rows", twice(_IX)), ("unique user_id", rep(_IX, "user_id"))]])
+A["Q15_iam_suite"] = checks([("iam", n, s) for n, s in [
+    ("no missing cell", bad(_MX, filled(clean.IAM_COLUMNS))),
+    ("user_id format", bad(_MX, "regexp_full_match(user_id, 'EMP[0-9]+')")),
+    ("department", bad(_MX, f"department IN {_DEPARTMENTS}")),
+    ("event type", bad(_MX, "event_type IN ('login_success','login_failed','other')")),
+    ("mfa", bad(_MX, "mfa_passed IN ('True','False','Unknown')")),
+    ("source address", bad(_MX, "source_ip = 'Unknown' OR source_ip LIKE '%:%' OR regexp_full_match(source_ip, '([0-9]{1,3}[.]){3}[0-9]{1,3}')")),
+    ("risk in 0..100", bad(_MX, "risk_score BETWEEN 0 AND 100")),
+    ("timestamp", bad(_MX, "timestamp = 'Unknown' OR try_cast(timestamp AS TIMESTAMP) IS NOT NULL")),
+    ("no failure, no reason", bad(_MX, "event_type = 'login_failed' OR failure_reason IN ('Not Applicable','Unknown')")),
+    ("failed login has no n/a reason", bad(_MX, "event_type <> 'login_failed' OR failure_reason <> 'Not Applicable'")),
+    ("duplicate rows", twice(_MX)), ("unique event_id", rep(_MX, "event_id"))]])
 A["Q16_range_checks"] = checks(_Q16)
 A["Q17_null_checks"] = checks(
     [("iam", f"{x} filled", bad(f"({X_IAM})", f"{x} IS NOT NULL")) for x in clean.IAM_COLUMNS]

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baselines, canonical, clean, features, graph, insights, lookups, risk, temporal
+from ..operators import baselines, canonical, clean, features, graph, insights, lookups, risk, suites, temporal
 from ..session import TableStore
 from ..sources import fixtures
 
@@ -229,6 +229,27 @@ class Pipeline:
             self.risk_scores, lookups.behavior_profile(self.user_risk, self.user_clusters),
             lookups.peer_comparison(self.user_risk, self.peer_outliers), self.sequences, self.risk_evidence, self.edges)
 
+    def export(self, folder: str, tables: tuple[str, ...] | None = None) -> DataFrame:
+        """Write named tables below a folder, clean ones in their exported form; a report of rows and rules.
+
+        Row rules of a table are counted while it is written, so that no table is read again.
+        """
+        done = {}
+        for name in tables or EXPORTED:
+            df = getattr(self, name)
+            if name in CLEAN:
+                df = clean.to_analytical(df, name)
+            rules = suites.ROW_RULES[name]() if name in suites.ROW_RULES else []
+            done[name] = suites.write_checked(df, f"{folder}/{name}", rules)
+        return suites.write_report(self.spark, done)
+
+
+CLEAN = ("identity", "iam", "endpoint", "firewall")
+EXPORTED = (
+    *CLEAN, "events", "users", "hosts", "sessions", "relationships", "user_features", "host_features", "session_features",
+    "event_features", "user_baselines", "host_baselines", "user_risk", "host_risk", "risk_scores", "hypotheses", "risk_evidence",
+    "exported_sequences", "bursts", "nodes", "edges", "user_clusters", "cluster_profiles", "outliers", "peer_outliers")
+
 
 _OPEN: dict[tuple[str, str], Pipeline] = {}
 

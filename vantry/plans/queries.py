@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, numbers, text, times
-from ..operators import baselines, canonical, clean, graph, ids, insights, joins, lookups, quality, risk, robust, temporal
+from ..operators import baselines, canonical, clean, graph, ids, insights, joins, lookups, quality, risk, robust, suites, temporal
 from ..sources import fixtures, io
 from .pipeline import Pipeline, open_pipeline
 
@@ -643,6 +643,8 @@ Q["Q15_domain_checks"] = lambda p: quality.report([
         R("hostname canonical", (c("hostname") == F.upper("hostname")) | (c("hostname") == "Unknown")),
     ], "firewall"),
 ])
+Q["Q15_identity_suite"] = lambda p: suites.identity_suite(clean.to_analytical(p.identity, "identity"))
+Q["Q15_iam_suite"] = lambda p: suites.iam_suite(clean.to_analytical(p.iam, "iam"))
 Q["Q16_range_checks"] = lambda p: quality.report([
     quality.suite(p.risk_scores, [
         R("risk in 0..100", c("risk_score").between(0, 100)),
