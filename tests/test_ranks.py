@@ -40,3 +40,11 @@ def test_one_instant_of_one_entity_is_spread(spark):
         assert len(ranged) == 4 and max(r["count"] for r in ranged) < 200_000 * 0.4
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_numbered_rows_are_stored_as_columns(spark):
+    """A checkpoint would hold whole rows, not compressed, and every reader would read all of them."""
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 3).alias("g"))
+    out = numbered(df, ["id"], "n", ["g"])
+    assert "parquet" in out._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r.g, r.n) for r in out.collect()} == {(i % 3, i // 3 + 1) for i in range(100)}
