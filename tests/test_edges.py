@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from vantry.operators import graph
+from vantry.operators import graph, temporal
 from vantry.plans.pipeline import open_pipeline
 
 
@@ -44,3 +44,13 @@ def test_adjacency_makes_hashed_ids_again(spark, store):
         (n, m, r.edge_id) for r in df.collect() for n, m in ((r.source_id, r.target_id), (r.target_id, r.source_id))}
     assert links.count() == 4
     assert "edge_id" not in spark.read.parquet(os.path.join(store.root, name)).columns
+
+
+def test_sequences_need_no_numbered_evidence(spark, folder):
+    p = open_pipeline(spark, folder, fresh=True)
+    alone = p.sequences
+    assert alone.count() > 0 and not {"user_sequence_evidence", "host_sequence_evidence"} & set(p.__dict__)
+    q = open_pipeline(spark, folder)
+    q.sequence_evidence
+    summed = [temporal.sequence_rows(q.user_sequence_evidence, "USER"), temporal.sequence_rows(q.host_sequence_evidence, "HOST")]
+    assert sorted(map(str, alone.collect())) == sorted(map(str, summed[0].unionByName(summed[1]).collect()))
