@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from vantry.functions import times
-from vantry.operators import clean
+from vantry.functions import numbers, text, times
+from vantry.operators import canonical, clean
+from vantry.plans.pipeline import open_pipeline
 
 
 def test_only_rows_of_repeated_hashes_are_dealt(spark):
@@ -37,3 +38,32 @@ def test_plain_times_equal_those_by_pattern(spark, monkeypatch):
             m.setattr(times, "PLAIN", "^never$")
             assert value().collect() == fast
         assert {r.v is None for r in fast} == {True, False}
+
+
+def test_failing_casts_and_patterns_are_guarded(spark):
+    """Text that is no number is not cast (an exception a row); names without the suffix meet no pattern."""
+    df = spark.createDataFrame([(x,) for x in ("443", "443.0", "80.5", "http", "0", "70000", "", "-1", "1e3", None)], "v string")
+    ports = df.select("v", numbers.port(F.col("v")).alias("p"))
+    assert {r.v: r.p for r in ports.collect() if r.p is not None} == {"443": 443, "443.0": 443, "1e3": 1000}
+    plan = ports._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("cast(v") <= plan.count("rlike")
+    names = spark.createDataFrame([(x,) for x in (" ws_1.corp.local ", "WS-1", "a.corp.local.corp.local", "corp.local", "x.corp.localy", "a.corp.local\u2028")], "v string")
+    hosts = names.select(text.hostname(F.col("v")).alias("h"))
+    assert [r.h for r in hosts.collect()] == ["WS-1", "WS-1", "A.CORP.LOCAL", "CORP.LOCAL", "X.CORP.LOCALY", "A\u2028"]
+    assert "contains(" in hosts._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_events_are_written_without_a_sort(spark, folder, monkeypatch):
+    p = open_pipeline(spark, folder, fresh=True)
+    puts, put = {}, p.store.put
+
+    def kept(name, df, partition_by=None):
+        puts[name] = partition_by
+        return put(name, df, partition_by)
+
+    monkeypatch.setattr(p.store, "put", kept)
+    got = p.events
+    assert {n for n in puts if n.startswith("events")} == {f"events/source_dataset={s}" for s in ("IAM", "Endpoint", "Firewall")}
+    assert not any(v for n, v in puts.items() if n.startswith("events"))
+    want = canonical.canonical_events(p.identity, p.iam, p.endpoint, p.firewall)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
