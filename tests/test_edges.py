@@ -54,3 +54,33 @@ def test_sequences_need_no_numbered_evidence(spark, folder):
     q.sequence_evidence
     summed = [temporal.sequence_rows(q.user_sequence_evidence, "USER"), temporal.sequence_rows(q.host_sequence_evidence, "HOST")]
     assert sorted(map(str, alone.collect())) == sorted(map(str, summed[0].unionByName(summed[1]).collect()))
+
+
+def test_nodes_and_edges_need_no_numbered_evidence(spark, folder):
+    p = open_pipeline(spark, folder, fresh=True)
+    assert p.edges.count() > 0 and p.nodes.count() == p.node_ids.distinct().count()
+    assert not {"user_sequence_evidence", "host_sequence_evidence"} & set(p.__dict__)
+    some = p.store.put("some", p.risk_scores.orderBy("entity_id").limit(3).select("entity_id"))
+    ids = some.select("entity_id").toPandas()["entity_id"].tolist()
+    touched = p.edges.where(F.col("source_id").isin(ids) | F.col("target_id").isin(ids))
+    rows = lambda df: sorted(map(str, df.select(graph.EDGE_COLUMNS).collect()))
+    assert rows(p.edges_at(some)) == rows(touched) == rows(p.entity_edges.where(F.col("source_id").isin(ids) | F.col("target_id").isin(ids)))
+    assert rows(p.address_edges.where(F.col("target_id").startswith("IP-"))) == rows(p.edges.where(F.col("target_id").startswith("IP-")))
+
+
+def test_entities_named_like_events_keep_the_edges_of_evidence(spark, folder):
+    """An entity that bears an event's id is an end of edges from evidence; none may be left out."""
+    p = open_pipeline(spark, folder, fresh=True)
+    event = p.edges.where("relationship_type = 'SEQUENCE_INCLUDES_EVENT'").orderBy("target_id").first().target_id
+    p.__dict__["risk_scores"] = p.risk_scores.withColumn("entity_id", F.lit(event)).limit(1)
+    assert set(graph.OF_EVIDENCE) <= {r[0] for r in p.entity_edges.select("relationship_type").distinct().collect()}
+
+
+def test_an_open_end_may_be_a_cited_event(spark, store):
+    ids = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    edges = spark.createDataFrame([("U", "1"), ("E1", "2"), ("E2", "3"), ("X", "4")], "source_id string, target_id string")
+    got = graph.with_open_ends(edges, ("source_id",), ids("node_id", "U"), ids("event_id", "E1", "E2"), lambda: ids("event_id", "E1", "E1"), store)
+    assert sorted(r.target_id for r in got.collect()) == ["1", "2"]
+    asked = []
+    graph.with_open_ends(edges, ("source_id",), ids("node_id", "U"), ids("event_id", "E3"), lambda: asked.append(1), store)
+    assert not asked
